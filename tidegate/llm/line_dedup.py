@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Scratch, batches, mix, texts
 
@@ -268,9 +269,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 10, counts: bool = True) ->
     drops = met.repartition("shard").sortWithinPartitions("shard", F.col("probes").isNotNull()).mapInArrow(_answers, "key_id long, h long").groupBy("key_id").agg(F.collect_set("h").alias("__tidegate_drops"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") if counts else docs
     met = rows.withColumn("__tidegate_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(drops.withColumnRenamed("key_id", "__tidegate_key"), "__tidegate_key", "left").drop("__tidegate_key")
-    schema = rows.schema
-    if counts:
-        schema = schema.add("n_lines", "long").add("n_dropped", "long")
+    schema = StructType([*rows.schema, *([StructField("n_lines", LongType()), StructField("n_dropped", LongType())] if counts else [])])
     arrow = to_arrow_schema(schema)
     chars = "n_chars" if not counts and "n_chars" in docs.columns else None
     return met.mapInArrow(_rewrite(least_chars, hot, arrow, ("n_lines", "n_dropped") if counts else None, chars), schema)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dup, packing
+from . import bpe, fingerprint, langid, line_dedup, near_dup, packing
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -29,7 +29,22 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op5_line_dedup, op7_packing)}
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode_decode(table(spark, sf_dir, "documents"), BYTE_BPE)
+    tokens = F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return out.select("doc_id", tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dup, op3_fingerprint, op5_line_dedup, op7_packing, op9_language_id, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op1_near_dup"] = r"""
