@@ -10,6 +10,7 @@ joins ids to pieces: the vocabulary's table of pieces is of fixed size and is at
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import importable
 from .common import batches, texts
-from .words import spaced_words
+from .words import byte_letters, spaced_words
 
 BLOCK = 8_000_000
 WORDS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("words", pa.binary())])
@@ -59,6 +60,7 @@ class Coder:
     _held: dict[int, Coder] = {}
 
     def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -80,26 +82,13 @@ class Coder:
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids of each word, one after the other."""
         sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-        for k in range(0, len(words), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch(words[k : k + 20_000], add_special_tokens=False)]
+        for k in range(0, len(words), 5_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[k : k + 5_000], add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
             ids.append(np.fromiter((x for own in found for x in own), np.uint32, int(sizes[-1].sum())))
         return np.concatenate(sizes), np.concatenate(ids)
 
 
-def byte_letters() -> list[str]:
-    """The letter that byte-level vocabularies write for each byte: itself where it is printable in
-    Latin-1, else the next letter from code point 256 on."""
-    out, extra = [], 256
-    for b in range(256):
-        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
-            out.append(chr(b))
-        else:
-            out.append(chr(extra))
-            extra += 1
-    return out
-
-
 def gathered(idx: np.ndarray, starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """flat's stretches idx, one after the other."""
     own = sizes[idx]

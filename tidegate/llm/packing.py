@@ -13,90 +13,119 @@ sequence.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, batches, texts
-from .words import bare_words
+from .words import bare_words, byte_letters
 
 GRID = 8
 #: Distinct words whose ids a Python worker remembers; it starts anew beyond that.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+#: The letters and numbers up to U+024F, and the pattern that cuts words made of these code points.
+_LETTER, _NUMBER = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
+_OTHER = re.compile("[^\x00-\u024f]|[\x09-\x0d\x1c-\x20\x85\xa0]")
+_LETTERS = dict(enumerate(byte_letters()))
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("class", pa.int32()), ("part", pa.int32()), ("rank", pa.int64()), ("ids", pa.binary())])
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long, ids binary"
 _PLACED = pa.schema([*[PIECES.field(i) for i in range(5)], ("sequence_id", pa.int64()), ("slot", pa.int64()), PIECES.field("ids")])
 
 
 # --- tokens ---------------------------------------------------------------------------------------
+class _Numbers(dict):
+    """Words numbered as they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class WordIds:
-    """ids of texts by way of a table of the distinct words seen, each encoded once."""
+    """ids of texts by way of a table of the distinct words seen, each encoded once while it is held.
 
-    def __init__(self, path: str, split, remembered: int = REMEMBERED):
+    Words of letters, digits and signs up to U+024F are cut by the tokenizer's own pattern, written out
+    for these code points, and go straight to its model; composition changes none of them, and lower
+    case works letter by letter. All others go through the whole tokenizer.
+    """
+
+    def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.split, self.remembered = Tokenizer.from_file(path), split, remembered
+        self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch(words[k : k + 20_000], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(sizes.sum()))
-            self.at.update(zip(words[k : k + 20_000], range(len(self.at), len(self.at) + len(found)), strict=True))
-            self.starts = np.concatenate((self.starts, self.flat.size + np.cumsum(sizes) - sizes))
-            self.sizes, self.flat = np.concatenate((self.sizes, sizes)), np.concatenate((self.flat, flat))
+        self.model = self.tokenizer.model
+        self.at, self.flat, self.starts = _Numbers(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def word(self, word: str) -> list[int]:
+        low = word.lower()
+        if _OTHER.search(low) or "<|" in word:
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        core = low[:-1] if low[-1:] in (".", ",") else low
+        out: list[int] = []
+        for t in (core, low[-1]) if core is not low and core.isalpha() else (low,) if core.isalpha() else _PIECES.findall(low):
+            if not (t.isascii() and t.isprintable()):
+                t = t.encode().decode("latin-1").translate(_LETTERS)
+            out += [x.id for x in self.model.tokenize(t)]
+        return out
+
+    def _learn(self) -> None:
+        known = self.starts.size - 1
+        found = [self.word(w) for w in islice(self.at, known, None)]
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) + self.flat.size
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), np.uint32)))
+        self.starts = np.concatenate((self.starts, ends))
+
+    def _forget(self) -> None:
+        """All but the words learned first, among which are the frequent ones."""
+        self.at = _Numbers(islice(self.at.items(), REMEMBERED // 3))
+        self.starts = self.starts[: len(self.at) + 1].copy()
+        self.flat = self.flat[: self.starts[-1]].copy()
 
     def encode(self, many: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, a few megabytes of texts at a time."""
+        """The ids of each text; about a million characters of texts at a time."""
         at = 0
         while at < len(many):
-            end, size = at, 0
-            while end < len(many) and (size < 4_000_000 or end == at):
-                size += len(many[end])
-                end += 1
-            if len(self.at) > self.remembered:
-                self._clear()
-            words = [self.split(t) for t in many[at:end]]
-            new: set[str] = set()
-            for w in words:
-                new.update(w)
-            if new := list(new.difference(self.at)):
-                self._learn(new)
-            for w in words:
-                yield self.gather(np.fromiter(map(self.at.__getitem__, w), np.int64, len(w)))
-            at = end
-
-    def gather(self, idx: np.ndarray) -> np.ndarray:
-        sizes = self.sizes[idx]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if idx.size else 0
-        return self.flat[np.repeat(self.starts[idx] - ends + sizes, sizes) + np.arange(total)]
-
-
-_WORKER: dict[str, WordIds] = {}
-
-
-def _cut(path: str, capacity: int, end_id: int, keep_ids: bool):
+            numbers, size = [], 0
+            while at < len(many) and size < 1_000_000:
+                words = bare_words(many[at])
+                numbers.append(np.fromiter(map(self.at.__getitem__, words), np.int32, len(words)))
+                size += len(many[at])
+                at += 1
+            self._learn()
+            sizes = np.diff(self.starts)
+            for idx in numbers:
+                own = sizes[idx]
+                ends = np.cumsum(own)
+                yield self.flat[np.repeat(self.starts[idx] - ends + own, own) + np.arange(int(ends[-1]) if idx.size else 0)]
+            if len(self.at) > REMEMBERED:
+                self._forget()
+
+
+_WORKER: dict[int, WordIds] = {}
+
+
+def _cut(spec: Broadcast, capacity: int, end_id: int, keep_ids: bool):
     full = capacity // GRID
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part_id = TaskContext.get().partitionId()
-        coder = _WORKER.setdefault(path, None) or WordIds(path, bare_words)
-        _WORKER[path] = coder
+        key = hash(spec.value)
+        if key not in _WORKER:
+            _WORKER[key] = WordIds(spec.value)
+        coder = _WORKER[key]
         ranks = np.zeros(full + 1, np.int64)
         for part in parts:
             rows: list[tuple] = []
@@ -235,7 +264,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     spark = docs.sparkSession
     scratch = Scratch(spark)
     full = capacity // GRID
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(tokenizer, capacity, end_id, keep_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, part int, rank long, ids binary")
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = spark.sparkContext.broadcast(f.read())  # a vocabulary: its size is fixed
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(spec, capacity, end_id, keep_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, part int, rank long, ids binary")
     pieces = scratch.keep(pieces)
     counts = pieces.groupBy("class", "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("class").orderBy("part")) - F.col("n")).drop("n")

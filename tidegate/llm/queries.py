@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, line_dedup, near_dup, packing
+from . import bpe, chat, fingerprint, html, langid, license_scan, line_dedup, near_dup, packing, quality
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -20,20 +20,40 @@ def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.Near(words=4))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint.fingerprints(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, whose texts hold the template's own marks."""
+    turns = chat.turns_from_table(table(spark, sf_dir, "conversations"))
+    text = F.lit(r"\### Assistant: </turn> ok")
+    trial = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    return chat.digests(chat.format_turns(turns.union(trial)))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -44,7 +64,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op3_fingerprint, op5_line_dedup, op7_packing, op9_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_license_scan, op3_fingerprint, op4_quality_rules, op5_line_dedup, op6_html, op7_packing, op8_chat_format, op9_language_id, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op1_near_dup"] = r"""
@@ -65,3 +85,4 @@ o AS (SELECT key, min(doc_id) AS owner, count(DISTINCT doc_id) AS n FROM k WHERE
 j AS (SELECT k.*, coalesce(o.n >= 2 AND o.owner != k.doc_id, false) AS gone FROM k LEFT JOIN o USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id
 """
+ORACLE_SQL["op2_license_scan"] = license_scan.oracle_sql()

@@ -33,3 +33,16 @@ def _edged(part: str) -> bool:
 def bare_words(text: str) -> list[str]:
     """White space apart, for a tokenizer that drops it."""
     return [text] if _CONTROLS.search(text) else text.split()
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it is printable in
+    Latin-1, else the next letter from code point 256 on."""
+    out, extra = [], 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out.append(chr(b))
+        else:
+            out.append(chr(extra))
+            extra += 1
+    return out
