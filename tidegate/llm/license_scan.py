@@ -76,7 +76,7 @@ def _bands(members: Column) -> Column:
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """One row a document and licence found in docs (doc_id, text): doc_id, license, containment (of
     100: the best window's share of a template's shingles), first_shingle (where the first such window
-    begins, counted in shingles), n_windows.
+    begins, counted in shingles), n_windows (places where such windows begin).
 
     Windows of `percent` or more count. Null, empty and short texts have no shingles and no row. Rows
     that share a doc_id are one document. An empty table gives no rows. Other columns aren't read.
@@ -90,19 +90,21 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, percent:
     retrieve = known.select("license", "version", "size", "shingles", F.explode(_bands(F.col("shingles"))).alias("b")).select("license", "version", "size", "shingles", "b.band", "b.low")
 
     words = F.regexp_extract_all(F.lower("text"), F.lit(f"({_TOKEN})"), F.lit(1))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words")).where(F.size("words") >= WORDS)
-    hashed = texts.select("doc_id", F.transform(F.sequence(F.lit(1), F.size("words") - (WORDS - 1)), lambda i: F.xxhash64(F.slice(F.col("words"), i, WORDS))).alias("h"))
-    hashed = hashed.where(F.arrays_overlap("h", F.array(*[F.lit(x) for x in every])))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
+    shingles = F.transform(F.sequence(F.lit(1), F.size("words") - (WORDS - 1)), lambda i: F.xxhash64(F.slice(F.col("words"), i, WORDS)))
+    # The row's number is not deterministic to the optimizer, so no later filter is moved below and makes
+    # it cut the text anew for each shingle.
+    hashed = texts.select("doc_id", F.monotonically_increasing_id().alias("row"), F.when(F.size("words") >= WORDS, shingles).alias("h"))
     hits = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get("h", i).isin(every))
-    found = hashed.select("doc_id", "h", hits.alias("hits"))
+    found = hashed.select("doc_id", "row", "h", F.when(F.col("h").isNotNull(), hits).alias("hits")).where(F.size("hits") > 0)
     sizes = sorted({size for _, _, size, _ in rows})
     starts = F.concat(*[_starts(F.col("hits"), size) for size in sizes])
-    windows = found.select("doc_id", "h", F.explode(starts).alias("w")).select("doc_id", "w.size", "w.start", F.slice("h", F.col("w.start") + 1, F.col("w.size") + F.greatest(F.lit(1), F.floor(F.col("w.size") / 4).cast("int"))).alias("members"))
-    met = windows.select("*", F.explode(_bands(F.col("members"))).alias("b")).select("doc_id", "size", "start", "members", F.col("b.band").alias("band"), F.col("b.low").alias("low"))
+    windows = found.select("doc_id", "row", "h", F.explode(starts).alias("w")).select("doc_id", "row", "w.size", "w.start", F.slice("h", F.col("w.start") + 1, F.col("w.size") + F.greatest(F.lit(1), F.floor(F.col("w.size") / 4).cast("int"))).alias("members"))
+    met = windows.select("*", F.explode(_bands(F.col("members"))).alias("b")).select("doc_id", "row", "size", "start", "members", F.col("b.band").alias("band"), F.col("b.low").alias("low"))
     met = met.join(F.broadcast(retrieve), ["size", "band", "low"])
     share = F.floor(100 * F.size(F.array_intersect("shingles", "members")) / F.size("shingles")).cast("int")
-    good = met.select("doc_id", "license", "start", share.alias("containment")).where(F.col("containment") >= percent)
-    return good.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_shingle"), F.countDistinct("start").alias("n_windows"))
+    good = met.select("doc_id", "row", "license", "start", share.alias("containment")).where(F.col("containment") >= percent)
+    return good.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_shingle"), F.countDistinct("row", "start").alias("n_windows"))
 
 
 def _starts(hits: Column, size: int) -> Column:
