@@ -3,10 +3,11 @@ star-shaped candidate edges, links confirmed on full shingle sets.
 
 How nothing is lost although buckets emit stars and not all pairs: texts with equal shingle sets are
 one node. Links are looked for in three rounds, with the components of what is confirmed after each.
-1. each node with the smallest hub among its buckets (one pair a node); 2. all stars, where hub and
-member are still in different components; 3. in the buckets that still hold two components, the pairs
-that cross them. A pair within one component can't change the result, so it is never made; after
-round 3 every pair that shares a bucket is either confirmed, refuted or redundant.
+1. each node with the smallest hub among its buckets (one pair a node); 2. all stars of the buckets
+that still hold two components; 3. in those that do so even then, the pairs that cross components and
+whose sketches (the lowest bits of 4096 minima) differ no more than linked pairs' do, with five standard
+deviations to spare. A pair within one component can't change the result, so it is never made; after
+round 3 every pair that shares a bucket is confirmed, refuted or redundant.
 
 With 512 bins in 64 bands of 8, a pair of similarity 0.8 shares no bucket with probability
 (1 - 0.8^8)^64 = 8e-6, one of 0.9 with 1e-15; unrelated documents that share a passage (similarity
@@ -29,10 +30,12 @@ from .components import components
 
 #: Words whose hash a Python worker remembers; it starts anew beyond that.
 REMEMBERED = 300_000
+#: Bits of the sketch that pairs of round 3 are compared by.
+SKETCH = 4096
 _K = np.uint64(0x9E3779B97F4A7C15)
 FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("members", pa.binary())])
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("union", pa.int64())])
 
 
 @dataclass(frozen=True)
@@ -145,27 +148,31 @@ def _sets(near: Near):
     return run
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, of sorted distinct hashes."""
-    if not (x.size and y.size) or 100 * min(x.size, y.size) < percent * max(x.size, y.size):
-        return False
+def overlap(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """Sizes of intersection and union of sorted distinct hashes."""
+    if not (x.size and y.size):
+        return 0, x.size + y.size
     if x.size > y.size:
         x, y = y, x
     at = np.searchsorted(y, x)
     at[at == y.size] = 0
     both = int((y[at] == x).sum())
-    return 100 * both >= percent * (x.size + y.size - both)
+    return both, x.size + y.size - both
 
 
-def _confirmed(near: Near):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
-            x, y = part.column("x"), part.column("y")
-            good = [i for i in range(len(a)) if similar(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), near.percent)]
-            yield batches({"a": [a[i] for i in good], "b": [b[i] for i in good]}, PAIRS)
+def _measured(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        x, y = part.column("x"), part.column("y")
+        found = [overlap(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) for i in range(part.num_rows)]
+        yield batches({"a": part.column("a"), "b": part.column("b"), "both": [m for m, _ in found], "union": [n for _, n in found]}, PAIRS)
 
-    return run
+
+def _sketches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        members = part.column("members")
+        sketch = [np.packbits((mix(signature(np.frombuffer(m.as_buffer(), np.uint64), SKETCH)) & np.uint64(1)).astype(np.uint8)).view(np.int64) for m in members]
+        bits = np.array(sketch, np.int64).reshape(-1, SKETCH // 64)
+        yield pa.RecordBatch.from_arrays([part.column("rep"), *[pa.array(bits[:, i]) for i in range(SKETCH // 64)]], names=["rep", *[f"s{i}" for i in range(SKETCH // 64)]])
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
@@ -194,35 +201,43 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = scratch.keep(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(near), "rep long, n long, members binary"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        x = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("members").alias("x"))
-        y = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("members").alias("y"))
-        sizes = pairs.join(x.drop("x"), "a").join(y.drop("y"), "b").where(100 * F.least("na", "nb") >= near.percent * F.greatest("na", "nb")).select("a", "b").distinct()
-        return sizes.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(near), "a long, b long")
+    def measured(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with the sizes of their sets' intersection and union; a doc_id may have several sets."""
+        x = sets.select(F.col("rep").alias("a"), F.col("members").alias("x"))
+        y = sets.select(F.col("rep").alias("b"), F.col("members").alias("y"))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_measured, "a long, b long, both long, union long")
+
+    def linked(found: DataFrame) -> DataFrame:
+        return found.where(100 * F.col("both") >= near.percent * F.col("union")).select("a", "b")
 
     def labelled(labels: DataFrame) -> DataFrame:
         return labels.select(F.col("node").alias("rep"), "component")
 
-    links = scratch.keep(several.union(confirmed(buckets.where("rep != hub").groupBy("rep").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")))))
-    labels = components(links, scratch)
-
-    def across(labels: DataFrame) -> DataFrame:
+    def mixed(labels: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components, with theirs."""
         own = buckets.join(labelled(labels), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-        return scratch.keep(own.join(mixed, "band", "left_semi"))
+        several = own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+        return scratch.keep(own.join(several, "band", "left_semi"))
+
+    first = buckets.where("rep != hub").groupBy("rep").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    links = scratch.keep(several.union(linked(measured(first))))
+    labels = components(links, scratch)
 
-    open_ = across(labels)
-    hub_of = labelled(labels).select(F.col("rep").alias("hub"), F.col("component").alias("of_hub"))
-    stars = open_.where("rep != hub").join(hub_of, "hub", "left").where(F.coalesce("of_hub", "hub") != F.col("component")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links2 = scratch.keep(links.union(confirmed(stars)).distinct())
+    stars = mixed(labels).where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    links2 = scratch.keep(links.union(linked(measured(stars))).distinct())
     labels = components(links2, scratch)
 
-    open2 = across(labels)
-    left = open2.select("band", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    right = open2.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    rest = left.join(right, "band").where("a < b and ca != cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    links3 = scratch.keep(links2.union(confirmed(rest)).distinct())
+    open_ = mixed(labels).select("band", "rep", "component")
+    names = [f"s{i}" for i in range(SKETCH // 64)]
+    sketches = sets.join(open_.select("rep").distinct(), "rep", "left_semi").mapInArrow(_sketches, "rep long, " + ", ".join(f"{n} long" for n in names))
+    placed = scratch.keep(open_.join(sketches, "rep"))
+    left = placed.select("band", F.col("rep").alias("a"), F.col("component").alias("ca"), *[F.col(n).alias(f"a{n}") for n in names])
+    right = placed.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"), *[F.col(n).alias(f"b{n}") for n in names])
+    differ = sum((F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in names[1:]), F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))))
+    agree = (1 + near.percent / 100) / 2
+    most = int(SKETCH * (1 - agree + 5 * (agree * (1 - agree) / SKETCH) ** 0.5))
+    rest = left.join(right, (left["band"] == right["band"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (differ <= most)).select("a", "b").distinct()
+    links3 = scratch.keep(links2.union(linked(measured(rest))).distinct())
     labels = components(links3, scratch)
 
     out = members.select("doc_id", "n_shingles", "rep").join(labelled(labels), "rep", "left")
