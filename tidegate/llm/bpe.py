@@ -25,21 +25,31 @@ from ..session import importable
 from .common import batches, texts
 from .words import byte_letters, spaced_words
 
-BLOCK = 8_000_000
+BLOCK = 16_000_000
 WORDS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("words", pa.binary())])
 MEET = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("blob", pa.binary())])
 OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
 
 # --- blobs ----------------------------------------------------------------------------------------
+def _least(values: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as all of them need, after that width."""
+    width = next(w for w in (1, 2, 4) if not values.size or int(values.max()) < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def _numbers(raw: bytes, at: int, count: int) -> tuple[np.ndarray, int]:
+    return np.frombuffer(raw, f"<u{raw[at]}", count, at + 1), at + 1 + raw[at] * count
+
+
 def _packed(sizes: np.ndarray, body: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.int64(sizes.size).tobytes() + sizes.astype("<u4").tobytes() + body)
+    return zstandard.ZstdCompressor(level=3).compress(np.int64(sizes.size).tobytes() + _least(sizes) + body)
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    return np.frombuffer(raw, "<u4", n, 8).astype(np.int64), raw[8 + 4 * n :]
+    sizes, end = _numbers(raw, 8, int(np.frombuffer(raw, np.int64, 1)[0]))
+    return sizes.astype(np.int64), raw[end:]
 
 
 def pack_words(words: list[str]) -> bytes:
@@ -158,7 +168,7 @@ def _encoded(spec: Broadcast):
                     table.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
                     starts, sizes, flat = np.concatenate((starts, flat.size + np.cumsum(s) - s)), np.concatenate((sizes, s)), np.concatenate((flat, f))
                 idx = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
-                yield batches({"block": [block], "shard": [shard], "blob": [_packed(sizes[idx], gathered(idx, starts, sizes, flat).astype("<u4").tobytes())]}, MEET)
+                yield batches({"block": [block], "shard": [shard], "blob": [_packed(sizes[idx], _least(gathered(idx, starts, sizes, flat)))]}, MEET)
 
     return run
 
@@ -168,7 +178,7 @@ def _kept(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, ids, many in _blocks(parts):
         sink = pa.BufferOutputStream()
         rows = pa.record_batch([pa.array(ids, pa.int64()), pa.array(many, pa.large_string())], names=["doc_id", "text"])
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
             out.write_batch(rows)
         yield batches({"block": [block], "shard": [2**31 - 1], "blob": [sink.getvalue().to_pybytes()]}, MEET)
 
@@ -190,7 +200,7 @@ def _joined(spec: Broadcast, shards: int):
                 if [(k, len(own)) for k, own in enumerate(dealt) if own] != [(k, s.size) for k, (s, _) in answers.items()]:
                     raise RuntimeError("documents came in other blocks when read again: write them to a table first")
                 sizes = np.concatenate([np.zeros(0, np.int64), *[s for s, _ in answers.values()]])
-                flat = np.frombuffer(b"".join(f for _, f in answers.values()), "<u4")
+                flat = np.concatenate([np.zeros(0, np.uint32), *[_numbers(f, 0, int(s.sum()))[0].astype(np.uint32) for s, f in answers.values()]])
                 starts = np.cumsum(sizes) - sizes
                 ids, decoded = [], []
                 for t in many:
