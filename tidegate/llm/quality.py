@@ -63,13 +63,13 @@ def statistics(text: Column, window: int = 8) -> dict[str, list[tuple[str, Colum
 
 
 def base_statistics(docs: DataFrame, quality: Quality = Quality()) -> DataFrame:
-    """doc_id, lang, source, the base statistics, the number of lines with a word, base_failed."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("__text"))
+    """doc_id, lang, source, text_hash, the base statistics, the number of lines with a word, base_failed."""
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("__text"))
     drop = {"text": ["__text"], "words": ["__lines"], "hashes": ["__words"], "order": ["__hashes"], "at": ["__order"], "end": ["__at"]}
     for layer, columns in statistics(F.col("__text"), quality.window).items():
         out = out.select("*", *[c.alias(name) for name, c in columns]).drop(*drop[layer])
     failed = (F.col("n_words") < quality.least_words) | (100 * F.col("n_repeat_words") > quality.most_repeated * F.col("n_words"))
-    return out.select("doc_id", "lang", "source", *BASE, F.col("__n_lines").cast("long").alias("n_lines"), failed.alias("base_failed"))
+    return out.select("doc_id", "lang", "source", "text_hash", *BASE, F.col("__n_lines").cast("long").alias("n_lines"), failed.alias("base_failed"))
 
 
 def features() -> list[Column]:
@@ -180,7 +180,7 @@ def judged(stats: DataFrame, quality: Quality, scratch: Scratch) -> DataFrame:
     cutoff = chi2_quantile(quality.tail, d)
     out = _with(rows, now, groups).withColumn("distance", _distance(d))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
-    return out.select("doc_id", "lang", "source", *BASE, "base_failed", kept.alias("kept"), "distance")
+    return out.select("doc_id", "lang", "source", "text_hash", *BASE, "base_failed", kept.alias("kept"), "distance")
 
 
 def quality_rules(docs: DataFrame, quality: Quality = Quality()) -> DataFrame:
@@ -192,4 +192,4 @@ def quality_rules(docs: DataFrame, quality: Quality = Quality()) -> DataFrame:
     are kept unless base_failed. An empty table gives no rows. Other columns aren't read.
     """
     scratch = Scratch(docs.sparkSession)
-    return judged(scratch.keep(base_statistics(docs, quality)), quality, scratch).drop("lang", "source")
+    return judged(scratch.keep(base_statistics(docs, quality)), quality, scratch).drop("lang", "source", "text_hash")
