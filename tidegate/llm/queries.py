@@ -75,8 +75,8 @@ e AS (SELECT doc_id, unnest(g) AS g FROM s),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
 u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-r(doc_id, at) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.at)
-SELECT doc_id, any_value(n.n)::BIGINT AS n_shingles, min(at) AS component_id, doc_id = min(at) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.reached)
+SELECT doc_id, any_value(n.n)::BIGINT AS n_shingles, min(reached) AS component_id, doc_id = min(reached) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id
 """
 ORACLE_SQL["op5_line_dedup"] = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
