@@ -72,7 +72,7 @@ def typed(raw: Column, name: str) -> Column:
         whole = F.concat(F.substring(raw, 1, 10), F.when(clock == "", F.lit("T00:00:00")).otherwise(clock))
         return F.when(fits, whole.try_cast(kind))
     value = F.when(fits, raw.try_cast(kind))
-    return value if most is None else F.when((value >= 0) & (value <= F.lit(most).cast(kind)), value)
+    return value if most is None else F.when((value >= 0) & (value <= F.lit(str(most)).cast(kind)), value)
 
 
 def from_typed(column: Column, have: T.DataType, name: str) -> Column:
