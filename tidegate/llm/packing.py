@@ -232,7 +232,7 @@ def plan(histogram: dict[int, int], units: int) -> Plan:
             rest[k] -= n
             room -= n * sizes[k]
         extra.append(row)
-    patterns, times = np.concatenate([patterns[times > 0], np.array(extra, np.int64).reshape(-1, kinds.size)]), np.concatenate([times[times > 0], np.ones(len(extra), np.int64)])
+    patterns, times = np.concatenate([patterns[times > 0], np.array(extra, np.int64).reshape(len(extra), kinds.size)]), np.concatenate([times[times > 0], np.ones(len(extra), np.int64)])
     base = np.concatenate(([0], np.cumsum(times)))
     out = Plan({}, {}, {}, base, int(base[-1]))
     for i, k in enumerate(kinds):
