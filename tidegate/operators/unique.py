@@ -16,6 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checks import FILE_ORD, ROW
+
+#: Repeated keys that are broadcast, at most.
+BROADCAST_KEYS = 50_000
+
 
 def constraints(unique_keys: Sequence[Sequence[str]], unique_columns: Sequence[str], primary_key: Sequence[str]) -> list[tuple[str, ...]]:
     """unique_keys if there are any, else each unique column; then the primary key; each once."""
@@ -34,19 +39,37 @@ def _whole(key: Sequence[str]) -> Column:
     return out
 
 
-def with_duplicates(df: DataFrame, key: Sequence[str], order: Sequence[str], flag: str, seed: DataFrame | None = None) -> DataFrame:
+def _place(order: Sequence[str]) -> Column:
+    """One value that orders the rows; a long where possible, which hash aggregation can take the least
+    of (2^23 files of 2^40 rows)."""
+    if len(order) == 1:
+        return F.col(order[0])
+    if list(order) == [FILE_ORD, ROW]:
+        return F.shiftleft(F.col(FILE_ORD).cast("long"), 40) + F.col(ROW)
+    return F.struct(*[F.col(c) for c in order])
+
+
+def with_duplicates(df: DataFrame, key: Sequence[str], order: Sequence[str], flag: str, seed: DataFrame | None = None, counted: bool = False) -> DataFrame:
     """df with a boolean `flag`. order: columns that put the rows in a total order. seed: the target's
-    rows with the key's columns; its keys are taken before any row."""
-    place = F.struct(*[F.col(c) for c in order])
+    rows with the key's columns; its keys are taken before any row.
+
+    counted: the repeated keys are counted first, and broadcast if they are few, so that clean data are
+    shuffled by key and place alone and not as whole rows.
+    """
+    place = _place(order)
     names = [f"__key_{i}" for i in range(len(key))]
     keyed = [F.col(f"`{c}`").alias(n) for c, n in zip(key, names, strict=True)]
-    firsts = df.where(_whole(key)).groupBy(*keyed).agg(F.min(place).alias("__first"))
+    firsts = df.where(_whole(key)).groupBy(*keyed).agg(F.min(place).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    if counted:
+        firsts = firsts.persist()
+        if firsts.count() <= BROADCAST_KEYS:
+            firsts = F.broadcast(firsts)
     own = [F.col(f"`{c}`") == F.col(n) for c, n in zip(key, names, strict=True)]
     out = df.join(firsts, own, "left")
     late = F.coalesce(place != F.col("__first"), F.lit(False))
     if seed is not None:
         taken = seed.where(_whole(key)).select(*[F.col(f"`{c}`").alias(f"__taken_{i}") for i, c in enumerate(key)]).distinct().withColumn("__taken", F.lit(True))
-        out = out.join(taken, [F.col(n) == F.col(f"__taken_{i}") for i, n in enumerate(names)], "left")
+        out = out.join(taken, [F.col(f"`{c}`") == F.col(f"__taken_{i}") for i, c in enumerate(key)], "left")
         late = late | F.col("__taken").isNotNull()
     return out.withColumn(flag, late & _whole(key)).select(*[f"`{c}`" for c in df.columns], flag)
 

@@ -166,7 +166,7 @@ class EntityRun:
             seed = target.select(*[F.col(f"`{c}`").alias(back[c]) for c in target.columns if c in back])
         flags = []
         for i, key in enumerate(self.constraints):
-            df = unique.with_duplicates(df, key, [checks.FILE_ORD, checks.ROW], f"__dup_{i}", seed)
+            df = unique.with_duplicates(df, key, [checks.FILE_ORD, checks.ROW], f"__dup_{i}", seed, counted=True)
             flags.append((f"__dup_{i}", unique.key_name(key)))
         found = [checks.not_null_error(c) for c in self.required]
         if self.strict:
