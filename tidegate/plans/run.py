@@ -27,6 +27,8 @@ from .inputs import archive_name, located, resolve
 from .lineage import Emitter
 from .state import Heartbeat, InputFile, Ledger
 
+#: Formats whose rows can say that their file can't be read.
+WHOLE_FILE = ("fixed", "json", "xml", "avro")
 Observer = Callable[[dict[str, Any]], None]
 EXIT = {"success": 0, "success_with_warnings": 0, "rejected": 0, "aborted": 2, "failed": 1}
 
@@ -316,7 +318,9 @@ def _process(run: EntityRun, files: list[InputFile], out: EntityReport, run_id:
         for other in read[1:]:
             rows = rows.unionByName(other)
         rows = rows.persist()
-        bad = {r[0]: r[1] for r in rows.where("__error IS NOT NULL").groupBy(checks.FILE_ORD).agg(F.min("__error")).collect()}  # a row a file
+        bad: dict[int, str] = {}
+        if e.source.format in WHOLE_FILE:
+            bad = {r[0]: r[1] for r in rows.where("__error IS NOT NULL").groupBy(checks.FILE_ORD).agg(F.min("__error")).collect()}  # a row a file
         for i, problem in sorted(bad.items()):
             reports[i].status, reports[i].error = ("aborted" if severity == "abort" else "rejected"), problem
             keep_raw(rejected_at, files[i])
@@ -329,15 +333,16 @@ def _process(run: EntityRun, files: list[InputFile], out: EntityReport, run_id:
         checked = run.checked(rows.drop("__error"), target)
         if severity == "abort":
             checked = policy.only_casts_where_aborted(checked)
-        checked = checked.persist()
+        if run.constraints:
+            checked = checked.persist()
         forced = F.col(f"__dup_{run.constraints.index(tuple(run.key))}") if run.key and run.mode.startswith("merge_") else None
         routed = policy.route(checked, severity, forced)
         stopped = stopped or routed.stopped is not None
-        _count(checked, routed, forced, reports, severity)
-        for key, i in zip(run.constraints, range(len(run.constraints)), strict=True):
-            stats = unique.unique_stats(checked, key, f"__dup_{i}").first()
-            samples = [] if e.pii.columns else [r.asDict() for r in unique.unique_samples(checked, key, f"__dup_{i}").collect()]
-            out.unique.append({"columns": list(key), **stats.asDict(), "samples": samples})
+        any_errors = _count(checked, routed, forced, reports, severity)
+        for i, key in enumerate(run.constraints):
+            stats = unique.unique_stats(checked, key, f"__dup_{i}").first().asDict() if any_errors else {"duplicates": 0, "affected_keys": 0}
+            samples = [r.asDict() for r in unique.unique_samples(checked, key, f"__dup_{i}").collect()] if stats["duplicates"] and not e.pii.columns else []
+            out.unique.append({"columns": list(key), **stats, "samples": samples})
         out.accepted = sum(r.accepted for r in reports.values())
         run.write(run.output(routed.accepted), out)
         formatter = run.config.report.formatter if run.config.report else "json"
@@ -369,12 +374,15 @@ def _ordered(df: DataFrame, order: dict[str, int]) -> DataFrame:
     return df.join(F.broadcast(places), F.col("__file") == F.col("__path")).withColumn(checks.FILE_ORD, F.col("__place")).drop("__path", "__place")  # a row a file
 
 
-def _count(checked: DataFrame, routed: policy.Routed, forced, reports: dict[int, FileReport], severity: str) -> None:
+def _count(checked: DataFrame, routed: policy.Routed, forced, reports: dict[int, FileReport], severity: str) -> bool:
+    """Fills in the files' figures; whether any row has errors."""
+    any_errors = False
     out_of = F.size(checks.ERRORS) > 0 if severity != "warn" else F.lit(False)
     if forced is not None:
         out_of = out_of | F.coalesce(forced, F.lit(False))
-    for r in checked.groupBy(checks.FILE_ORD).agg(F.count("*").alias("n"), F.count_if(out_of).alias("bad")).collect():  # a row a file
+    for r in checked.groupBy(checks.FILE_ORD).agg(F.count("*").alias("n"), F.count_if(out_of).alias("bad"), F.count_if(F.size(checks.ERRORS) > 0).alias("with_errors")).collect():  # a row a file
         i = r[checks.FILE_ORD]
+        any_errors = any_errors or r["with_errors"] > 0
         if routed.stopped is not None and i > routed.stopped:
             reports[i].status = "skipped"
             continue
@@ -386,7 +394,7 @@ def _count(checked: DataFrame, routed: policy.Routed, forced, reports: dict[int,
             f.status = "aborted"
         elif severity == "reject" and f.rejected:
             f.status = "rejected"
-    for r in report.rule_summary(checked).collect():  # a row a file, rule and column
+    for r in report.rule_summary(checked).collect() if any_errors else []:  # a row a file, rule and column
         f = reports[r[checks.FILE_ORD]]
         if f.status != "skipped":
             f.rules.append({"rule": r["rule"], "column": r["column"], "violations": r["violations"]})
@@ -394,6 +402,7 @@ def _count(checked: DataFrame, routed: policy.Routed, forced, reports: dict[int,
                 f.warnings += r["violations"]
     for f in reports.values():
         f.rules.sort(key=lambda x: (report.RULES.index(x["rule"]), x["column"]))
+    return any_errors
 
 
 def keep_raw(rejected_at: str | None, f: InputFile) -> None:
