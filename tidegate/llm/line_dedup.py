@@ -264,6 +264,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 10, counts: bool = True) ->
     cold = cold.mapInArrow(_dealt(shards), "shard long, h long, g long, n long, owner long")
     built = cold.repartition("shard").sortWithinPartitions("shard").mapInArrow(_build, "shard long, levels binary, sizes array<long>, prints binary, counts binary, owners binary")
     built = scratch.keep(built)
+    scratch.drop(keys)
     probes = base.mapInArrow(_probes(least_chars, shards, hot), "shard long, probes binary")
     met = built.drop("counts").unionByName(probes, allowMissingColumns=True)
     drops = met.repartition("shard").sortWithinPartitions("shard", F.col("probes").isNotNull()).mapInArrow(_answers, "key_id long, h long").groupBy("key_id").agg(F.collect_set("h").alias("__tidegate_drops"))

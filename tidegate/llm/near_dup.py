@@ -239,6 +239,8 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     rest = left.join(right, (left["band"] == right["band"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (differ <= most)).select("a", "b").distinct()
     links3 = scratch.keep(links2.union(linked(measured(rest))).distinct())
     labels = components(links3, scratch)
+    for done in (buckets, sets, links, links2, links3, placed):
+        scratch.drop(done)
 
     out = members.select("doc_id", "n_shingles", "rep").join(labelled(labels), "rep", "left")
     out = out.withColumn("component_id", F.coalesce("component", "rep", "doc_id"))

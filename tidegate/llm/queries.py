@@ -68,8 +68,8 @@ QUERIES = {f.__name__: f for f in (op1_near_dup, op2_license_scan, op3_fingerpri
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op1_near_dup"] = r"""
-WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x != '') AS w FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x != '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
 n AS (SELECT doc_id, len(g) AS n FROM s),
 e AS (SELECT doc_id, unnest(g) AS g FROM s),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
@@ -86,3 +86,10 @@ j AS (SELECT k.*, coalesce(o.n >= 2 AND o.owner != k.doc_id, false) AS gone FROM
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id
 """
 ORACLE_SQL["op2_license_scan"] = license_scan.oracle_sql()
+ORACLE_SQL["op8_chat_format"] = r"""
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(i)),
+c AS (SELECT conv_id, turn, role = 'assistant' AS learned, coalesce(role, '') AS role, coalesce(text, '') AS text FROM t),
+n AS (SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7 + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x))), 0) AS body,
+length(role) + length(role) - length(replace(role, '\', '')) + (length(role) - length(replace(role, '</turn>', ''))) // 7 + coalesce(list_sum(list_transform(regexp_extract_all(role, '#{3,}'), lambda x: length(x))), 0) + length(role) - length(replace(role, ':', '')) + length(role) - length(replace(role, chr(10), '')) AS head FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, coalesce(sum(length(text)) FILTER (learned), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (learned), '')) AS loss_sha256, sum(4 + head + 2 + body + 8)::BIGINT AS formatted_chars FROM n GROUP BY conv_id
+"""
