@@ -49,24 +49,23 @@ def _place(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
-def with_duplicates(df: DataFrame, key: Sequence[str], order: Sequence[str], flag: str, seed: DataFrame | None = None, counted: bool = False) -> DataFrame:
+def _keyed(key: Sequence[str]) -> list[Column]:
+    return [F.col(f"`{c}`").alias(f"__key_{i}") for i, c in enumerate(key)]
+
+
+def repeated(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The keys that several rows have, and the place of the first of them."""
+    keys = df.where(_whole(key)).groupBy(*_keyed(key)).agg(F.min(_place(order)).alias("__first"), F.count("*").alias("__n"))
+    return keys.where("__n > 1").drop("__n")
+
+
+def with_duplicates(df: DataFrame, key: Sequence[str], order: Sequence[str], flag: str, seed: DataFrame | None = None, firsts: DataFrame | None = None) -> DataFrame:
     """df with a boolean `flag`. order: columns that put the rows in a total order. seed: the target's
-    rows with the key's columns; its keys are taken before any row.
-
-    counted: the repeated keys are counted first, and broadcast if they are few, so that clean data are
-    shuffled by key and place alone and not as whole rows.
-    """
-    place = _place(order)
-    names = [f"__key_{i}" for i in range(len(key))]
-    keyed = [F.col(f"`{c}`").alias(n) for c, n in zip(key, names, strict=True)]
-    firsts = df.where(_whole(key)).groupBy(*keyed).agg(F.min(place).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    if counted:
-        firsts = firsts.persist()
-        if firsts.count() <= BROADCAST_KEYS:
-            firsts = F.broadcast(firsts)
-    own = [F.col(f"`{c}`") == F.col(n) for c, n in zip(key, names, strict=True)]
-    out = df.join(firsts, own, "left")
-    late = F.coalesce(place != F.col("__first"), F.lit(False))
+    rows with the key's columns; its keys are taken before any row. firsts: what repeated() gave, if the
+    caller has it already."""
+    firsts = repeated(df, key, order) if firsts is None else firsts
+    out = df.join(firsts, [F.col(f"`{c}`") == F.col(f"__key_{i}") for i, c in enumerate(key)], "left")
+    late = F.coalesce(_place(order) != F.col("__first"), F.lit(False))
     if seed is not None:
         taken = seed.where(_whole(key)).select(*[F.col(f"`{c}`").alias(f"__taken_{i}") for i, c in enumerate(key)]).distinct().withColumn("__taken", F.lit(True))
         out = out.join(taken, [F.col(f"`{c}`") == F.col(f"__taken_{i}") for i, c in enumerate(key)], "left")
@@ -74,6 +73,18 @@ def with_duplicates(df: DataFrame, key: Sequence[str], order: Sequence[str], fla
     return out.withColumn(flag, late & _whole(key)).select(*[f"`{c}`" for c in df.columns], flag)
 
 
+def with_duplicates_counted(df: DataFrame, key: Sequence[str], order: Sequence[str], flag: str, seed: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """The same after counting the repeated keys: none need no join, few (BROADCAST_KEYS) are broadcast,
+    so that clean data are shuffled by key and place alone and not as whole rows. Also whether the
+    result is cheap to compute again."""
+    firsts = repeated(df, key, order).persist()
+    n = firsts.count()
+    if not n and seed is None:
+        return df.withColumn(flag, F.lit(False)), True
+    few = n <= BROADCAST_KEYS
+    return with_duplicates(df, key, order, flag, seed, F.broadcast(firsts) if few else firsts), few and seed is None
+
+
 def with_duplicates_windowed(df: DataFrame, key: Sequence[str], order: Sequence[Column], flag: str) -> DataFrame:
     """The same by a window: one shuffle of whole rows, for keys that are known not to be skewed."""
     rank = F.row_number().over(Window.partitionBy(*[f"`{c}`" for c in key]).orderBy(*order))

@@ -166,9 +166,10 @@ class EntityRun:
         if target is not None and self.mode == "append":
             back = {o: r for r, o in self.map.output.items()}
             seed = target.select(*[F.col(f"`{c}`").alias(back[c]) for c in target.columns if c in back])
-        flags = []
+        flags, self.cheap = [], True
         for i, key in enumerate(self.constraints):
-            df = unique.with_duplicates(df, key, [checks.FILE_ORD, checks.ROW], f"__dup_{i}", seed, counted=True)
+            df, cheap = unique.with_duplicates_counted(df, key, [checks.FILE_ORD, checks.ROW], f"__dup_{i}", seed)
+            self.cheap = self.cheap and cheap
             flags.append((f"__dup_{i}", unique.key_name(key)))
         found = [checks.not_null_error(c) for c in self.required]
         if self.strict:
@@ -333,7 +334,7 @@ def _process(run: EntityRun, files: list[InputFile], out: EntityReport, run_id:
         checked = run.checked(rows.drop("__error"), target)
         if severity == "abort":
             checked = policy.only_casts_where_aborted(checked)
-        if run.constraints:
+        if not run.cheap:
             checked = checked.persist()
         forced = F.col(f"__dup_{run.constraints.index(tuple(run.key))}") if run.key and run.mode.startswith("merge_") else None
         routed = policy.route(checked, severity, forced)
