@@ -68,6 +68,18 @@ class Scratch:
             _delete(self.spark, self.root)
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for the jobs that run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit words (the finalizer of splitmix64)."""
     h = h.astype(np.uint64, copy=True)

@@ -25,11 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, mix, texts
+from .common import Scratch, batch_rows, batches, mix, texts
 from .components import components
 
 #: Words whose hash a Python worker remembers; it starts anew beyond that.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Attempts at densification whose donors a Python worker keeps: 16, then 64, then 256.
+KEPT_ATTEMPTS = 336
+#: Rows of an Arrow batch: a pair's two sets may take hundreds of kilobytes.
+BATCH_ROWS = 1000
 #: Bits of the sketch that pairs of round 3 are compared by.
 SKETCH = 4096
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -80,16 +84,20 @@ def shingles(text: str, k: int) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def _donors(start: int, count: int, bins: int) -> np.ndarray:
-    """Bins that an empty bin asks, attempt by attempt; the same for all documents."""
+def _donors(start: int, count: int, bins: int, empty: np.ndarray) -> np.ndarray:
+    """Bins that the empty bins ask, attempt by attempt; the same for all documents. The first attempts
+    are kept for all bins."""
+    if start + count > KEPT_ATTEMPTS:
+        return _asked(start, count, bins, empty)
     key = (start, count, bins)
     if key not in _DONORS:
-        tries = np.arange(start, start + count, dtype=np.uint64)[:, None] * np.uint64(bins) + np.arange(bins, dtype=np.uint64)
-        out = (mix(tries + _K) % np.uint64(bins)).astype(np.int32)
-        if start + count > 5000:
-            return out
-        _DONORS[key] = out
-    return _DONORS[key]
+        _DONORS[key] = _asked(start, count, bins, np.arange(bins))
+    return _DONORS[key][:, empty]
+
+
+def _asked(start: int, count: int, bins: int, empty: np.ndarray) -> np.ndarray:
+    tries = np.arange(start, start + count, dtype=np.uint64)[:, None] * np.uint64(bins) + empty.astype(np.uint64)
+    return (mix(tries + _K) % np.uint64(bins)).astype(np.int16)
 
 
 def signature(members: np.ndarray, bins: int) -> np.ndarray:
@@ -104,11 +112,12 @@ def signature(members: np.ndarray, bins: int) -> np.ndarray:
     full[at[first]] = True
     empty, start, count = np.flatnonzero(~full), 0, 16
     while empty.size:
-        ask = _donors(start, count, bins)[:, empty]
+        ask = _donors(start, count, bins, empty)
         ok = full[ask]
         hit = ok.any(0)
         out[empty[hit]] = out[ask[ok.argmax(0), np.arange(empty.size)][hit]]
-        empty, start, count = empty[~hit], start + count, min(1024, count * 4)
+        empty, start = empty[~hit], start + count
+        count = 4 * count if start + 4 * count <= KEPT_ATTEMPTS else max(16, (1 << 16) // max(1, empty.size))
     return out
 
 
@@ -183,6 +192,11 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     share a doc_id are one document: what either text reaches, both do. A null doc_id has component_id
     null, kept true, and hands on no link. Ties don't arise. Other columns aren't read.
     """
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        return _near_duplicates(docs, near)
+
+
+def _near_duplicates(docs: DataFrame, near: Near) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
