@@ -13,5 +13,5 @@ def test_query_equals_its_sql(spark, name):
 
 def test_xml_selector_reads_every_page(spark):
     rows = queries.xml_selector(spark, oracle.SF).collect()
-    pages = oracle.connect().sql("SELECT count(*) FROM pages").fetchone()[0]
+    pages = oracle.connect().sql("SELECT count(*) FROM pages").fetchall()[0][0]
     assert len({r.page_id for r in rows}) == pages
