@@ -149,16 +149,22 @@ class EntityRun:
         return out if "__error" in out.columns else out.withColumn("__error", F.lit(None).cast("string"))
 
     def typed(self, df: DataFrame) -> DataFrame:
-        """Each declared column with __raw_ (whether its cell holds something) beside it."""
+        """Each declared column and, where a cast may fail, __raw_: whether its cell holds something."""
         cells = []
         for n, c in self.columns.items():
+            may_fail = self.strict and casts.canonical(c.type) != "string"
             if f"cell_{n}" in df.columns:
-                cells += [casts.from_typed(F.col(f"`cell_{n}`"), df.schema[f"cell_{n}"].dataType, c.type).alias(n), F.col(f"`cell_{n}`").isNotNull().alias(f"__raw_{n}")]
+                raw = F.col(f"`cell_{n}`")
+                cells.append(casts.from_typed(raw, df.schema[f"cell_{n}"].dataType, c.type).alias(n))
             elif f"raw_{n}" in df.columns:
-                cells += [casts.typed(F.col(f"`raw_{n}`"), c.type).alias(n), F.col(f"`raw_{n}`").isNotNull().alias(f"__raw_{n}")]
+                raw = F.col(f"`raw_{n}`")
+                cells.append(casts.typed(raw, c.type).alias(n))
             else:
-                cells += [F.lit(None).cast(casts.spark_type(c.type)).alias(n), F.lit(False).alias(f"__raw_{n}")]
-        return df.select(*cells, checks.FILE, checks.FILE_ORD, checks.ROW, "__error")
+                raw = F.lit(None)
+                cells.append(raw.cast(casts.spark_type(c.type)).alias(n))
+            if may_fail:
+                cells.append(raw.isNotNull().alias(f"__raw_{n}"))
+        return df.select(*cells, checks.FILE_ORD, checks.ROW, *["__error"] * (self.e.source.format in WHOLE_FILE))
 
     # --- checking ---
     def checked(self, df: DataFrame, target: DataFrame | None) -> DataFrame:
