@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import langid, line_dedup, near_dup, packing, quality
-from tidegate.llm.common import Scratch, table
+from tidegate.llm.common import Scratch, broadcast_if_few, table
 from tidegate.llm.queries import WORD_BPE
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     verdicts = quality.judged(scratch.keep(quality.base_statistics(docs, rules)), rules, scratch)
     bad = scratch.keep(verdicts.where("not kept").select(F.col("doc_id").alias("__tidegate_id"), F.col("text_hash").alias("__tidegate_hash")).distinct())
     same = (F.xxhash64(docs["text"]) == bad["__tidegate_hash"]) & docs["doc_id"].cast("long").eqNullSafe(bad["__tidegate_id"])
-    return docs.join(bad, same, "left_anti")
+    return docs.join(broadcast_if_few(bad), same, "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,8 @@ def line_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of smallest id; one row of each id."""
     found = near_dup.near_duplicates(docs, near_dup.Near(words=5))
-    gone = found.where("not kept").select(F.col("doc_id").alias("__tidegate_id")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["__tidegate_id"], "left_anti")
+    gone = Scratch(spark).keep(found.where("not kept").select(F.col("doc_id").alias("__tidegate_id")).distinct())
+    left = docs.join(broadcast_if_few(gone), docs["doc_id"].cast("long") == gone["__tidegate_id"], "left_anti")
     several = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__tidegate_id")).count().where("count > 1").select("__tidegate_id")
     if several.isEmpty():
         return left

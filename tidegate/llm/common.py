@@ -68,6 +68,15 @@ class Scratch:
             _delete(self.spark, self.root)
 
 
+#: Rows of ids that are broadcast, at most: under 10 MB.
+BROADCAST_IDS = 500_000
+
+
+def broadcast_if_few(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, marked for broadcast if its counted rows are few; else the join shuffles."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int):
     """Arrow batches of at most so many rows for the jobs that run inside."""

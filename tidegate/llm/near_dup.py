@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_rows, batches, mix, texts
+from .common import Scratch, batch_rows, batches, broadcast_if_few, mix, texts
 from .components import components
 
 #: Words whose hash a Python worker remembers; it starts anew beyond that.
@@ -212,7 +212,7 @@ def _near_duplicates(docs: DataFrame, near: Near) -> DataFrame:
     rows = members.where("bands is not null").select("rep", F.explode("bands").alias("band"))
     hubs = rows.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("band", "hub")
     buckets = scratch.keep(rows.join(hubs, "band").distinct())
-    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = broadcast_if_few(scratch.keep(buckets.select(F.col("rep").alias("doc_id")).distinct()))
     sets = scratch.keep(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(near), "rep long, n long, members binary"))
 
     def measured(pairs: DataFrame) -> DataFrame:
