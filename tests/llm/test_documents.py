@@ -247,6 +247,18 @@ def test_quality_rejects_outliers_alone(spark):
     assert kept == set(range(400))
 
 
+@pytest.mark.parametrize(("share", "copies"), [(0.3, False), (0.4, False), (0.34, True), (0.7, True)])
+def test_quality_holds_with_much_junk(spark, share, copies):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("etaoinshr", k=rng.randint(2, 9)))
+    spoilt = lambda: " ".join(word() + rng.choice(("#", "##", "###")) for _ in range(rng.randint(40, 90)))
+    clean = [" ".join(word() for _ in range(rng.randint(25, 300))) for _ in range(600)]
+    n = round(600 * share / (1 - share))
+    junk = [spoilt()] * n if copies else [spoilt() for _ in range(n)]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(clean + junk)], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in quality.quality_rules(df).collect() if r.kept} == set(range(600))
+
+
 def test_chi_squared():
     assert abs(quality.chi2_quantile(0.05, 4) - 9.4877) < 1e-3 and abs(quality.chi2_cdf(5.3481, 6) - 0.5) < 1e-3
 

@@ -3,10 +3,11 @@
 All of it is DataFrame expressions. The statistics of a text are computed in its row; nothing is
 exploded. Groups are (language, source); small ones are pooled by language, then all together. For each
 group the minimum covariance determinant is approached by concentration steps from a deterministic
-start (median and quartiles): the distances' quantile chooses the central share of rows, whose mean and
-covariance give the next distances. A step is two aggregates over the table of statistics with map-side
-combining (sums; a quantile sketch), so a group that holds a third of all rows is no hot key, and the
-4 x 4 inverses are expressions over one row a group.
+start (median and median absolute deviation): the distances' median chooses the central half of the
+texts, whose mean and covariance give the next distances. Copies of one text count once in it, however
+many; so an estimate holds while under half of a group's different texts are outliers. A step is two
+aggregates over the table of statistics with map-side combining (sums; a quantile sketch), so a group
+that holds a third of all rows is no hot key, and the 4 x 4 inverses are expressions over one row a group.
 """
 
 from __future__ import annotations
@@ -29,14 +30,14 @@ BROADCAST_GROUPS = 20_000
 
 @dataclass(frozen=True)
 class Quality:
-    """least_words, most_repeated (percent): the base rule. central: the share of rows that a group's
-    estimate is made of. least_group: rows that a group needs. tail: of the chi-squared distribution
+    """least_words, most_repeated (percent): the base rule. central: the share of texts that a group's
+    estimate is made of; it bears outliers up to the rest. least_group: different texts that a group needs. tail: of the chi-squared distribution
     that is rejected. steps: at most. spread: the least standard deviation of each feature."""
 
     least_words: int = 20
     most_repeated: int = 30
     window: int = 8
-    central: float = 0.75
+    central: float = 0.5
     least_group: int = 100
     tail: float = 1e-6
     steps: int = 8
@@ -139,7 +140,7 @@ def _inverse(table: DataFrame, d: int) -> DataFrame:
 
 def _grouped(rows: DataFrame, quality: Quality, scratch: Scratch) -> DataFrame:
     """Rows with g, the group that their estimate comes from; null where even all rows are too few."""
-    good = rows.where("not base_failed")
+    good = rows.where("not base_failed").select("lang", "source", "text_hash").distinct()
     sizes = scratch.keep(good.groupBy("lang", "source").agg(F.count("*").alias("n")))
     pooled = F.sum(F.when(F.col("n") < quality.least_group, F.col("n"))).over(Window.partitionBy("lang"))
     name = F.when(F.col("n") >= quality.least_group, F.to_json(F.struct("lang", "source"))).when(F.col("pooled") >= quality.least_group, F.to_json(F.struct("lang"))).otherwise(F.lit("*"))
@@ -156,11 +157,12 @@ def judged(stats: DataFrame, quality: Quality, scratch: Scratch) -> DataFrame:
     """The statistics with kept and distance (Mahalanobis, squared; null where there is no estimate)."""
     d = len(quality.spread)
     rows = scratch.keep(_grouped(stats.select("*", *[f.alias(f"f{i}") for i, f in enumerate(features())]), quality, scratch))
-    inside = rows.where("not base_failed and g is not null").select("g", *[f"f{i}" for i in range(d)])
-    quartiles = [F.percentile_approx(f"f{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(d)]
-    start = inside.groupBy("g").agg(*quartiles).select("g", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(d)], *[(1 / (F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + s * s) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, s in enumerate(quality.spread) for j in range(i, d)])
-    now = scratch.keep(start.withColumn("logdet", F.lit(float("inf"))))
-    groups = now.count()
+    texts = rows.where("not base_failed and g is not null").groupBy("g", "text_hash").agg(*[F.min(f"f{i}").alias(f"f{i}") for i in range(d)])
+    inside = scratch.keep(texts.drop("text_hash"))
+    middle = scratch.keep(inside.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(f"f{i}", 0.5, 1000).alias(f"m{i}") for i in range(d)]).where(F.col("n") >= quality.least_group).drop("n"))
+    groups = middle.count()
+    away = _with(inside, middle, groups).groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(d)], *[F.percentile_approx(F.abs(F.col(f"f{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"q{i}") for i in range(d)]).where("m0 is not null")
+    now = scratch.keep(away.select("g", *[f"m{i}" for i in range(d)], *[(1 / (F.pow(1.4826 * F.col(f"q{i}"), 2) + s * s) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, s in enumerate(quality.spread) for j in range(i, d)], F.lit(float("inf")).alias("logdet")))
     inner = chi2_quantile(1 - quality.central, d)
     scale = quality.central / chi2_cdf(inner, d + 2)  # makes the central rows' covariance that of all
     for _ in range(quality.steps if groups else 0):
@@ -188,8 +190,8 @@ def quality_rules(docs: DataFrame, quality: Quality = Quality()) -> DataFrame:
     kept, distance.
 
     A null text reads as the empty text: no words, so base_failed. Null languages and sources are
-    groups like others. Repeated rows count each. Rows of groups too few for an estimate, even pooled,
-    are kept unless base_failed. An empty table gives no rows. Other columns aren't read.
+    groups like others. Copies of a text count once in a group's estimate and are judged each. Rows of
+    groups with too few different texts for an estimate, even pooled, are kept unless base_failed. An empty table gives no rows. Other columns aren't read.
     """
     scratch = Scratch(docs.sparkSession)
     return judged(scratch.keep(base_statistics(docs, quality)), quality, scratch).drop("lang", "source", "text_hash")
