@@ -26,6 +26,18 @@ def test_license_scan_equals_its_sql(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_short_notices(spark):
+    texts = {1: "A poem. (c) Someone. All rights reserved.", 2: "// SPDX-License-Identifier: MIT", 3: "see the MIT License; MIT License", 4: "overall rights reserved", 5: None, 6: "", 7: "GNU Lesser General Public License, version 2.1", 8: "the GNU General Public License, version 2."}
+    docs = spark.createDataFrame([*texts.items(), (1, texts[1])], "doc_id long, text string")
+    got = sorted(tuple(r) for r in license_scan.scan_notices(docs).collect())
+    assert got == [(1, "All-Rights-Reserved", 4, 1), (2, "MIT", 0, 1), (3, "MIT", 2, 2), (7, "LGPL-2.1", 0, 1), (8, "GPL-2.0", 1, 1)]
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [*texts.items(), (1, texts[1])])
+    assert got == sorted(con.sql(license_scan.notices_sql()).fetchall())
+    assert license_scan.scan_notices(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [

@@ -133,3 +133,72 @@ w AS (SELECT *, unnest(range(greatest(0, CAST(ceil((i - size - step + 1) / step)
 c AS (SELECT doc_id, license, start, version, floor(100 * count(DISTINCT g) / m)::INT AS containment FROM w JOIN m USING (license, version) GROUP BY doc_id, license, start, version, size, m)
 SELECT doc_id, license, max(containment) AS containment, min(start)::BIGINT AS first_shingle, count(DISTINCT start) AS n_windows FROM c WHERE containment >= {percent} GROUP BY doc_id, license
 """
+
+
+# --- notices: whole token sequences of any length --------------------------------------------------
+_SPDX = {"MIT": ["MIT"], "Apache-2.0": ["Apache-2.0"], "GPL-2.0": ["GPL-2.0"], "GPL-3.0": ["GPL-3.0"], "LGPL-2.1": ["LGPL-2.1"], "LGPL-3.0": ["LGPL-3.0"], "AGPL-3.0": ["AGPL-3.0"], "BSD-2-Clause": ["BSD-2-Clause"], "BSD-3-Clause": ["BSD-3-Clause"], "ISC": ["ISC"], "MPL-2.0": ["MPL-2.0"], "CC0-1.0": ["CC0-1.0"], "CC-BY-4.0": ["CC-BY-4.0"], "CC-BY-SA-4.0": ["CC-BY-SA-4.0"], "CC-BY-NC-4.0": ["CC-BY-NC-4.0"]}
+_PUBLISHED = "General Public License as published by the Free Software Foundation; either version"
+#: Notices that are too short for shingles, or that differ from another licence's in a word or two.
+NOTICES: dict[str, list[str]] = {name: [f"SPDX-License-Identifier: {i}" for i in ids] for name, ids in _SPDX.items()}
+NOTICES["All-Rights-Reserved"] = ["All rights reserved."]
+for _name, _texts in {
+    "MIT": ["MIT License"],
+    "Apache-2.0": ["Apache License, Version 2.0"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2", f"GNU {_PUBLISHED} 2 of the License"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3", f"GNU {_PUBLISHED} 3 of the License"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", f"GNU Lesser {_PUBLISHED} 2.1 of the License"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", f"GNU Lesser {_PUBLISHED} 3 of the License"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", f"GNU Affero {_PUBLISHED} 3 of the License"],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License"],
+    "ISC": ["ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "CC0-1.0": ["CC0 1.0 Universal"],
+}.items():
+    NOTICES[_name] = [*NOTICES[_name], *_texts]
+
+
+def notice_rows(notices: dict[str, list[str]] = NOTICES) -> list[tuple[str, list[str]]]:
+    """(licence, tokens) of each notice; those without a token are refused."""
+    out = [(name, tokens(text)) for name, texts in notices.items() for text in texts]
+    if bad := [name for name, own in out if not own]:
+        raise ValueError(f"a notice of {bad[0]} has no word")
+    return out
+
+
+def scan_notices(docs: DataFrame, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
+    """One row a document and licence whose notice stands in docs (doc_id, text) token for token: doc_id,
+    license, first_token (where the first notice begins, counted in tokens), n_places (tokens where one
+    or more of the licence's notices begin).
+
+    Notices are of any length. Null and empty texts have no row. Rows that share a doc_id are one
+    document: its places are those of all its distinct texts. An empty table gives no rows.
+    """
+    rows = notice_rows(notices)
+    words = F.regexp_extract_all(F.lower("text"), F.lit(f"({_TOKEN})"), F.lit(1))
+    # One search of the raw text settles which few rows are cut into tokens.
+    any_of = "|".join("[^a-z0-9]+".join(own) for own in dict.fromkeys(tuple(own) for _, own in rows))
+    texts = docs.where(F.lower("text").rlike(f"(?<![a-z0-9])(?:{any_of})(?![a-z0-9])"))
+    texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), words.alias("words"))
+
+    def begins(own: list[str]) -> Column:
+        """Numbers of the tokens where the notice begins."""
+        first = F.sequence(F.lit(0), F.size("words") - len(own))
+        at = F.filter(first, lambda i: (F.get("words", i) == own[0]) & (F.slice("words", i + 1, len(own)) == F.array(*map(F.lit, own))))
+        return F.when(F.size("words") >= len(own), at).otherwise(F.array().cast("array<int>"))
+
+    names = list(dict.fromkeys(name for name, _ in rows))
+    found = [F.struct(F.lit(name).alias("license"), F.array_distinct(F.concat(*[begins(own) for n, own in rows if n == name])).alias("at")) for name in names]
+    each = texts.select("doc_id", "h", F.explode(F.filter(F.array(*found), lambda x: F.size(x["at"]) > 0)).alias("x")).select("doc_id", "h", "x.license", F.explode("x.at").alias("at"))
+    return each.groupBy("doc_id", "license").agg(F.min("at").cast("long").alias("first_token"), F.countDistinct("h", "at").alias("n_places"))
+
+
+def notices_sql(notices: dict[str, list[str]] = NOTICES) -> str:
+    """The same in SQL: the tokens at every place against every notice."""
+    values = ", ".join(f"('{name}', {own})" for name, own in notice_rows(notices))
+    return f"""
+WITH t(license, own) AS (VALUES {values}),
+d AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '{_TOKEN}') AS w FROM documents),
+p AS (SELECT doc_id, text, w, unnest(range(0, len(w))) AS i FROM d),
+f AS (SELECT DISTINCT doc_id, text, license, i FROM p JOIN t ON w[i + 1] = own[1] AND w[i + 1:i + len(own)] = own)
+SELECT doc_id, license, min(i)::BIGINT AS first_token, count(*) AS n_places FROM f GROUP BY doc_id, license
+"""

@@ -41,6 +41,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_notice_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_notices(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint.fingerprints(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -64,7 +68,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op2_license_scan, op3_fingerprint, op4_quality_rules, op5_line_dedup, op6_html, op7_packing, op8_chat_format, op9_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_license_scan, op2_notice_scan, op3_fingerprint, op4_quality_rules, op5_line_dedup, op6_html, op7_packing, op8_chat_format, op9_language_id, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op1_near_dup"] = r"""
@@ -86,6 +90,7 @@ j AS (SELECT k.*, coalesce(o.n >= 2 AND o.owner != k.doc_id, false) AS gone FROM
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id
 """
 ORACLE_SQL["op2_license_scan"] = license_scan.oracle_sql()
+ORACLE_SQL["op2_notice_scan"] = license_scan.notices_sql()
 ORACLE_SQL["op8_chat_format"] = r"""
 WITH t AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(i)),
 c AS (SELECT conv_id, turn, role = 'assistant' AS learned, coalesce(role, '') AS role, coalesce(text, '') AS text FROM t),
