@@ -93,6 +93,17 @@ def test_bands_find_similar_sets_of_any_size():
     assert missed == 0
 
 
+def test_sketch_of_round_3_loses_no_link():
+    """Pairs at exactly 0.80, as the filter bounds them."""
+    rng = np.random.default_rng(1)
+    for n in (4, 8, 12, 20, 40, 100, 800):
+        for _ in range(100):
+            x = rng.integers(0, 2**64, n, dtype=np.uint64)
+            y = np.concatenate((x, rng.integers(0, 2**64, n // 4, dtype=np.uint64)))
+            differ = int(np.bitwise_count((near_dup.parities(x) ^ near_dup.parities(y)).view(np.uint64)).sum())
+            assert 180 * differ <= 20 * (x.size + y.size)
+
+
 def test_line_dedup(docs, empty, spark):
     rows = corpus()
     owner, many = {}, set()

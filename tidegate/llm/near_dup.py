@@ -5,8 +5,10 @@ How nothing is lost although buckets emit stars and not all pairs: texts with eq
 one node. Links are looked for in three rounds, with the components of what is confirmed after each.
 1. each node with the smallest hub among its buckets (one pair a node); 2. all stars of the buckets
 that still hold two components; 3. in those that do so even then, the pairs that cross components and
-whose sketches (the lowest bits of 4096 minima) differ no more than linked pairs' do, with five standard
-deviations to spare. A pair within one component can't change the result, so it is never made; after
+that three bounds leave open. Two hold for every linked pair, so they lose none: the sets' sizes, and
+parity sketches (each shingle flips one of 4096 bits), which differ in at most as many bits as the sets
+have shingles apart. For sets of `MINIMA` shingles or more, where parities fill up, the lowest bits of
+4096 minima differ no more than linked pairs' do, with five standard deviations to spare. A pair within one component can't change the result, so it is never made; after
 round 3 every pair that shares a bucket is confirmed, refuted or redundant.
 
 With 512 bins in 64 bands of 8, a pair of similarity 0.8 shares no bucket with probability
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch_rows, batches, broadcast_if_few, mix, texts
@@ -34,8 +36,10 @@ REMEMBERED = 200_000
 KEPT_ATTEMPTS = 336
 #: Rows of an Arrow batch: a pair's two sets may take hundreds of kilobytes.
 BATCH_ROWS = 1000
-#: Bits of the sketch that pairs of round 3 are compared by.
+#: Bits of each sketch that pairs of round 3 are compared by.
 SKETCH = 4096
+#: Shingles of the smaller set from which minima are compared too; bits of fewer depend on each other.
+MINIMA = 8192
 _K = np.uint64(0x9E3779B97F4A7C15)
 FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("members", pa.binary())])
@@ -176,12 +180,24 @@ def _measured(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batches({"a": part.column("a"), "b": part.column("b"), "both": [m for m, _ in found], "union": [n for _, n in found]}, PAIRS)
 
 
+def parities(members: np.ndarray) -> np.ndarray:
+    """SKETCH bits as 64-bit words; each member flips one. Two sets' differ in no more bits than the sets
+    have members apart."""
+    n = np.bincount((mix(members) >> np.uint64(65 - SKETCH.bit_length())).astype(np.int64), minlength=SKETCH)
+    return np.packbits((n & 1).astype(np.uint8)).view(np.int64)
+
+
+def _minima(members: np.ndarray) -> np.ndarray:
+    return np.packbits((mix(signature(members, SKETCH)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
 def _sketches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = SKETCH // 64
     for part in parts:
-        members = part.column("members")
-        sketch = [np.packbits((mix(signature(np.frombuffer(m.as_buffer(), np.uint64), SKETCH)) & np.uint64(1)).astype(np.uint8)).view(np.int64) for m in members]
-        bits = np.array(sketch, np.int64).reshape(-1, SKETCH // 64)
-        yield pa.RecordBatch.from_arrays([part.column("rep"), *[pa.array(bits[:, i]) for i in range(SKETCH // 64)]], names=["rep", *[f"s{i}" for i in range(SKETCH // 64)]])
+        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in part.column("members")]
+        odd = np.array([parities(m) for m in sets], np.int64).reshape(-1, words)
+        low = np.array([_minima(m) if m.size >= MINIMA else np.zeros(words, np.int64) for m in sets], np.int64).reshape(-1, words)
+        yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("n"), *[pa.array(odd[:, i]) for i in range(words)], *[pa.array(low[:, i]) for i in range(words)]], names=["rep", "n", *[f"o{i}" for i in range(words)], *[f"s{i}" for i in range(words)]])
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
@@ -242,15 +258,21 @@ def _near_duplicates(docs: DataFrame, near: Near) -> DataFrame:
     labels = components(links2, scratch)
 
     open_ = mixed(labels).select("band", "rep", "component")
-    names = [f"s{i}" for i in range(SKETCH // 64)]
-    sketches = sets.join(open_.select("rep").distinct(), "rep", "left_semi").mapInArrow(_sketches, "rep long, " + ", ".join(f"{n} long" for n in names))
+    names = [f"{k}{i}" for k in "os" for i in range(SKETCH // 64)]
+    sketches = sets.join(open_.select("rep").distinct(), "rep", "left_semi").mapInArrow(_sketches, "rep long, n long, " + ", ".join(f"{n} long" for n in names))
     placed = scratch.keep(open_.join(sketches, "rep"))
-    left = placed.select("band", F.col("rep").alias("a"), F.col("component").alias("ca"), *[F.col(n).alias(f"a{n}") for n in names])
-    right = placed.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"), *[F.col(n).alias(f"b{n}") for n in names])
-    differ = sum((F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in names[1:]), F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))))
+    left = placed.select("band", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *[F.col(n).alias(f"a{n}") for n in names])
+    right = placed.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), *[F.col(n).alias(f"b{n}") for n in names])
+
+    def differ(kind: str) -> Column:
+        return sum((F.bit_count(F.col(f"a{kind}{i}").bitwiseXOR(F.col(f"b{kind}{i}"))) for i in range(1, SKETCH // 64)), F.bit_count(F.col(f"a{kind}0").bitwiseXOR(F.col(f"b{kind}0"))))
+
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    possible = (100 * small >= near.percent * large) & ((100 + near.percent) * differ("o") <= (100 - near.percent) * (small + large))
     agree = (1 + near.percent / 100) / 2
     most = int(SKETCH * (1 - agree + 5 * (agree * (1 - agree) / SKETCH) ** 0.5))
-    rest = left.join(right, (left["band"] == right["band"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (differ <= most)).select("a", "b").distinct()
+    near_enough = possible & ((small < MINIMA) | (differ("s") <= most))
+    rest = left.join(right, (left["band"] == right["band"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near_enough).select("a", "b").distinct()
     links3 = scratch.keep(links2.union(linked(measured(rest))).distinct())
     labels = components(links3, scratch)
     for done in (buckets, sets, links, links2, links3, placed):
