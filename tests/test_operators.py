@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidegate.functions import casts, masks, names, selectors
 from tidegate.operators import checks, merge, mismatch, policy, unique
 from tidegate.plans.lineage import Emitter
-from tidegate.plans.state import InputFile, Ledger
+from tidegate.plans.state import Ledger
+from tidegate.storage import Files, InputFile
 
 
 def test_names():
@@ -112,7 +113,7 @@ def test_mismatch_lists():
 
 def test_ledger(tmp_path):
     now = [0.0]
-    ledger = Ledger(tmp_path / "state.json", "e", clock=lambda: now[0])
+    ledger = Ledger(Files(), str(tmp_path / "state.json"), "e", clock=lambda: now[0])
     files = [InputFile("a", 1, 1.0), InputFile("b", 1, 1.0)]
     assert ledger.claim("r1", files).taken == files
     other = ledger.claim("r2", files)

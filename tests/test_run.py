@@ -9,7 +9,7 @@ import yaml
 
 from tidegate import api
 from tidegate.plans.config import ConfigError
-from tidegate.sources.avro import encode
+from avro_files import encode
 
 
 def contract(tmp: Path, fmt="csv", columns=None, severity="reject", files=None, **more) -> str:
@@ -43,9 +43,9 @@ def test_unique_across_files(spark, tmp_path):
     assert out.exit_code == 0 and e.status == "rejected" and (e.rows, e.accepted, e.rejected) == (4, 3, 1), out
     assert [f.status for f in e.files] == ["success", "rejected"]
     assert accepted(spark, tmp_path) == [("1", "alice"), ("2", "bob"), ("3", "dave")]
-    rejected = spark.read.option("header", True).csv(str(tmp_path / "out/rejected")).collect()
+    rejected = spark.read.options(header=True, escape='"').csv(str(tmp_path / "out/rejected")).collect()
     assert [(r["id"], r["__dq_row_index"]) for r in rejected] == [("2", "0")]
-    assert json.loads(rejected[0]["__dq_errors"].replace('\\"', '"'))[0]["rule"] == "unique"
+    assert json.loads(rejected[0]["__dq_errors"])[0]["rule"] == "unique"
     assert json.loads((tmp_path / "report/run_r1/e/run.json").read_text())["accepted"] == 3
     assert e.unique[0]["duplicates"] == 1
 
@@ -55,7 +55,7 @@ def test_append_sees_what_is_there(spark, tmp_path):
     assert api.run(spark, c).entities[0].accepted == 2
     (tmp_path / "in/a.csv").write_text("id;name\n2;bob\n3;carol\n")
     e = api.run(spark, c).entities[0]
-    assert (e.accepted, e.rejected) == (1, 1)
+    assert (e.accepted, e.rejected) == (1, 1), e
     assert len(accepted(spark, tmp_path)) == 3
 
 
@@ -75,11 +75,11 @@ def test_cast_modes_and_abort(spark, tmp_path):
 @pytest.mark.parametrize(
     ("body", "schema", "severity", "status", "action"),
     [
-        ("id\n1\n", {}, "warn", "success", "filled_nulls"),
-        ("id\n1\n", {"mismatch": {"missing_columns": "reject_file"}}, "reject", "rejected", "rejected_file"),
-        ("id;name;extra\n1;a;b\n", {}, "warn", "success", "ignored_extras"),
-        ("id;name;extra\n1;a;b\n", {"mismatch": {"extra_columns": "reject_file"}}, "abort", "aborted", "aborted"),
-        ("id\n1\n", {"mismatch": {"missing_columns": "reject_file"}}, "warn", "success_with_warnings", "filled_nulls"),
+        ("id\n77\n78\n", {}, "warn", "success", "filled_nulls"),
+        ("id\n77\n78\n", {"mismatch": {"missing_columns": "reject_file"}}, "reject", "rejected", "rejected_file"),
+        ("id;name;note\n77;kees;x\n78;liv;y\n", {}, "warn", "success", "ignored_extras"),
+        ("id;name;note\n77;kees;x\n", {"mismatch": {"extra_columns": "reject_file"}}, "abort", "aborted", "aborted"),
+        ("id\n77\n78\n", {"mismatch": {"missing_columns": "reject_file"}}, "warn", "success_with_warnings", "filled_nulls"),
     ],
 )
 def test_mismatch(spark, tmp_path, body, schema, severity, status, action):
@@ -97,8 +97,8 @@ def test_formats(spark, tmp_path):
         assert e.status in ("success", "rejected"), e
         return e.accepted, e.rejected, e.files[0].error
 
-    fixed = [{"name": "id", "type": "integer", "width": 4}, {"name": "qty", "type": "integer", "width": 2}]
-    assert counts("fixed", fmt="fixed", columns=fixed, files={"a.txt": "000110\nABCD20\n"}) == (1, 1, None)
+    fixed = [{"name": "id", "type": "integer", "width": 3}, {"name": "qty", "type": "integer", "width": 4}]
+    assert counts("fixed", fmt="fixed", columns=fixed, files={"a.txt": "0420007\nx1y0031\n"}) == (1, 1, None)
     assert counts("tsv", fmt="tsv", files={"a.tsv": "id\tname\textra\n1\ta\tskip\n"}) == (1, 0, None)
     assert counts("json", fmt="json", files={"a.json": '[{"id":"1","name":"Ada"},{"id":"2","extra":"x"}]'}) == (2, 0, None)
     assert counts("bad", fmt="json", files={"a.json": "{bad}"})[2].startswith("json_parse_error")
@@ -152,9 +152,9 @@ def test_merges(spark, tmp_path, sink):
     (tmp_path / "out").mkdir()
     for mode, want in (("merge_scd1", {"inserted": 1, "updated": 1, "rows_before": 2, "rows_after": 3}), ("merge_scd2", {"inserted": 2, "closed": 1, "unchanged": 1, "rows_before": 2, "rows_after": 4})):
         target["path"] = f"out/{mode}" + (".duckdb" if sink == "duckdb" else "")
-        second = "id;country;name\n1;fr;alice-updated\n3;us;carol\n" if mode == "merge_scd1" else "id;country;name\n1;fr;alice-v2\n2;ca;bob\n3;us;carol\n"
+        second = "id;country;name\n7;nl;kees jan\n9;pt;rui\n" if mode == "merge_scd1" else "id;country;name\n7;nl;kees jan\n8;se;liv\n9;pt;rui\n"
         kw = dict(columns=KEYED, accepted=target, write_mode=mode, severity="warn", schema={"primary_key": ["id", "country"]})
-        api.run(spark, contract(tmp_path, files={"a.csv": "id;country;name\n1;fr;alice\n2;ca;bob\n"}, **kw))
+        api.run(spark, contract(tmp_path, files={"a.csv": "id;country;name\n7;nl;kees\n8;se;liv\n"}, **kw))
         e = api.run(spark, contract(tmp_path, files={"a.csv": second}, **kw)).entities[0]
         assert e.merge is not None and {k: e.merge[k] for k in want} == want, e
 

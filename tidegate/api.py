@@ -9,8 +9,8 @@ from pyspark.sql import SparkSession
 from .plans.config import Config, ConfigError, config_variables, load, load_profile, validate as check
 from .plans.infer import add_entity, infer_contract
 from .plans.manifest import generate, reconstruct
-from .plans.run import Outcome, ledger_path, run
-from .plans.state import Ledger
+from .plans.run import Outcome, ledger, run
+from .storage import Files
 
 __all__ = ["Config", "ConfigError", "Outcome", "add_entity", "config_variables", "generate", "infer_contract", "inspect_state", "load_config", "reconstruct", "reset_state", "run", "run_manifest", "validate"]
 
@@ -32,9 +32,9 @@ def run_manifest(spark: SparkSession, manifest: dict[str, Any], **options: Any)
 
 def inspect_state(path: str, entity: str, **options: Any) -> dict[str, Any]:
     config = load(path, **options)
-    return Ledger(ledger_path(config, config.entity(entity)), entity).read()
+    return ledger(Files(), config, config.entity(entity)).read()
 
 
 def reset_state(path: str, entity: str, **options: Any) -> bool:
     config = load(path, **options)
-    return Ledger(ledger_path(config, config.entity(entity)), entity).reset()
+    return ledger(Files(), config, config.entity(entity)).reset()

@@ -68,9 +68,7 @@ def typed(raw: Column, name: str) -> Column:
         hour_ok = raw.rlike("^([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?")
         return F.when(fits & hour_ok, raw)
     if key == "datetime":  # the wall clock, whatever the zone
-        clock = F.regexp_replace(F.substring(raw, 11, 40), "(Z|[+-][0-9]{2}:?[0-9]{2})$", "")
-        whole = F.concat(F.substring(raw, 1, 10), F.when(clock == "", F.lit("T00:00:00")).otherwise(clock))
-        return F.when(fits, whole.try_cast(kind))
+        return F.when(fits, raw.try_cast(kind))
     value = F.when(fits, raw.try_cast(kind))
     return value if most is None else F.when((value >= 0) & (value <= F.lit(str(most)).cast(kind)), value)
 

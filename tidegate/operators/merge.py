@@ -111,3 +111,31 @@ def evolve(target: DataFrame, source: DataFrame, mode: str = "strict", key: Sequ
 
 def append(target: DataFrame, source: DataFrame, mode: str = "strict") -> DataFrame:
     return evolve(target, source, mode)[0].unionByName(source)
+
+
+# --- the same as MERGE statements, for tables whose connector has them ------------------------------
+def _on(key: Sequence[str]) -> str:
+    return " AND ".join(f"t.`{c}` = s.`{c}`" for c in key)
+
+
+def scd1_statement(target: str, source: str, columns: Sequence[str], key: Sequence[str], ignore: Sequence[str] = ()) -> str:
+    taken = ", ".join(f"t.`{c}` = s.`{c}`" for c in columns if c not in key and c not in ignore)
+    matched = f"WHEN MATCHED THEN UPDATE SET {taken} " if taken else ""
+    return f"MERGE INTO {target} t USING {source} s ON {_on(key)} {matched}WHEN NOT MATCHED THEN INSERT ({', '.join(f'`{c}`' for c in columns)}) VALUES ({', '.join(f's.`{c}`' for c in columns)})"
+
+
+def scd2_staged(target: DataFrame, source: DataFrame, key: Sequence[str], compare: Sequence[str], now: Column, names: HistoryNames = HistoryNames()) -> DataFrame:
+    """The source's new and changed rows, with __close: the changed ones come twice, once to close the row
+    that is current and once to be inserted."""
+    current = _tagged(target.where(F.col(names.is_current)).select(*[f"`{c}`" for c in dict.fromkeys([*key, *compare])]), "t")
+    met = _tagged(source, "s").join(current, _same(key), "left")
+    here = F.col("t__there").isNotNull()
+    rows = met.where(~here | changed(compare)).select(*[F.col(f"`s_{c}`").alias(c) for c in source.columns], F.explode(F.when(here, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("__close"))
+    return rows.withColumn("__now", now)
+
+
+def scd2_statement(target: str, source: str, columns: Sequence[str], key: Sequence[str], names: HistoryNames = HistoryNames()) -> str:
+    system = [names.is_current, names.valid_from, names.valid_to]
+    into = ", ".join(f"`{c}`" for c in [*columns, *system])
+    values = ", ".join([*[f"s.`{c}`" for c in columns], "true", "s.__now", "NULL"])
+    return f"MERGE INTO {target} t USING {source} s ON {_on(key)} AND t.`{system[0]}` AND s.__close WHEN MATCHED THEN UPDATE SET t.`{system[0]}` = false, t.`{system[2]}` = s.__now WHEN NOT MATCHED AND NOT s.__close THEN INSERT ({into}) VALUES ({values})"

@@ -51,4 +51,4 @@ def only_casts_where_aborted(df: DataFrame) -> DataFrame:
     """Under abort a file with cast errors reports these alone."""
     casts = F.filter(ERRORS, lambda e: e["rule"] == "cast_error")
     files = df.where(F.size(casts) > 0).select(FILE_ORD).distinct().withColumn("__casts", F.lit(True))
-    return df.join(F.broadcast(files), FILE_ORD, "left").withColumn(ERRORS, F.when(F.col("__casts"), casts).otherwise(F.col(ERRORS))).drop("__casts")  # a row a file
+    return df.join(files, FILE_ORD, "left").withColumn(ERRORS, F.when(F.col("__casts"), casts).otherwise(F.col(ERRORS))).drop("__casts")

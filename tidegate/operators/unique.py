@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .checks import FILE_ORD, ROW
@@ -73,22 +73,23 @@ def with_duplicates(df: DataFrame, key: Sequence[str], order: Sequence[str], fla
     return out.withColumn(flag, late & _whole(key)).select(*[f"`{c}`" for c in df.columns], flag)
 
 
-def with_duplicates_counted(df: DataFrame, key: Sequence[str], order: Sequence[str], flag: str, seed: DataFrame | None = None) -> tuple[DataFrame, bool]:
+def with_duplicates_counted(df: DataFrame, key: Sequence[str], order: Sequence[str], flag: str, seed: DataFrame | None = None) -> tuple[DataFrame, bool, DataFrame | None]:
     """The same after counting the repeated keys: none need no join, few (BROADCAST_KEYS) are broadcast,
     so that clean data are shuffled by key and place alone and not as whole rows. Also whether the
-    result is cheap to compute again."""
+    result is cheap to compute again, and the persisted keys, which the caller releases."""
     firsts = repeated(df, key, order).persist()
     n = firsts.count()
     if not n and seed is None:
-        return df.withColumn(flag, F.lit(False)), True
+        firsts.unpersist()
+        return df.withColumn(flag, F.lit(False)), True, None
     few = n <= BROADCAST_KEYS
-    return with_duplicates(df, key, order, flag, seed, F.broadcast(firsts) if few else firsts), few and seed is None
+    return with_duplicates(df, key, order, flag, seed, F.broadcast(firsts) if few else firsts), few and seed is None, firsts
 
 
-def with_duplicates_windowed(df: DataFrame, key: Sequence[str], order: Sequence[Column], flag: str) -> DataFrame:
-    """The same by a window: one shuffle of whole rows, for keys that are known not to be skewed."""
-    rank = F.row_number().over(Window.partitionBy(*[f"`{c}`" for c in key]).orderBy(*order))
-    return df.withColumn(flag, _whole(key) & (rank > 1))
+def taken_count(df: DataFrame, key: Sequence[str], flag: str, seed: DataFrame) -> int:
+    """How many of the duplicates have a key that the target has."""
+    taken = seed.where(_whole(key)).select(*_keyed(key)).distinct()
+    return df.where(flag).join(taken, [F.col(f"`{c}`") == F.col(f"__key_{i}") for i, c in enumerate(key)], "left_semi").count()
 
 
 def unique_stats(df: DataFrame, key: Sequence[str], flag: str) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import glob
 import hashlib
-import os
 from pathlib import Path
 
+from ..storage import Files, InputFile
 from .config import Config, ConfigError, Entity, Storage
-from .state import InputFile
 
 #: File name endings by format.
 ENDINGS = {"csv": (".csv",), "tsv": (".tsv",), "fixed": (".txt", ".fixed", ".dat"), "json": (".json", ".jsonl", ".ndjson"), "xml": (".xml",), "xlsx": (".xlsx",), "parquet": (".parquet",), "orc": (".orc",), "avro": (".avro",)}
@@ -33,24 +31,14 @@ def located(config: Config, path: str, storage: str | None) -> str:
     raise ConfigError(f"unsupported storage type: {found.type}")
 
 
-def resolve(config: Config, e: Entity) -> list[InputFile]:
-    """Sorted and each once. A file, a folder (with its glob, or the format's endings), or a glob; no
-    match is an error."""
+def resolve(files: Files, config: Config, e: Entity) -> list[InputFile]:
+    """Sorted and each once. A file, a folder (with its glob, or the format's endings), or a glob, on any
+    storage; no match is an error."""
     path, options = located(config, e.source.path, e.source.storage), e.source.options
-    if os.path.isfile(path):
-        found = [path]
-    elif os.path.isdir(path):
-        deep = "**/" if options.recursive else ""
-        if options.glob:
-            found = glob.glob(os.path.join(path, deep + options.glob), recursive=True)
-        else:
-            found = [f for f in glob.glob(os.path.join(path, deep + "*"), recursive=True) if f.lower().endswith(ENDINGS[e.source.format])]
-    else:
-        found = glob.glob(path, recursive=True)
-    files = sorted({os.path.realpath(f) for f in found if os.path.isfile(f)})
-    if not files:
+    found = files.find(path, ENDINGS[e.source.format], options.glob, options.recursive)
+    if not found:
         raise FileNotFoundError(f"entity.name={e.name} no input files matched {path}")
-    return [InputFile(f, os.path.getsize(f), os.path.getmtime(f)) for f in files]
+    return found
 
 
 def archive_name(file: InputFile, run_id: str) -> str:

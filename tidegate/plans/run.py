@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import datetime
 import json
-import os
-import shutil
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from contextlib import contextmanager, nullcontext
 from dataclasses import asdict, dataclass, field
-from pathlib import Path
+from pathlib import Path, PurePosixPath
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__
@@ -22,15 +22,24 @@ from ..operators import checks, merge, mismatch, policy, report, unique
 from ..session import importable
 from ..sinks import partitions, tables
 from ..sources import avro, columnar, fixed, json as json_source, text, xlsx, xml
+from ..sources.lines import AT, SPLIT, with_row_index
+from ..storage import STATE_FOLDER, Files, InputFile, joined
 from .config import Config, Entity, load, load_profile
 from .inputs import archive_name, located, resolve
 from .lineage import Emitter
-from .state import Heartbeat, InputFile, Ledger
+from .state import Heartbeat, Ledger
 
 #: Formats whose rows can say that their file can't be read.
 WHOLE_FILE = ("fixed", "json", "xml", "avro")
+#: Formats whose rows know their number in the file.
+NUMBERED = ("xml", "avro", "xlsx", "parquet")
+#: Files that a filter names one by one, at most.
+LISTED = 1000
+LONG_ROW = "row has more cells than the file has columns"
 Observer = Callable[[dict[str, Any]], None]
 EXIT = {"success": 0, "success_with_warnings": 0, "rejected": 0, "aborted": 2, "failed": 1}
+#: What a constraint's duplicates did, by severity.
+EFFECTS = {"warn": "warn", "reject": "reject_rows", "abort": "abort_run"}
 
 
 @dataclass
@@ -44,6 +53,8 @@ class FileReport:
     mismatch: dict[str, Any] = field(default_factory=dict)
     error: str | None = None
     rules: list[dict[str, Any]] = field(default_factory=list)
+    rejected_path: str | None = None
+    archived_path: str | None = None
 
 
 @dataclass
@@ -55,11 +66,23 @@ class EntityReport:
     accepted: int = 0
     rejected: int = 0
     warnings: int = 0
+    errors: int = 0
     unique: list[dict[str, Any]] = field(default_factory=list)
     merge: dict[str, Any] | None = None
     added_columns: list[str] = field(default_factory=list)
     output: dict[str, Any] = field(default_factory=dict)
+    errors_path: str | None = None
     notes: list[str] = field(default_factory=list)
+    #: Milliseconds of each phase.
+    phases: dict[str, int] = field(default_factory=dict)
+
+    @contextmanager
+    def timed(self, phase: str):
+        began = time.monotonic()
+        try:
+            yield
+        finally:
+            self.phases[phase] = self.phases.get(phase, 0) + round(1000 * (time.monotonic() - began))
 
 
 @dataclass
@@ -77,8 +100,9 @@ class Outcome:
 class EntityRun:
     """One entity, with its names and constraints worked out."""
 
-    def __init__(self, spark: SparkSession, config: Config, e: Entity, full: bool):
-        self.spark, self.config, self.e, self.full = spark, config, e, full
+    def __init__(self, spark: SparkSession, config: Config, e: Entity, full: bool, emit: Observer = lambda _: None):
+        self.spark, self.config, self.e, self.full, self.emit = spark, config, e, full, emit
+        self.files = Files(spark)
         sch = e.schema
         strategy = sch.normalize_columns.strategy if sch.normalize_columns.enabled else None
         self.strategy = strategy
@@ -89,24 +113,31 @@ class EntityRun:
         self.required = list(dict.fromkeys([n for n, c in self.columns.items() if c.nullable is False] + self.key))
         self.constraints = unique.constraints([run(k) for k in sch.unique_keys], [n for n, c in self.columns.items() if c.unique], self.key)
         self.strict = e.source.cast_mode == "strict"
+        self.delimited_ = e.source.format in ("csv", "tsv")
         self.mode = "overwrite" if full and e.sink.write_mode == "append" else e.sink.write_mode
+        self.numbered = e.source.format in NUMBERED or e.source.format == "json" and e.source.options.json_mode == "array"
 
     # --- reading ---
-    def header(self, path: str) -> list[str]:
-        """The file's columns as they stand. ValueError rejects the file."""
+    def headers(self, inputs: Sequence[InputFile]) -> list[list[str] | ValueError]:
+        """Each file's columns as they stand, or why it is rejected. Only the files' beginnings or footers
+        are read; workbooks, which have their directory at the end, in one job."""
         o, e = self.e.source.options, self.e
+        declared = [c.source or c.name for c in e.schema.columns]
         match e.source.format:
             case "csv" | "tsv":
-                return text.header_of(self.spark, path, self.delimited(), [c.source or c.name for c in e.schema.columns])
+                look = lambda f: text.header_of(self.files, f.path, self.delimited(), declared)
             case "json":
-                return json_source.first_keys(self.spark, path, o.json_mode == "array")
+                look = lambda f: json_source.first_keys(self.files, f.path, o.json_mode == "array")
             case "parquet" | "orc":
-                return columnar.columns_of(self.spark, path, e.source.format)
+                look = lambda f: columnar.columns_of(self.files, f.path, e.source.format)
             case "avro":
-                return avro.columns_of(self.spark, path)
+                look = lambda f: avro.columns_of(self.files, f.path)
             case "xlsx":
-                return xlsx.columns_of(self.spark, path, o.sheet, o.header_row)
-        return [c.source or c.name for c in e.schema.columns]
+                found = xlsx.headers(self.spark, [(i, f.path) for i, f in enumerate(inputs)], o.sheet, o.header_row)
+                return [found[i] for i in range(len(inputs))]
+            case _:
+                return [declared] * len(inputs)
+        return self.files.each(look, inputs)
 
     def delimited(self) -> text.Delimited:
         o = self.e.source.options
@@ -118,35 +149,34 @@ class EntityRun:
             return [n for n, c in self.columns.items() if mismatch.takes_part(c.source)]
         return list(self.columns)
 
-    def read(self, paths: list[str], header: list[str]) -> DataFrame:
-        """Files of one header: raw_ or cell_ columns by runtime name, places, and __error."""
+    def read(self, files: list[tuple[int, str]], header: list[str]) -> DataFrame:
+        """Files, (position, path), of one header: raw_ or cell_ columns by runtime name, and places."""
         o, e, spark = self.e.source.options, self.e, self.spark
         runtime: dict[str, str] = {}
         for h in header:  # the first of two that normalise alike
             runtime.setdefault(names.normalize_name(h, self.strategy), h)
         match e.source.format:
             case "csv" | "tsv":
-                raw = text.read_delimited(spark, paths, [f"{i}" for i in range(len(header))], self.delimited())
-                place = {n: header.index(h) for n, h in runtime.items()}
-                out = raw.select(*[F.col(f"raw_{place[n]}").alias(f"raw_{n}") for n in self.columns if n in place], "__file", "__file_ord", "__row_index")
+                place = {n: str(header.index(h)) for n, h in runtime.items() if n in self.columns}
+                raw = text.read_delimited(spark, files, [f"{i}" for i in range(len(header))], self.delimited(), list(place.values()))
+                return raw.withColumnsRenamed({f"raw_{i}": f"raw_{n}" for n, i in place.items()})
             case "fixed":
-                out = fixed.read_fixed(spark, paths, [(n, c.width, c.trim) for n, c in self.columns.items()])
-                out = out.withColumn("__error", F.when(F.col("__bad"), "fixed_width_error: a line does not fit")).drop("__bad")
+                out = fixed.read_fixed(spark, files, [(n, c.width, c.trim) for n, c in self.columns.items()])
+                return out.withColumn("__error", F.when(F.col("__bad"), "fixed_width_error: a line does not fit")).drop("__bad")
             case "json":
                 selectors = {n: c.source or (runtime.get(n) or c.name) for n, c in self.columns.items()}
                 reader = json_source.read_json_array if o.json_mode == "array" else json_source.read_ndjson
-                out = reader(spark, paths, selectors, self.strict)
+                return reader(spark, files, selectors, self.strict)
             case "xml":
-                out = xml.read_xml(spark, paths, o.row_tag, {n: c.source or c.name for n, c in self.columns.items()}, o.namespace, o.value_tag)
+                return xml.read_xml(spark, files, o.row_tag, {n: c.source or c.name for n, c in self.columns.items()}, o.namespace, o.value_tag)
             case "avro":
-                out = avro.read_avro(spark, paths, {n: runtime[n] for n in self.columns if n in runtime}, self.strict)
+                return avro.read_avro(spark, files, {n: runtime[n] for n in self.columns if n in runtime}, self.strict)
             case "xlsx":
-                raw = xlsx.read_xlsx(spark, paths, [runtime[n] for n in self.columns if n in runtime], o.sheet, o.header_row, o.data_row or o.header_row + 1)
-                out = raw.withColumnsRenamed({f"raw_{runtime[n]}": f"raw_{n}" for n in self.columns if n in runtime})
+                raw = xlsx.read_xlsx(spark, files, [runtime[n] for n in self.columns if n in runtime], o.sheet, o.header_row, o.data_row or o.header_row + 1)
+                return raw.withColumnsRenamed({f"raw_{runtime[n]}": f"raw_{n}" for n in self.columns if n in runtime})
             case kind:
-                raw = columnar.read_columnar(spark, paths, kind, [runtime[n] for n in self.columns if n in runtime])
-                out = raw.withColumnsRenamed({f"cell_{runtime[n]}": f"cell_{n}" for n in self.columns if n in runtime})
-        return out if "__error" in out.columns else out.withColumn("__error", F.lit(None).cast("string"))
+                raw = columnar.read_columnar(spark, files, kind, [runtime[n] for n in self.columns if n in runtime])
+                return raw.withColumnsRenamed({f"cell_{runtime[n]}": f"cell_{n}" for n in self.columns if n in runtime})
 
     def typed(self, df: DataFrame) -> DataFrame:
         """Each declared column and, where a cast may fail, __raw_: whether its cell holds something."""
@@ -164,23 +194,46 @@ class EntityRun:
                 cells.append(raw.cast(casts.spark_type(c.type)).alias(n))
             if may_fail:
                 cells.append(raw.isNotNull().alias(f"__raw_{n}"))
-        return df.select(*cells, checks.FILE_ORD, checks.ROW, *["__error"] * (self.e.source.format in WHOLE_FILE))
+        own = ["__error"] * (self.e.source.format in WHOLE_FILE) + ["__long"] * self.delimited_
+        return df.select(*cells, checks.FILE_ORD, SPLIT, AT, *own)
 
     # --- checking ---
-    def checked(self, df: DataFrame, target: DataFrame | None) -> DataFrame:
-        seed = None
-        if target is not None and self.mode == "append":
-            back = {o: r for r, o in self.map.output.items()}
-            seed = target.select(*[F.col(f"`{c}`").alias(back[c]) for c in target.columns if c in back])
-        flags, self.cheap = [], True
+    def place(self, inputs: Sequence[InputFile]) -> Column | None:
+        """The rows' order as one long: file, split, number; None where the bits of a long are too few. A
+        split begins at a multiple of a length that is no less than the unit."""
+        conf = self.spark.conf
+        unit = max(1, min(_bytes(conf.get("spark.sql.files.maxPartitionBytes")), _bytes(conf.get("spark.sql.files.openCostInBytes"))))
+        low = 40 if self.numbered else 33
+        mid = 0 if self.numbered else (max((f.size for f in inputs), default=0) // unit).bit_length()
+        if len(inputs).bit_length() + mid + low > 62:
+            return None
+        at = F.col(AT) if self.numbered else F.col(AT).bitwiseAND(F.lit((1 << 33) - 1))
+        split = F.floor(F.col(SPLIT) / unit).cast("long")
+        return F.shiftleft(F.col(checks.FILE_ORD), mid + low) + F.shiftleft(split, low) + at
+
+    def seed(self) -> DataFrame | None:
+        """The keys of the rows that are there already, by runtime name."""
+        if self.mode != "append" or not self.constraints:
+            return None
+        a, back = self.e.sink.accepted, {o: r for r, o in self.map.output.items()}
+        wanted = [self.map.output[c] for c in dict.fromkeys(c for key in self.constraints for c in key)]
+        table = self.table()
+        found = table.keys(wanted) if table else tables.read_parquet(self.spark, located(self.config, a.path, a.storage))
+        return None if found is None else found.select(*[F.col(f"`{c}`").alias(back[c]) for c in wanted if c in found.columns])
+
+    def checked(self, df: DataFrame, order: list[str], seed: DataFrame | None) -> DataFrame:
+        flags, self.cheap, self.held = [], True, []
         for i, key in enumerate(self.constraints):
-            df, cheap = unique.with_duplicates_counted(df, key, [checks.FILE_ORD, checks.ROW], f"__dup_{i}", seed)
+            df, cheap, firsts = unique.with_duplicates_counted(df, key, order, f"__dup_{i}", seed)
             self.cheap = self.cheap and cheap
+            self.held += [firsts] if firsts is not None else []
             flags.append((f"__dup_{i}", unique.key_name(key)))
         found = [checks.not_null_error(c) for c in self.required]
         if self.strict:
             found += [F.when(F.col(f"`__raw_{n}`") & F.col(f"`{n}`").isNull(), checks.error("cast_error", n, checks.INVALID)) for n, c in self.columns.items() if casts.canonical(c.type) != "string"]
         found += [F.when(F.col(f), checks.error("unique", n, checks.DUPLICATE_KEY if n.startswith("[") else checks.DUPLICATE)) for f, n in flags]
+        if self.strict and self.delimited_:
+            found.append(F.when(F.col("__long"), checks.error("schema_error", "*", LONG_ROW)))
         return df.withColumn(checks.ERRORS, checks.gathered(found))
 
     def output(self, df: DataFrame, extra: list = ()) -> DataFrame:
@@ -201,11 +254,6 @@ class EntityRun:
                 return tables.ConnectorTable(self.spark, path, a.format)
         return None
 
-    def target(self) -> DataFrame | None:
-        a = self.e.sink.accepted
-        table = self.table()
-        return table.read() if table else tables.read_parquet(self.spark, located(self.config, a.path, a.storage))
-
     def write(self, df: DataFrame, out: EntityReport) -> None:
         a = self.e.sink.accepted
         path, table = located(self.config, a.path, a.storage), self.table()
@@ -217,171 +265,235 @@ class EntityRun:
                     df = df.select("*", column)
                 parts.append(p.column if p.transform == "identity" else f"{p.column}_{p.transform}")
             if self.mode == "overwrite" or out.accepted:
-                tables.write_parquet(df, path, self.mode, a.options, parts)
+                written = Observation()
+                tables.write_parquet(df.observe(written, F.count(F.lit(1)).alias("n")), path, self.mode, a.options, parts, out.accepted)
+                if written.get["n"] != out.accepted:
+                    raise RuntimeError(f"{written.get['n']} rows were written of {out.accepted} accepted ones")
             out.output = asdict(tables.size_metrics(self.spark, path, a.options.max_size_per_file)) | {"path": path}
             return
+        if self.mode == "append" and not out.accepted:
+            out.output = {"path": path, "format": a.format}
+            return
         old = table.read() if self.mode != "overwrite" else None
         key = [self.map.output[k] for k in self.key]
-        m, now = a.merge, F.lit(datetime.datetime.now(datetime.UTC).replace(tzinfo=None)).cast("timestamp_ntz")
-        shape = merge.HistoryNames(m.scd2.current_flag_column, m.scd2.valid_from_column, m.scd2.valid_to_column)
+        options, now = a.merge, F.lit(datetime.datetime.now(datetime.UTC).replace(tzinfo=None)).cast("timestamp_ntz")
+        shape = merge.HistoryNames(options.scd2.current_flag_column, options.scd2.valid_from_column, options.scd2.valid_to_column)
         named = lambda listed: [self.map.output[self.map.runtime[c]] for c in listed]
         started = time.time()
-        if old is not None and self.mode != "overwrite":
+        if old is not None:
             system = (shape.is_current, shape.valid_from, shape.valid_to) if self.mode == "merge_scd2" else ()
-            old, out.added_columns = merge.evolve(old, df, self.e.schema.schema_evolution.mode, key, system)
-        if self.mode == "overwrite":
-            result = df
-        elif self.mode == "append":
-            result = df if old is None else old.unionByName(df)
-        elif self.mode == "merge_scd1":
-            result = df if old is None else merge.scd1(old, df, key, named(m.ignore_columns))
-            out.merge = merge.scd1_metrics(old if old is not None else df.limit(0), df, key).first().asDict()
-        else:
-            compare = merge.compare_columns(df, key, named(m.compare_columns), named(m.ignore_columns))
-            base = old if old is not None else merge.history(df.limit(0), now, shape)
-            out.merge = merge.scd2_metrics(base, df, key, compare, shape).first().asDict()
-            result = merge.history(df, now, shape) if old is None else merge.scd2(old, df, key, compare, now, shape)
-        table.commit(result)
+            evolution = self.e.schema.schema_evolution.mode
+            old, out.added_columns = merge.evolve(old, df, evolution, key, system)
+            if out.added_columns:
+                self.emit({"event": "schema_evolution_applied", "entity": self.e.name, "mode": evolution, "added_columns": out.added_columns})
+        m = tables.Merge(key, named(options.ignore_columns), merge.compare_columns(df, key, named(options.compare_columns), named(options.ignore_columns)), now, shape)
+        match self.mode:
+            case "append":
+                table.append(df)
+            case "merge_scd1" if old is not None:
+                out.merge = table.upsert(old, df, m)
+            case "merge_scd2" if old is not None:
+                out.merge = table.record(old, df, m)
+            case "merge_scd2":
+                table.overwrite(merge.history(df, now, shape))
+                out.merge = {"inserted": out.accepted, "closed": 0, "unchanged": 0, "rows_before": 0, "rows_after": out.accepted}
+            case "merge_scd1":
+                table.overwrite(df)
+                out.merge = {"inserted": out.accepted, "updated": 0, "rows_before": 0, "rows_after": out.accepted}
+            case _:
+                table.overwrite(df)
         if out.merge is not None:
             out.merge["elapsed_ms"] = round((time.time() - started) * 1000)
         out.output = {"path": path, "format": a.format}
 
 
+def _bytes(text: str) -> int:
+    """A size setting: bytes, or with a unit."""
+    text = text.strip().lower().removesuffix("b")
+    return int(text[:-1]) << {"k": 10, "m": 20, "g": 30, "t": 40}[text[-1]] if text[-1:] in set("kmgt") else int(text)
+
+
+def ledger(files: Files, config: Config, e: Entity) -> Ledger:
+    if e.state.path:
+        return Ledger(files, str(Path(config.base, e.state.path)) if "://" not in e.state.path else e.state.path, e.name)
+    root = located(config, e.source.path, e.source.storage)
+    if not files.is_folder(root):
+        root = root.rpartition("/")[0]
+    return Ledger(files, joined(root, f"{STATE_FOLDER}/state/{e.name}/state.json"), e.name)
+
+
 def run_entity(spark: SparkSession, config: Config, e: Entity, run_id: str, full: bool, emit: Observer) -> EntityReport:
-    run, out = EntityRun(spark, config, e, full), EntityReport(e.name)
+    run, out = EntityRun(spark, config, e, full, emit), EntityReport(e.name)
     if full and e.sink.write_mode.startswith("merge_"):
         raise ValueError(f"entity.name={e.name} full refresh is not supported for {e.sink.write_mode}")
-    files = resolve(config, e)
-    ledger = Ledger(ledger_path(config, e), e.name)
+    with out.timed("inputs"):
+        files = resolve(run.files, config, e)
+    book = ledger(run.files, config, e)
     if e.incremental_mode == "file":
-        claim = ledger.claim(run_id, files, full)
+        claim = book.claim(run_id, files, full)
         files, out.notes, out.warnings = claim.taken, claim.warnings, len(claim.warnings)
+        for w in claim.warnings:
+            emit({"event": "log", "level": "warn", "code": "incremental_skip", "entity": e.name, "message": w})
         if not files:
             return out
     try:
-        with Heartbeat(ledger, run_id) if e.incremental_mode == "file" else _Quiet():
-            _process(run, files, out, run_id, emit)
+        with Heartbeat(book, run_id) if e.incremental_mode == "file" else nullcontext():
+            _process(run, files, out, emit)
     except Exception:
         if e.incremental_mode == "file":
-            ledger.release(run_id)
+            book.release(run_id)
         raise
     if e.incremental_mode == "file":
-        ledger.release(run_id) if out.status == "aborted" else ledger.commit(run_id, full)
+        book.release(run_id) if out.status == "aborted" else book.commit(run_id, full)
     if e.sink.archive and out.status != "aborted":
         to = located(config, e.sink.archive.path, e.sink.archive.storage)
-        os.makedirs(to, exist_ok=True)
-        for f in files:
-            shutil.copy2(f.path, os.path.join(to, archive_name(f, run_id)))
-            os.remove(f.path)
+        with out.timed("archive"):
+            for f, r in zip(files, out.files, strict=True):
+                r.archived_path = joined(to, archive_name(f, run_id))
+                run.files.copy(f.path, r.archived_path)
+                run.files.delete(f.path)
     return out
 
 
-class _Quiet:
-    def __enter__(self):
-        return self
-
-    def __exit__(self, *_):
-        pass
-
-
-def ledger_path(config: Config, e: Entity) -> str:
-    if e.state.path:
-        return str(Path(config.base, e.state.path))
-    root = Path(located(config, e.source.path, e.source.storage))
-    return str((root if root.is_dir() else root.parent) / ".tidegate" / "state" / e.name / "state.json")
-
-
-def _process(run: EntityRun, files: list[InputFile], out: EntityReport, run_id: str, emit: Observer) -> None:
-    e, spark, severity = run.e, run.spark, run.e.policy.severity
+def _process(run: EntityRun, files: list[InputFile], out: EntityReport, emit: Observer) -> None:
+    e, severity = run.e, run.e.policy.severity
     rejected_at = located(run.config, e.sink.rejected.path, e.sink.rejected.storage) if e.sink.rejected else None
-    groups: dict[tuple[str, ...], list[int]] = {}
-    reports = {i: FileReport(f.path) for i, f in enumerate(files)}
-    out.files = list(reports.values())
-    stopped = False
-    for i, f in enumerate(files):  # phase A: columns
-        r = reports[i]
+    reports = [FileReport(f.path) for f in files]
+    out.files = reports
+    with out.timed("headers"):
+        groups, stopped = _headers(run, files, reports, out, rejected_at)
+    if groups:
+        with out.timed("read"):
+            rows = None
+            for header, at in groups.items():
+                own = run.typed(run.read([(i, files[i].path) for i in at], list(header)))
+                rows = own if rows is None else rows.unionByName(own)
+            rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            header = run.header(f.path)
-            found = [names.normalize_name(h, run.strategy) for h in header]
-            if e.source.format in ("fixed", "xml"):
-                found = run.compared()
+            stopped = _check_and_write(run, rows, files, reports, out, rejected_at) or stopped
+        finally:
+            rows.unpersist()
+    elif run.mode == "overwrite":
+        empty = run.spark.createDataFrame([], ", ".join(f"`{n}` {casts.spark_type(c.type).simpleString()}" for n, c in run.columns.items()))
+        run.write(run.output(empty), out)
+    out.rows, out.accepted, out.rejected = (sum(getattr(r, k) for r in reports) for k in ("rows", "accepted", "rejected"))
+    out.warnings += sum(r.warnings for r in reports)
+    out.errors = sum(v["violations"] for r in reports for v in r.rules) + sum(r.error is not None for r in reports)
+    statuses = {r.status for r in reports}
+    out.status = "aborted" if stopped or "aborted" in statuses else "rejected" if "rejected" in statuses else "success_with_warnings" if out.warnings else "success"
+    for r in reports:
+        emit({"event": "file_finished", "entity": e.name, "file": r.path, "status": r.status, "rows": r.rows, "accepted": r.accepted, "rejected": r.rejected})
+
+
+def _headers(run: EntityRun, files: list[InputFile], reports: list[FileReport], out: EntityReport, rejected_at: str | None) -> tuple[dict[tuple[str, ...], list[int]], bool]:
+    """The files that are read, by their columns, and whether one of the others ends the entity."""
+    e, severity, groups = run.e, run.e.policy.severity, {}
+    for i, (header, r) in enumerate(zip(run.headers(files), reports, strict=True)):
+        run.emit({"event": "file_started", "entity": e.name, "file": r.path})
+        if isinstance(header, ValueError):
+            r.status, r.error = ("aborted" if severity == "abort" else "rejected"), str(header)
+        else:
+            found = run.compared() if e.source.format in ("fixed", "xml") else [names.normalize_name(h, run.strategy) for h in header]
             plan = mismatch.plan_mismatch(run.compared(), found, e.schema.mismatch.missing_columns, e.schema.mismatch.extra_columns, severity)
             r.mismatch, r.warnings = {"missing": plan.missing[: mismatch.REPORTED], "extra": plan.extra[: mismatch.REPORTED], "action": plan.action}, plan.warnings
             if plan.rejected or plan.aborted:
                 r.status, r.error = ("aborted" if plan.aborted else "rejected"), plan.message
             else:
                 groups.setdefault(tuple(header), []).append(i)
-        except ValueError as x:
-            r.status, r.error = ("aborted" if severity == "abort" else "rejected"), str(x)
         if r.status != "success":
-            keep_raw(rejected_at, f)
-            emit({"event": "file_finished", "entity": e.name, "file": f.path, "status": r.status})
+            keep_raw(run, out, rejected_at, r)
         if r.status == "aborted":
-            stopped = True
-            break
-    read = [run.typed(_ordered(run.read([files[i].path for i in at], list(header)), {files[i].path: i for i in at})) for header, at in groups.items()]
-    if read:
-        rows = read[0]
-        for other in read[1:]:
-            rows = rows.unionByName(other)
-        rows = rows.persist()
-        bad: dict[int, str] = {}
-        if e.source.format in WHOLE_FILE:
+            for later in reports[i + 1 :]:
+                later.status = "skipped"
+            return groups, True
+    return groups, False
+
+
+def _check_and_write(run: EntityRun, rows: DataFrame, files: list[InputFile], reports: list[FileReport], out: EntityReport, rejected_at: str | None) -> bool:
+    """Whether the entity was stopped."""
+    e, severity, stopped, place_of = run.e, run.e.policy.severity, False, run.place(files)
+    read = rows
+    if e.source.format in WHOLE_FILE:
+        with out.timed("read"):
             bad = {r[0]: r[1] for r in rows.where("__error IS NOT NULL").groupBy(checks.FILE_ORD).agg(F.min("__error")).collect()}  # a row a file
         for i, problem in sorted(bad.items()):
             reports[i].status, reports[i].error = ("aborted" if severity == "abort" else "rejected"), problem
-            keep_raw(rejected_at, files[i])
+            keep_raw(run, out, rejected_at, reports[i])
         if bad and severity == "abort":
             stopped = True
             rows = rows.where(F.col(checks.FILE_ORD) < min(bad))
-        elif bad:
+        elif bad and len(bad) <= LISTED:
             rows = rows.where(~F.col(checks.FILE_ORD).isin(*bad))
-        target = run.target() if run.mode == "append" and run.constraints else None
-        checked = run.checked(rows.drop("__error"), target)
+        elif bad:
+            rows = rows.join(run.spark.createDataFrame([(i,) for i in bad], f"{checks.FILE_ORD} long"), checks.FILE_ORD, "left_anti")
+        rows = rows.drop("__error")
+    order = [checks.FILE_ORD, SPLIT, AT]
+    if run.constraints and place_of is not None:
+        rows, order = rows.withColumn("__place", place_of), ["__place"]
+    with out.timed("checks"):
+        seed = run.seed()
+        checked = run.checked(rows, order, seed)
         if severity == "abort":
             checked = policy.only_casts_where_aborted(checked)
         if not run.cheap:
-            checked = checked.persist()
+            checked = checked.persist(StorageLevel.MEMORY_AND_DISK)
         forced = F.col(f"__dup_{run.constraints.index(tuple(run.key))}") if run.key and run.mode.startswith("merge_") else None
         routed = policy.route(checked, severity, forced)
         stopped = stopped or routed.stopped is not None
         any_errors = _count(checked, routed, forced, reports, severity)
-        for i, key in enumerate(run.constraints):
-            stats = unique.unique_stats(checked, key, f"__dup_{i}").first().asDict() if any_errors else {"duplicates": 0, "affected_keys": 0}
-            samples = [r.asDict() for r in unique.unique_samples(checked, key, f"__dup_{i}").collect()] if stats["duplicates"] and not e.pii.columns else []
-            out.unique.append({"columns": list(key), **stats, "samples": samples})
-        out.accepted = sum(r.accepted for r in reports.values())
-        run.write(run.output(routed.accepted), out)
-        formatter = run.config.report.formatter if run.config.report else "json"
-        sources = {n: c.source for n, c in run.columns.items() if c.source}
-        errors = [F.col(checks.ROW).alias(checks.ROW_INDEX), checks.format_errors(F.col(checks.ERRORS), formatter, sources or None).alias(checks.ERRORS)]
-        if rejected_at and severity != "abort" and any(r.rejected for r in reports.values()):
-            tables.write_rejected(run.output(routed.rejected, errors), rejected_at, "overwrite" if run.mode == "overwrite" else "append")
-        if rejected_at and severity != "reject":
-            for i, r in reports.items():
-                if r.rules:
-                    own = routed.error_rows.where(F.col(checks.FILE_ORD) == i).select(F.col(checks.ROW).alias("row_index"), errors[1].alias("errors"))
-                    own.write.mode("overwrite").json(os.path.join(rejected_at, f"{files[i].stem}_reject_errors.json"))
-                if r.status == "aborted":
-                    keep_raw(rejected_at, files[i])
-        checked.unpersist()
-        rows.unpersist()
-    elif run.mode == "overwrite":
-        empty = spark.createDataFrame([], ", ".join(f"`{n}` {casts.spark_type(c.type).simpleString()}" for n, c in run.columns.items()))
-        run.write(run.output(empty), out)
-    out.rows, out.accepted, out.rejected = (sum(getattr(r, k) for r in out.files) for k in ("rows", "accepted", "rejected"))
-    out.warnings += sum(r.warnings for r in out.files)
-    statuses = {r.status for r in out.files}
-    out.status = "aborted" if stopped or "aborted" in statuses else "rejected" if "rejected" in statuses else "success_with_warnings" if out.warnings else "success"
-
-
-def _ordered(df: DataFrame, order: dict[str, int]) -> DataFrame:
-    """The files' places among all of the entity's."""
-    places = df.sparkSession.createDataFrame([(p, i) for p, i in order.items()], "__path string, __place long")
-    return df.join(F.broadcast(places), F.col("__file") == F.col("__path")).withColumn(checks.FILE_ORD, F.col("__place")).drop("__path", "__place")  # a row a file
-
-
-def _count(checked: DataFrame, routed: policy.Routed, forced, reports: dict[int, FileReport], severity: str) -> bool:
+    try:
+        with out.timed("reports"):
+            _constraints(run, checked, seed, any_errors, out)
+        if any_errors and rejected_at:  # first: an append changes the table that the rows were checked against
+            with out.timed("rejected"):
+                _write_errors(run, routed, read, reports, out, rejected_at)
+        out.accepted = sum(r.accepted for r in reports)
+        with out.timed("write"):
+            run.write(run.output(routed.accepted), out)
+    finally:
+        for held in [checked, *run.held]:
+            held.unpersist()
+    return stopped
+
+
+def _constraints(run: EntityRun, checked: DataFrame, seed: DataFrame | None, any_errors: bool, out: EntityReport) -> None:
+    """Each constraint's figures; nothing is computed where no row has errors."""
+    for i, key in enumerate(run.constraints):
+        flag = f"__dup_{i}"
+        stats = unique.unique_stats(checked, key, flag).first().asDict() if any_errors else {"duplicates": 0, "affected_keys": 0}
+        there = unique.taken_count(checked, key, flag, seed) if seed is not None and stats["duplicates"] else 0
+        samples = [r.asDict() for r in unique.unique_samples(checked, key, flag).collect()] if stats["duplicates"] and not run.e.pii.columns else []
+        effect = EFFECTS[run.e.policy.severity] if stats["duplicates"] else "none"
+        out.unique.append({"columns": list(key), **stats, "target_duplicates": there, "batch_duplicates": stats["duplicates"] - there, "effect": effect, "samples": samples})
+
+
+def _write_errors(run: EntityRun, routed: policy.Routed, read: DataFrame, reports: list[FileReport], out: EntityReport, rejected_at: str) -> None:
+    """The rejected rows as CSV; where rows with errors stay or their file goes, a report of them."""
+    e, severity = run.e, run.e.policy.severity
+    formatter = run.config.report.formatter if run.config.report else "json"
+    sources = {n: c.source for n, c in run.columns.items() if c.source}
+
+    def numbered(df: DataFrame) -> DataFrame:
+        return df.withColumn(checks.ROW, F.col(AT)) if run.numbered else with_row_index(df, read)
+
+    errors = checks.format_errors(F.col(checks.ERRORS), formatter, sources or None).alias(checks.ERRORS)
+    if severity != "abort" and (n := sum(r.rejected for r in reports if r.error is None)):
+        written = Observation()
+        rejected = run.output(numbered(routed.rejected), [F.col(checks.ROW).alias(checks.ROW_INDEX), errors])
+        tables.write_rejected(rejected.observe(written, F.count(F.lit(1)).alias("n")), rejected_at, "overwrite" if run.mode == "overwrite" else "append")
+        if written.get["n"] != n:
+            raise RuntimeError(f"{written.get['n']} rows were written of {n} rejected ones")
+    if severity != "reject" and any(r.rules for r in reports):
+        out.errors_path = f"{rejected_at.rstrip('/')}_errors"
+        stems = run.spark.createDataFrame([(i, f"{i}_{PurePosixPath(r.path).stem}") for i, r in enumerate(reports) if r.rules], f"{checks.FILE_ORD} long, file string")
+        own = numbered(routed.error_rows).join(stems, checks.FILE_ORD).select("file", F.col(checks.ROW).alias("row_index"), errors.alias("errors"))
+        own.write.mode("overwrite").partitionBy("file").json(out.errors_path)
+    for r in reports:
+        if r.status == "aborted" and r.error is None:
+            keep_raw(run, out, rejected_at, r)
+
+
+def _count(checked: DataFrame, routed: policy.Routed, forced, reports: list[FileReport], severity: str) -> bool:
     """Fills in the files' figures; whether any row has errors."""
     any_errors = False
     out_of = F.size(checks.ERRORS) > 0 if severity != "warn" else F.lit(False)
@@ -407,16 +519,24 @@ def _count(checked: DataFrame, routed: policy.Routed, forced, reports: dict[int,
             f.rules.append({"rule": r["rule"], "column": r["column"], "violations": r["violations"]})
             if severity == "warn":
                 f.warnings += r["violations"]
-    for f in reports.values():
+    for f in reports:
         f.rules.sort(key=lambda x: (report.RULES.index(x["rule"]), x["column"]))
     return any_errors
 
 
-def keep_raw(rejected_at: str | None, f: InputFile) -> None:
-    """A byte copy of a file that is rejected as a whole."""
-    if rejected_at:
-        os.makedirs(rejected_at, exist_ok=True)
-        shutil.copyfile(f.path, os.path.join(rejected_at, os.path.basename(f.path)))
+def keep_raw(run: EntityRun, out: EntityReport, rejected_at: str | None, r: FileReport) -> None:
+    """A byte copy of a file that is rejected as a whole; none where columns are masked, as no mask can be
+    laid over raw bytes."""
+    if not rejected_at:
+        return
+    if run.e.pii.columns:
+        note = f"{r.path}: rejected, not copied to sink.rejected, because its personal data can't be masked"
+        out.notes.append(note)
+        out.warnings += 1
+        run.emit({"event": "log", "level": "warn", "code": "pii_file_error_drop", "entity": run.e.name, "file": r.path, "message": note})
+        return
+    r.rejected_path = joined(rejected_at, PurePosixPath(r.path).name)
+    run.files.copy(r.path, r.rejected_path)
 
 
 def run(spark: SparkSession, path: str, entities: list[str] | None = None, profile: str | None = None, variables: dict[str, str] | None = None, run_id: str | None = None, full_refresh: bool = False, dry_run: bool = False, observer: Observer | None = None, config: Config | None = None) -> Outcome:
@@ -427,7 +547,7 @@ def run(spark: SparkSession, path: str, entities: list[str] | None = None, profi
     lineage = Emitter(config.lineage, run_id) if config.lineage else None
 
     def emit(event: dict[str, Any]) -> None:
-        event = {"run_id": run_id, **event}
+        event = {"run_id": run_id, "ts_ms": round(1000 * time.time()), **event}
         if observer:
             observer(event)
 
@@ -435,7 +555,7 @@ def run(spark: SparkSession, path: str, entities: list[str] | None = None, profi
     if entities and (unknown := set(entities) - {e.name for e in chosen}):
         raise ValueError(f"unknown entities: {sorted(unknown)}")
     if dry_run:
-        previews = [{"entity": e.name, "files": [f.path for f in resolve(config, e)], "write_mode": e.sink.write_mode, "accepted": located(config, e.sink.accepted.path, e.sink.accepted.storage)} for e in chosen]
+        previews = [{"entity": e.name, "files": [f.path for f in resolve(Files(spark), config, e)], "write_mode": e.sink.write_mode, "accepted": located(config, e.sink.accepted.path, e.sink.accepted.storage)} for e in chosen]
         return Outcome(run_id, "success", 0, [], previews)
     started = datetime.datetime.now(datetime.UTC)
     emit({"event": "run_started", "config": str(path)})
@@ -447,36 +567,49 @@ def run(spark: SparkSession, path: str, entities: list[str] | None = None, profi
         try:
             done.append(run_entity(spark, config, e, run_id, full_refresh, emit))
         except Exception as x:
-            done.append(EntityReport(e.name, "failed", notes=[f"{type(x).__name__}: {str(x).splitlines()[0] if str(x) else ''}"]))
+            done.append(EntityReport(e.name, "failed", notes=[f"{type(x).__name__}: {_cause(x)}"]))
         if lineage:
             lineage.finish(e, done[-1].status)
-        emit({"event": "entity_finished", "entity": e.name, "status": done[-1].status, "rows": done[-1].rows, "accepted": done[-1].accepted, "rejected": done[-1].rejected})
-        _write_report(config, run_id, done[-1])
+        emit({"event": "entity_finished", "entity": e.name, **_totals([done[-1]]), "status": done[-1].status})
+        _write_report(spark, config, run_id, done[-1])
         if done[-1].status in ("aborted", "failed"):
             break
     rank = ["success", "success_with_warnings", "rejected", "aborted", "failed"]
     status = max((r.status for r in done), key=rank.index, default="success")
     out = Outcome(run_id, status, EXIT[status], done)
-    _write_summary(config, path, out, started)
-    emit({"event": "run_finished", "status": status, "exit_code": out.exit_code})
+    summary = _write_summary(spark, config, path, out, started)
+    emit({"event": "run_finished", "status": status, "exit_code": out.exit_code, **_totals(done), "summary": summary})
     return out
 
 
-def _replace(path: Path, data: dict[str, Any]) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    draft = path.with_suffix(".tmp")
-    draft.write_text(json.dumps(data, indent=2, default=str))
-    os.replace(draft, path)
+def _cause(x: Exception) -> str:
+    """What went wrong, in the words of the innermost cause that has some."""
+    java = getattr(x, "java_exception", None)
+    while java is not None and java.getCause() is not None:
+        java = java.getCause()
+    lines = [s.strip() for s in (java.toString() if java is not None else str(x)).splitlines() if s.strip()]
+    return " ".join(lines[:5])
 
 
-def _write_report(config: Config, run_id: str, r: EntityReport) -> None:
-    if config.report:
-        _replace(Path(config.base, config.report.path, f"run_{run_id}", r.entity, "run.json"), asdict(r))
+def _totals(done: list[EntityReport]) -> dict[str, int]:
+    files = [f for r in done for f in r.files]
+    return {"files": len(files), "files_skipped": sum(f.status == "skipped" for f in files), **{k: sum(getattr(r, k) for r in done) for k in ("rows", "accepted", "rejected", "warnings", "errors")}}
 
 
-def _write_summary(config: Config, path: str, out: Outcome, started: datetime.datetime) -> None:
+def _report_folder(config: Config, run_id: str) -> str:
+    return joined(located(config, config.report.path, config.report.storage), f"run_{run_id}")
+
+
+def _write_report(spark: SparkSession, config: Config, run_id: str, r: EntityReport) -> None:
     if config.report:
-        ended = datetime.datetime.now(datetime.UTC)
-        totals = {k: sum(getattr(r, k) for r in out.entities) for k in ("rows", "accepted", "rejected", "warnings")}
-        data = {"tool": {"name": "tidegate", "version": __version__}, "run": {"run_id": out.run_id, "started_at": started.isoformat(), "finished_at": ended.isoformat(), "duration_ms": round((ended - started).total_seconds() * 1000), "status": out.status, "exit_code": out.exit_code}, "config": {"path": str(path), "version": config.version}, "results": totals, "entities": [{"name": r.entity, "status": r.status, "rows": r.rows, "accepted": r.accepted, "rejected": r.rejected} for r in out.entities]}
-        _replace(Path(config.base, config.report.path, f"run_{out.run_id}", "run.summary.json"), data)
+        Files(spark).write(joined(_report_folder(config, run_id), f"{r.entity}/run.json"), json.dumps(asdict(r), indent=2, default=str))
+
+
+def _write_summary(spark: SparkSession, config: Config, path: str, out: Outcome, started: datetime.datetime) -> str | None:
+    if not config.report:
+        return None
+    ended = datetime.datetime.now(datetime.UTC)
+    data = {"tool": {"name": "tidegate", "version": __version__}, "run": {"run_id": out.run_id, "started_at": started.isoformat(), "finished_at": ended.isoformat(), "duration_ms": round((ended - started).total_seconds() * 1000), "status": out.status, "exit_code": out.exit_code}, "config": {"path": str(path), "version": config.version}, "results": _totals(out.entities), "entities": [{"name": r.entity, "status": r.status, "rows": r.rows, "accepted": r.accepted, "rejected": r.rejected} for r in out.entities]}
+    at = joined(_report_folder(config, out.run_id), "run.summary.json")
+    Files(spark).write(at, json.dumps(data, indent=2, default=str))
+    return at

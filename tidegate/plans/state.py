@@ -3,24 +3,14 @@
 from __future__ import annotations
 
 import json
-import os
 import threading
 import time
 from dataclasses import dataclass, field
-from pathlib import Path
 
-TTL, RETRIES = 3600.0, 5
+from ..storage import Files, InputFile
 
-
-@dataclass(frozen=True)
-class InputFile:
-    path: str
-    size: int = 0
-    mtime: float = 0.0
-
-    @property
-    def stem(self) -> str:
-        return Path(self.path).stem
+#: Seconds that a claim and a lock are held, at most; tries for a lock.
+TTL, STALE, RETRIES = 3600.0, 30.0, 5
 
 
 @dataclass
@@ -30,41 +20,37 @@ class Claim:
 
 
 class Ledger:
-    """A JSON file, replaced as a whole under a lock file."""
+    """A JSON file, replaced as a whole under a lock file, on any storage."""
 
-    def __init__(self, path: str | os.PathLike, entity: str, clock=time.time):
-        self.path, self.entity, self.clock = Path(path), entity, clock
+    def __init__(self, files: Files, path: str, entity: str, clock=time.time):
+        self.files, self.path, self.entity, self.clock = files, path, entity, clock
 
     def read(self) -> dict:
-        if not self.path.exists():
+        if not self.files.exists(self.path):
             return {"version": 2, "entity": self.entity, "files": {}, "claims": {}}
-        data = json.loads(self.path.read_text())
+        data = json.loads(self.files.read(self.path))
         data.setdefault("claims", {})
         data["version"] = 2
         return data
 
     def _change(self, change) -> dict:
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        lock = self.path.with_suffix(".lock")
+        lock = f"{self.path}.lock"
         for attempt in range(RETRIES * 20):
-            try:
-                os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
+            if self.files.create(lock):
                 break
-            except FileExistsError:
-                if time.time() - lock.stat().st_mtime > 10:
-                    lock.unlink(missing_ok=True)
-                time.sleep(0.01 * (attempt + 1) if attempt < 20 else 0.2)
+            made = self.files.modified(lock)
+            if made is not None and time.time() - made > STALE:
+                self.files.delete(lock)
+            time.sleep(0.01 * (attempt + 1) if attempt < 20 else 0.2)
         else:
             raise RuntimeError(f"the ledger {self.path} is locked")
         try:
             data = self.read()
             change(data)
-            draft = self.path.with_suffix(".tmp")
-            draft.write_text(json.dumps(data, indent=1, sort_keys=True))
-            os.replace(draft, self.path)
+            self.files.write(self.path, json.dumps(data, indent=1, sort_keys=True))
             return data
         finally:
-            lock.unlink(missing_ok=True)
+            self.files.delete(lock)
 
     def claim(self, run_id: str, files: list[InputFile], full: bool = False) -> Claim:
         """The files that are neither done nor in another run's hands. full: done ones too."""
@@ -115,8 +101,8 @@ class Ledger:
         self._change(change)
 
     def reset(self) -> bool:
-        there = self.path.exists()
-        self.path.unlink(missing_ok=True)
+        there = self.files.exists(self.path)
+        self.files.delete(self.path)
         return there
 
 

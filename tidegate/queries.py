@@ -123,12 +123,6 @@ def unique_composite_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unique.with_duplicates(e, ["user_id", "kind"], ["event_id"], "duplicate")
 
 
-@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 1 AS duplicate FROM events")
-def unique_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "user_id")
-    return unique.with_duplicates_windowed(e, ["user_id"], [F.col("event_id")], "duplicate").drop("user_id")
-
-
 @query(f"WITH {_DIRTY}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) > 1 AS d FROM e) SELECT event_id FROM r WHERE value IS NOT NULL AND user_id IS NOT NULL AND NOT d")
 def unique_rejected_first_claims_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted, _ = checks.split(checked_events(spark, sf_dir))

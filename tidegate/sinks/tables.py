@@ -1,128 +1,160 @@
-"""Sinks: Parquet folders, versioned tables, DuckDB, and the rejected rows' CSV.
-
-Delta and Iceberg need their connectors on the classpath; without them the sink says so.
-"""
+"""Sinks: Parquet folders, versioned tables, DuckDB, tables of a connector, and the rejected rows' CSV."""
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass
-from typing import Protocol
+import json
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
+from typing import Any, Protocol
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-SMALL_FILE = 16 << 20
-
+from ..operators import merge
+from ..session import importable
+from ..storage import Files, joined
 
-class Table(Protocol):
-    """What merges and appends need of a table."""
-
-    def read(self) -> DataFrame | None: ...
-    def commit(self, df: DataFrame) -> None: ...
+SMALL_FILE, LARGE_FILE = 16 << 20, 256 << 20
+#: Rows whose width is measured to size files.
+MEASURED = 1000
 
 
-class Files:
-    """Hadoop's file system, so that any path Spark writes to works."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.jvm, self.conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-        self.fs = self.path(path).getFileSystem(self.conf)
-
-    def path(self, path: str):
-        return self.jvm.org.apache.hadoop.fs.Path(path)
+@dataclass
+class Merge:
+    """What a merge does, in output names. compare and now are history's."""
 
-    def exists(self, path: str) -> bool:
-        return self.fs.exists(self.path(path))
+    key: list[str]
+    ignore: list[str] = field(default_factory=list)
+    compare: list[str] = field(default_factory=list)
+    now: Column | None = None
+    names: merge.HistoryNames = merge.HistoryNames()
 
-    def parts(self, path: str) -> list[tuple[str, int]]:
-        if not self.exists(path):
-            return []
-        return sorted((f.getPath().getName(), f.getLen()) for f in self.fs.listStatus(self.path(path)) if f.getPath().getName().startswith("part-"))
 
-    def write(self, path: str, text: str) -> None:
-        """A small file, put in place by a rename."""
-        draft = self.path(f"{path}.{uuid.uuid4().hex}")
-        out = self.fs.create(draft, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        self.fs.delete(self.path(path), False)
-        if not self.fs.rename(draft, self.path(path)):
-            raise OSError(f"could not write {path}")
+class Table(Protocol):
+    """A table that is appended to and merged into. read() is None where there is none."""
 
-    def read(self, path: str) -> str:
-        stream = self.fs.open(self.path(path))
-        try:
-            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-        finally:
-            stream.close()
+    def read(self) -> DataFrame | None: ...
+    def keys(self, columns: Sequence[str]) -> DataFrame | None: ...
+    def overwrite(self, df: DataFrame) -> None: ...
+    def append(self, df: DataFrame) -> None: ...
+    def upsert(self, old: DataFrame, df: DataFrame, m: Merge) -> dict[str, Any]: ...
+    def record(self, old: DataFrame, df: DataFrame, m: Merge) -> dict[str, Any]: ...
 
-    def copy(self, a: str, b: str) -> None:
-        self.fs.mkdirs(self.path(b).getParent())
-        self.jvm.org.apache.hadoop.fs.FileUtil.copy(self.fs, self.path(a), self.fs, self.path(b), False, self.conf)
 
-    def delete(self, path: str) -> None:
-        self.fs.delete(self.path(path), True)
+# --- Parquet --------------------------------------------------------------------------------------
+def row_bytes(df: DataFrame) -> float:
+    """The mean width of some rows' cells as text: an upper bound for what they take in a file."""
+    cells = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in df.schema]
+    found = df.limit(MEASURED).select(sum(cells[1:], cells[0]).alias("n")).agg(F.avg("n")).first()[0]
+    return max(1.0, found or 1.0)
 
 
-def write_parquet(df: DataFrame, path: str, mode: str, options=None, partition_by: list[str] = ()) -> None:
-    """overwrite clears the folder's own parts only: a folder with other files is refused."""
-    spark = df.sparkSession
+def write_parquet(df: DataFrame, path: str, mode: str, options=None, partition_by: Sequence[str] = (), rows: int = 0) -> None:
+    """overwrite clears the folder's own parts only: a folder with other files is refused. Files stay
+    under options.max_size_per_file (256 MiB); rows: how many there are, as far as known."""
     if mode == "overwrite":
-        files = Files(spark, path)
-        if files.exists(path):
-            foreign = [f.getPath().getName() for f in files.fs.listStatus(files.path(path)) if not f.getPath().getName().startswith(("part-", "_", ".")) and "=" not in f.getPath().getName()]
-            if foreign:
-                raise ValueError(f"{path} holds other files: {foreign[:3]}")
+        foreign = [n for n in Files(df.sparkSession).names(path) if not n.startswith(("part-", "_", ".")) and "=" not in n]
+        if foreign:
+            raise ValueError(f"{path} holds other files: {foreign[:3]}")
     writer = df.write.mode(mode)
     if options and options.compression:
         writer = writer.option("compression", "none" if options.compression == "uncompressed" else options.compression)
     if options and options.row_group_size:
         writer = writer.option("parquet.block.size", options.row_group_size)
-    if options and options.max_size_per_file:
-        width = max(1, sum(f.dataType.defaultSize() if hasattr(f.dataType, "defaultSize") else 16 for f in df.schema))
-        writer = writer.option("maxRecordsPerFile", max(1, options.max_size_per_file // width))
+    limit = options.max_size_per_file if options and options.max_size_per_file else LARGE_FILE
+    if df.columns and (limit < LARGE_FILE or rows * len(df.columns) > limit // 32):  # else no file can be so large
+        writer = writer.option("maxRecordsPerFile", max(1, int(limit / row_bytes(df))))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if Files(spark, path).parts(path) or _partitioned(spark, path) else None
-
-
-def _partitioned(spark: SparkSession, path: str) -> bool:
-    files = Files(spark, path)
-    return files.exists(path) and any("=" in f.getPath().getName() for f in files.fs.listStatus(files.path(path)))
+    names = Files(spark).names(path)
+    return spark.read.parquet(path) if any(n.startswith("part-") or "=" in n for n in names) else None
 
 
+# --- versions -------------------------------------------------------------------------------------
 class VersionedTable:
-    """Each commit writes a folder of its own and then moves a pointer, so a reader sees a whole version
-    and a plan may read the table that it replaces."""
+    """Each commit writes a folder of its own and then moves a pointer that lists the folders of the
+    table, so a reader sees a whole version and a plan may read the table that it replaces. An append
+    adds a folder; only merges rewrite. Folders that the last versions don't list are deleted."""
 
     def __init__(self, spark: SparkSession, path: str, keep: int = 2):
-        self.spark, self.root, self.keep = spark, path.rstrip("/"), keep
-        self.files = Files(spark, path)
+        self.spark, self.root, self.kept = spark, path.rstrip("/"), keep
+        self.files = Files(spark)
+
+    def _pointer(self) -> dict[str, Any]:
+        at = joined(self.root, "_current")
+        return json.loads(self.files.read(at)) if self.files.exists(at) else {"version": 0, "folders": [], "before": []}
 
     def version(self) -> int:
-        pointer = f"{self.root}/_current"
-        return int(self.files.read(pointer)) if self.files.exists(pointer) else 0
+        return self._pointer()["version"]
 
     def read(self) -> DataFrame | None:
-        v = self.version()
-        return self.spark.read.parquet(f"{self.root}/v{v}") if v else None
-
-    def commit(self, df: DataFrame) -> None:
-        v = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/v{v}")
-        self.files.write(f"{self.root}/_current", str(v))
-        if v > self.keep:
-            self.files.delete(f"{self.root}/v{v - self.keep}")
+        now = self._pointer()
+        if not now["version"]:
+            return None
+        return self.spark.read.schema(StructType.fromJson(now["schema"])).parquet(*[joined(self.root, f) for f in now["folders"]])
+
+    def keys(self, columns: Sequence[str]) -> DataFrame | None:
+        old = self.read()
+        return None if old is None else old.select(*[f"`{c}`" for c in columns])
+
+    def _commit(self, df: DataFrame, schema: StructType, add: bool) -> None:
+        now = self._pointer()
+        v = now["version"] + 1
+        df.write.mode("overwrite").parquet(joined(self.root, f"v{v}"))
+        folders = [*(now["folders"] if add else []), f"v{v}"]
+        before = [now["folders"], *now["before"]][: self.kept - 1]
+        self.files.write(joined(self.root, "_current"), json.dumps({"version": v, "folders": folders, "before": before, "schema": json.loads(schema.json())}))
+        needed = {f for own in [folders, *before] for f in own}
+        for f in {f for own in now["before"] for f in own} - needed:
+            self.files.delete(joined(self.root, f))
+
+    def overwrite(self, df: DataFrame) -> None:
+        self._commit(df, df.schema, False)
+
+    def append(self, df: DataFrame) -> None:
+        old = self.read()
+        names = {f.name for f in df.schema}
+        schema = df.schema if old is None else StructType([*[f for f in old.schema if f.name in names], *[f for f in df.schema if f.name not in old.columns]])
+        self._commit(df.select(*[f"`{c}`" for c in schema.names]), schema, True)
+
+    def upsert(self, old: DataFrame, df: DataFrame, m: Merge) -> dict[str, Any]:
+        out = merge.scd1_metrics(old, df, m.key).first().asDict()
+        self.overwrite(merge.scd1(old, df, m.key, m.ignore))
+        return out
+
+    def record(self, old: DataFrame, df: DataFrame, m: Merge) -> dict[str, Any]:
+        out = merge.scd2_metrics(old, df, m.key, m.compare, m.names).first().asDict()
+        self.overwrite(merge.scd2(old, df, m.key, m.compare, m.now, m.names))
+        return out
+
+
+# --- DuckDB ---------------------------------------------------------------------------------------
+def arrow_batches(df: DataFrame) -> Iterator[pa.Table]:
+    """The rows as Arrow tables, a partition at a time: the driver never holds them all."""
+    importable(df.sparkSession)
+
+    def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, part.schema) as stream:
+                stream.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["ipc"])
+
+    for row in df.mapInArrow(packed, "ipc binary").toLocalIterator(prefetchPartitions=True):
+        yield pa.ipc.open_stream(row[0]).read_all()
 
 
 class DuckDbTable:
-    """A table in a DuckDB file on the driver. Rows come over in batches; a commit is one transaction."""
+    """A table in a DuckDB file on the driver. Rows come over in Arrow batches; appends insert, merges
+    update and insert from a temporary table, each in one transaction."""
 
     def __init__(self, spark: SparkSession, path: str, table: str, schema: str | None = None):
         import duckdb
@@ -138,63 +170,129 @@ class DuckDbTable:
         except self.duckdb.CatalogException:
             return False
 
-    def read(self) -> DataFrame | None:
+    def _select(self, what: str) -> DataFrame | None:
         with self.duckdb.connect(self.path) as con:
-            return self.spark.createDataFrame(con.sql(f"SELECT * FROM {self.name}").to_arrow_table()) if self._exists(con) else None
+            return self.spark.createDataFrame(con.sql(f"SELECT {what} FROM {self.name}").to_arrow_table()) if self._exists(con) else None
 
-    def commit(self, df: DataFrame, append: bool = False) -> None:
+    def read(self) -> DataFrame | None:
+        """The table's shape, without rows: no merge reads it into Spark."""
         with self.duckdb.connect(self.path) as con:
-            con.begin()
-            if self.schema:
-                con.execute(f'CREATE SCHEMA IF NOT EXISTS "{self.schema}"')
-            batch = df.limit(0).toArrow()  # noqa: F841  read by the next statement
-            con.execute(f"CREATE TABLE IF NOT EXISTS {self.name} AS FROM batch" if append else f"CREATE OR REPLACE TABLE {self.name} AS FROM batch")
-            rows: list = []
-            for row in df.toLocalIterator(prefetchPartitions=True):
-                rows.append(tuple(row))
-                if len(rows) == 50_000:
-                    self._insert(con, df, rows)
-                    rows = []
-            self._insert(con, df, rows)
-            con.commit()
+            return self.spark.createDataFrame(con.sql(f"SELECT * FROM {self.name} LIMIT 0").to_arrow_table()) if self._exists(con) else None
 
-    def _insert(self, con, df: DataFrame, rows: list) -> None:
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
+    def keys(self, columns: Sequence[str]) -> DataFrame | None:
+        return self._select("DISTINCT " + ", ".join(f'"{c}"' for c in columns))
 
-        if rows:
-            schema = to_arrow_schema(df.schema)
-            batch = pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)  # noqa: F841
-            con.execute(f"INSERT INTO {self.name} BY NAME FROM batch")
+    def _stage(self, con, df: DataFrame, name: str, create: str) -> None:
+        from pyspark.sql.pandas.types import to_arrow_schema
 
+        if self.schema:
+            con.execute(f'CREATE SCHEMA IF NOT EXISTS "{self.schema}"')
+        batch = to_arrow_schema(df.schema).empty_table()  # noqa: F841  read by the next statement
+        con.execute(f"{create} {name} AS FROM batch")
+        for batch in arrow_batches(df):  # noqa: B007
+            con.execute(f"INSERT INTO {name} BY NAME FROM batch")
 
+    def _in_transaction(self, work) -> Any:
+        with self.duckdb.connect(self.path) as con:
+            con.begin()
+            out = work(con)
+            con.commit()
+            return out
+
+    def overwrite(self, df: DataFrame) -> None:
+        self._in_transaction(lambda con: self._stage(con, df, self.name, "CREATE OR REPLACE TABLE"))
+
+    def append(self, df: DataFrame) -> None:
+        self._in_transaction(lambda con: self._stage(con, df, self.name, "CREATE TABLE IF NOT EXISTS"))
+
+    @staticmethod
+    def _on(key: Sequence[str]) -> str:
+        return " AND ".join(f't."{c}" = s."{c}"' for c in key)
+
+    def _count(self, con, what: str) -> int:
+        return con.execute(f"SELECT count(*) FROM {what}").fetchone()[0]
+
+    def upsert(self, old: DataFrame, df: DataFrame, m: Merge) -> dict[str, Any]:
+        def work(con) -> dict[str, Any]:
+            self._stage(con, df, "__source", "CREATE TEMP TABLE")
+            before = self._count(con, self.name)
+            met = self._count(con, f"{self.name} t JOIN __source s ON {self._on(m.key)}")
+            taken = [c for c in df.columns if c not in m.key and c not in m.ignore]
+            if taken:
+                con.execute(f"UPDATE {self.name} t SET {', '.join(f'"{c}" = s."{c}"' for c in taken)} FROM __source s WHERE {self._on(m.key)}")
+            con.execute(f"INSERT INTO {self.name} BY NAME SELECT * FROM __source s WHERE NOT EXISTS (FROM {self.name} t WHERE {self._on(m.key)})")
+            after = self._count(con, self.name)
+            return {"inserted": after - before, "updated": met, "rows_before": before, "rows_after": after}
+
+        return self._in_transaction(work)
+
+    def record(self, old: DataFrame, df: DataFrame, m: Merge) -> dict[str, Any]:
+        def work(con) -> dict[str, Any]:
+            self._stage(con, df, "__source", "CREATE TEMP TABLE")
+            before, came = self._count(con, self.name), self._count(con, "__source")
+            differs = " OR ".join(f't."{c}" IS DISTINCT FROM s."{c}"' for c in m.compare) or "false"
+            current = f't."{m.names.is_current}" AND {self._on(m.key)}'
+            now = con.execute("SELECT localtimestamp::TIMESTAMP").fetchone()[0] if m.now is None else self.spark.range(1).select(m.now.alias("now")).first()[0]
+            con.execute(f"CREATE TEMP TABLE __same AS SELECT s.* FROM __source s WHERE EXISTS (FROM {self.name} t WHERE {current} AND NOT ({differs}))")
+            closed = self._count(con, f"{self.name} t JOIN __source s ON {current} AND ({differs})")
+            con.execute(f'UPDATE {self.name} t SET "{m.names.is_current}" = false, "{m.names.valid_to}" = ? FROM __source s WHERE {current} AND ({differs})', [now])
+            fresh = f"SELECT s.* FROM __source s WHERE NOT EXISTS (FROM __same t WHERE {self._on(m.key)})"
+            con.execute(f'INSERT INTO {self.name} BY NAME SELECT *, true AS "{m.names.is_current}", ?::TIMESTAMP AS "{m.names.valid_from}", NULL::TIMESTAMP AS "{m.names.valid_to}" FROM ({fresh})', [now])
+            after = self._count(con, self.name)
+            return {"inserted": after - before, "closed": closed, "unchanged": came - (after - before), "rows_before": before, "rows_after": after}
+
+        return self._in_transaction(work)
+
+
+# --- connectors -----------------------------------------------------------------------------------
 class ConnectorTable:
-    """A Delta or Iceberg table by its connector."""
+    """A Delta or Iceberg table by its connector: appends append, merges are MERGE statements."""
 
     def __init__(self, spark: SparkSession, path: str, kind: str):
         self.spark, self.path, self.kind = spark, path, kind
-
-    def _need(self, x: Exception) -> RuntimeError:
-        return RuntimeError(f"the {self.kind} connector is not on the classpath: {str(x).splitlines()[0]}")
+        try:
+            spark._jvm.org.apache.spark.sql.execution.datasources.DataSource.lookupDataSource(kind, spark._jsparkSession.sessionState().conf())
+        except Py4JJavaError:
+            raise RuntimeError(f"the {kind} connector is not on the classpath") from None
 
     def read(self) -> DataFrame | None:
         try:
             return self.spark.read.format(self.kind).load(self.path)
-        except PySparkException as x:
-            if "DATA_SOURCE_NOT_FOUND" in str(x) or "Failed to find data source" in str(x):
-                raise self._need(x) from None
+        except PySparkException:
             return None
 
-    def commit(self, df: DataFrame, mode: str = "overwrite") -> None:
+    def keys(self, columns: Sequence[str]) -> DataFrame | None:
+        old = self.read()
+        return None if old is None else old.select(*[f"`{c}`" for c in columns])
+
+    def overwrite(self, df: DataFrame) -> None:
+        df.write.format(self.kind).mode("overwrite").save(self.path)
+
+    def append(self, df: DataFrame) -> None:
+        df.write.format(self.kind).mode("append").save(self.path)
+
+    def _merge(self, source: DataFrame, statement: str) -> None:
+        source.createOrReplaceTempView("__tidegate_source")
         try:
-            df.write.format(self.kind).mode(mode).save(self.path)
-        except PySparkException as x:
-            raise self._need(x) if "DATA_SOURCE_NOT_FOUND" in str(x) else x from None
+            self.spark.sql(statement)
+        finally:
+            self.spark.catalog.dropTempView("__tidegate_source")
+
+    def upsert(self, old: DataFrame, df: DataFrame, m: Merge) -> dict[str, Any]:
+        out = merge.scd1_metrics(old, df, m.key).first().asDict()
+        self._merge(df, merge.scd1_statement(f"{self.kind}.`{self.path}`", "__tidegate_source", df.columns, m.key, m.ignore))
+        return out
+
+    def record(self, old: DataFrame, df: DataFrame, m: Merge) -> dict[str, Any]:
+        out = merge.scd2_metrics(old, df, m.key, m.compare, m.names).first().asDict()
+        staged = merge.scd2_staged(old, df, m.key, m.compare, m.now, m.names)
+        self._merge(staged, merge.scd2_statement(f"{self.kind}.`{self.path}`", "__tidegate_source", df.columns, m.key, m.names))
+        return out
 
 
 def write_rejected(df: DataFrame, path: str, mode: str) -> str:
     """Rejected rows as CSV with a header."""
-    df.write.mode(mode).option("header", True).option("nullValue", "").csv(path)
+    df.write.mode(mode).option("header", True).option("nullValue", "").option("escape", '"').csv(path)
     return path
 
 
@@ -207,8 +305,9 @@ class SizeMetrics:
 
 
 def size_metrics(spark: SparkSession, path: str, target: int | None = None) -> SizeMetrics:
-    """Of the part files: small ones are under half the target size, or under 16 MiB."""
-    parts = Files(spark, path).parts(path)
+    """Of the part files, those below partitions too: small ones are under half the target size, or under
+    16 MiB."""
+    parts = Files(spark).parts(path)
     total = sum(n for _, n in parts)
     limit = target / 2 if target else SMALL_FILE
     return SizeMetrics(len(parts), total, total / len(parts) / (1 << 20) if parts else None, sum(n < limit for _, n in parts))

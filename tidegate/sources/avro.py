@@ -1,9 +1,10 @@
-"""Avro object container files, read by the published format: null and deflate codecs."""
+"""Avro object container files, read by the published format."""
 
 from __future__ import annotations
 
-import io
+import bz2
 import json
+import lzma
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
@@ -14,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import importable
-from .lines import with_file
+from ..storage import Files
+from .lines import AT, FILE_ORD, SPLIT, whole_files
 
 MAGIC = b"Obj\x01"
+CODECS = ("null", "deflate", "snappy", "zstandard", "bzip2", "xz")
 
 
 class Reader:
@@ -96,6 +99,31 @@ class Reader:
         return self.value(named)
 
 
+def unpacked(body: bytes, codec: str) -> bytes:
+    """A block's bytes."""
+    match codec:
+        case "null":
+            return body
+        case "deflate":
+            return zlib.decompress(body, -15)
+        case "bzip2":
+            return bz2.decompress(body)
+        case "xz":
+            return lzma.decompress(body)
+        case "zstandard":
+            return pa.CompressedInputStream(pa.BufferReader(body), "zstd").read()
+    size = shift = 0  # snappy: the size as a varint, the data, and four bytes of checksum
+    for b in body:
+        size |= (b & 127) << shift
+        shift += 7
+        if b < 128:
+            break
+    out = pa.decompress(body[:-4], size, "snappy", asbytes=True)
+    if zlib.crc32(out) != int.from_bytes(body[-4:], "big"):
+        raise ValueError("avro_parse_error: a block's checksum is wrong")
+    return out
+
+
 def records(raw: bytes) -> tuple[list[str], Iterator[dict | None]]:
     """The root record's fields, and the records; a root union of null and a record may give None."""
     if raw[:4] != MAGIC:
@@ -106,14 +134,14 @@ def records(raw: bytes) -> tuple[list[str], Iterator[dict | None]]:
     sync, codec = head.take(16), meta.get("avro.codec", b"null").decode()
     schema = json.loads(meta["avro.schema"])
     roots = [s for s in (schema if isinstance(schema, list) else [schema]) if isinstance(s, dict) and s.get("type") == "record"]
-    if len(roots) != 1 or codec not in ("null", "deflate"):
-        raise ValueError("avro_parse_error: the root must be one record, the codec null or deflate")
+    if len(roots) != 1 or codec not in CODECS:
+        raise ValueError(f"avro_parse_error: the root must be one record, the codec one of {', '.join(CODECS)}")
 
     def each() -> Iterator[dict | None]:
         while head.at < len(raw):
             count, size = head.long(), head.long()
             body = head.take(size)
-            block = Reader(zlib.decompress(body, -15) if codec == "deflate" else body)
+            block = Reader(unpacked(body, codec))
             block.learn(schema)
             for _ in range(count):
                 yield block.value(schema)
@@ -146,58 +174,34 @@ def _read(columns: dict[str, str], strict: bool, names: list[str]):
                 try:
                     _, found = records(part.column("content")[i].as_py())
                     cells = [[text_of((r or {}).get(s), strict) for s in columns.values()] for r in found]
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                except (ValueError, KeyError, IndexError, OSError, EOFError, struct.error, zlib.error, lzma.LZMAError) as e:
                     cells, problem = [[None] * len(columns)], str(e)
                 n = len(cells)
-                cols = [part.column(c).take(pa.array([i] * n, pa.int64())) for c in ("__file", "__file_ord")]
+                cols = [part.column(FILE_ORD).take(pa.array([i] * n, pa.int64()))]
                 cols += [pa.array([c[k] for c in cells], pa.string()) for k in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(range(n), pa.int64()), pa.array([problem] * n, pa.string())], names=names)
 
     return run
 
 
-def read_avro(spark: SparkSession, paths: Sequence[str], columns: dict[str, str], strict: bool = True) -> DataFrame:
-    """columns: name -> field. Raw columns, places, and __error for files that can't be read."""
+def read_avro(spark: SparkSession, files: Sequence[tuple[int, str]], columns: dict[str, str], strict: bool = True) -> DataFrame:
+    """columns: name -> field. Raw columns, places, and __error for files that can't be read. A file is
+    decoded in one task."""
     importable(spark)
-    files = with_file(spark.read.format("binaryFile").load(list(paths)).select("content", "_metadata"), paths).select("content", "__file", "__file_ord")
-    schema = ", ".join(["__file string, __file_ord long", *[f"`raw_{c}` string" for c in columns], "__row_index long, __error string"])
-    return files.mapInArrow(_read(columns, strict, ["__file", "__file_ord", *[f"raw_{c}" for c in columns], "__row_index", "__error"]), schema)
-
-
-def columns_of(spark: SparkSession, path: str) -> list[str]:
-    return records(spark.read.format("binaryFile").load(path).select(F.col("content")).first()[0])[0]
-
-
-def encode(fields: Sequence[tuple[str, Any]], rows: Sequence[dict | None], union: bool = False, codec: str = "null") -> bytes:
-    """A small container file of records of strings, longs and doubles, for tests and samples."""
-
-    def long(n: int) -> bytes:
-        n, out = (n << 1) ^ (n >> 63), b""
-        while n > 127:
-            out, n = out + bytes([n & 127 | 128]), n >> 7
-        return out + bytes([n])
-
-    def cell(kind: Any, v: Any) -> bytes:
-        if isinstance(kind, list):
-            at = kind.index("null") if v is None else next(i for i, k in enumerate(kind) if k != "null")
-            return long(at) + cell(kind[at], v)
-        if isinstance(kind, dict):
-            return (long(len(v)) + b"".join(cell(kind["items"], x) for x in v) if v else b"") + long(0)
-        return {"null": lambda: b"", "string": lambda: long(len(v.encode())) + v.encode(), "long": lambda: long(v), "double": lambda: struct.pack("<d", v)}[kind]()
-
-    root: Any = {"type": "record", "name": "r", "fields": [{"name": n, "type": k} for n, k in fields]}
-    body = io.BytesIO()
-    for r in rows:
-        if union:
-            body.write(long(0 if r is None else 1))
-        if r is not None:
-            for n, k in fields:
-                body.write(cell(k, r.get(n)))
-    data = body.getvalue()
-    if codec == "deflate":
-        z = zlib.compressobj(wbits=-15)
-        data = z.compress(data) + z.flush()
-    meta = {"avro.schema": json.dumps(["null", root] if union else root), "avro.codec": codec}
-    head = MAGIC + long(len(meta)) + b"".join(long(len(k)) + k.encode() + long(len(v)) + v.encode() for k, v in meta.items()) + long(0)
-    sync = b"0123456789abcdef"
-    return head + sync + long(len(rows)) + long(len(data)) + data + sync
+    schema = ", ".join([f"{FILE_ORD} long", *[f"`raw_{c}` string" for c in columns], f"{AT} long, __error string"])
+    names = [FILE_ORD, *[f"raw_{c}" for c in columns], AT, "__error"]
+    read = whole_files(spark, "binaryFile", files, "content").select("content", FILE_ORD).mapInArrow(_read(columns, strict, names), schema)
+    return read.withColumn(SPLIT, F.lit(0).cast("long"))
+
+
+def columns_of(files: Files, path: str) -> list[str]:
+    """From the file's head alone. ValueError if it can't be read."""
+    size = 1 << 16
+    while True:
+        raw = files.prefix(path, size)
+        try:
+            return records(raw)[0]
+        except (ValueError, KeyError) as x:
+            if len(raw) < size or raw[:4] != MAGIC:
+                raise ValueError(str(x)) from None
+        size *= 8

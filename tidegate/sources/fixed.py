@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lines import read_lines
+from .lines import AT, FILE_ORD, SPLIT, read_lines
 
 
 def slices(line: Column, fields: Sequence[tuple[str, int, bool]]) -> list[Column]:
@@ -26,8 +26,8 @@ def misfit(line: Column, width: int) -> Column:
     return (F.char_length(line) < width) | (F.trim(F.substring(line, width + 1, 1 << 20)) != "")
 
 
-def read_fixed(spark: SparkSession, paths: Sequence[str], fields: Sequence[tuple[str, int, bool]]) -> DataFrame:
+def read_fixed(spark: SparkSession, files: Sequence[tuple[int, str]], fields: Sequence[tuple[str, int, bool]]) -> DataFrame:
     """Raw columns, the rows' places, and __bad where the line doesn't fit, which rejects its file."""
-    lines = read_lines(spark, paths)
+    lines = read_lines(spark, files)
     bad = misfit(F.col("value"), sum(w for _, w, _ in fields))
-    return lines.select(*slices(F.col("value"), [(f"raw_{n}", w, t) for n, w, t in fields]), "__file", "__file_ord", "__row_index", bad.alias("__bad"))
+    return lines.select(*slices(F.col("value"), [(f"raw_{n}", w, t) for n, w, t in fields]), FILE_ORD, SPLIT, AT, bad.alias("__bad"))

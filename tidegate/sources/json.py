@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.selectors import select_json
-from .lines import read_lines, with_file
+from ..storage import Files
+from .lines import AT, FILE_ORD, SPLIT, read_lines, whole_files
 
 PARSE, SHAPE, NON_SCALAR = "json_parse_error", "json_shape_error", "json_selector_non_scalar"
 
@@ -24,42 +26,68 @@ def _cells(value: Column, columns: dict[str, str], strict: bool) -> tuple[list[C
     return cells, problem
 
 
-def read_ndjson(spark: SparkSession, paths: Sequence[str], columns: dict[str, str], strict: bool = True) -> DataFrame:
-    """columns: name -> selector. Blank lines are passed over. __error is set on rows that reject their
-    file: lines that aren't an object, and containers under strict."""
-    lines = read_lines(spark, paths).where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
+def read_ndjson(spark: SparkSession, files: Sequence[tuple[int, str]], columns: dict[str, str], strict: bool = True) -> DataFrame:
+    """columns: name -> selector. Blank lines are passed over and not counted. __error is set on rows that
+    reject their file: lines that aren't an object, and containers under strict."""
+    lines = read_lines(spark, files, F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
     cells, problem = _cells(F.col("v"), columns, strict)
     error = F.when(F.col("v").isNull(), PARSE).when(~F.schema_of_variant("v").startswith("OBJECT"), SHAPE).otherwise(problem)
-    return lines.select(*cells, "__file", "__file_ord", "__row_index", error.alias("__error"))
+    return lines.select(*cells, FILE_ORD, SPLIT, AT, error.alias("__error"))
 
 
-def read_json_array(spark: SparkSession, paths: Sequence[str], columns: dict[str, str], strict: bool = True) -> DataFrame:
+def read_json_array(spark: SparkSession, files: Sequence[tuple[int, str]], columns: dict[str, str], strict: bool = True) -> DataFrame:
     """A row an object. A file that doesn't parse, or isn't an array of objects, has one row with its
-    __error."""
-    files = with_file(spark.read.text(list(paths), wholetext=True).select("value", "_metadata"), paths)
-    parsed = F.try_parse_json("value")
-    docs = files.select("__file", "__file_ord", parsed.alias("doc"))
+    __error. A file is one value, so it must fit a task's memory; larger data belong into NDJSON."""
+    docs = whole_files(spark, "text", files, "value").select(FILE_ORD, F.try_parse_json("value").alias("doc"))
     kind = F.schema_of_variant("doc")
     bad = F.when(F.col("doc").isNull(), PARSE).when(~kind.startswith("ARRAY"), SHAPE)
     items = F.when(bad.isNull(), F.col("doc").cast("array<variant>"))
-    each = docs.select("__file", "__file_ord", bad.alias("bad"), F.posexplode_outer(items).alias("i", "v"))
+    each = docs.select(FILE_ORD, bad.alias("bad"), F.posexplode_outer(items).alias("i", "v"))
     cells, problem = _cells(F.col("v"), columns, strict)
     error = F.coalesce("bad", F.when(F.col("v").isNotNull() & ~F.schema_of_variant("v").startswith("OBJECT"), F.lit(SHAPE)), problem)
-    return each.where(F.col("v").isNotNull() | F.col("bad").isNotNull()).select(*cells, "__file", "__file_ord", F.col("i").cast("long").alias("__row_index"), error.alias("__error"))
+    found = each.where(F.col("v").isNotNull() | F.col("bad").isNotNull())
+    return found.select(*cells, FILE_ORD, F.lit(0).cast("long").alias(SPLIT), F.col("i").cast("long").alias(AT), error.alias("__error"))
 
 
-def first_keys(spark: SparkSession, path: str, array: bool) -> list[str]:
+def _prefixes(files: Files, path: str) -> Iterator[tuple[str, bool]]:
+    """Longer and longer beginnings of a file, and whether it ends there."""
+    size = 1 << 16
+    while True:
+        raw = files.prefix(path, size)
+        yield raw.decode("utf-8", "ignore").lstrip("\ufeff"), len(raw) < size
+        if len(raw) < size:
+            return
+        size *= 8
+
+
+def first_keys(files: Files, path: str, array: bool) -> list[str]:
     """The keys of the first object (of the first line that parses): what the schema check compares.
-    ValueError if there is none."""
-    if array:
-        doc = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v")).select(F.schema_of_variant(F.try_variant_get("v", "$", "variant")).alias("kind"), F.try_variant_get("v", "$[0]", "map<string,variant>").alias("first")).first()
-        if doc is None or doc["kind"] is None:
-            raise ValueError(f"{PARSE}: not JSON")
-        if not doc["kind"].startswith("ARRAY") or doc["first"] is None:
-            raise ValueError(f"{SHAPE}: the root must be an array of objects with one at least")
-        return sorted(doc["first"])
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>").alias("m")).where("m IS NOT NULL")
-    found = lines.select(F.map_keys("m").alias("k")).first()
-    if found is None:
-        raise ValueError(f"{PARSE}: no object")
-    return sorted(found["k"])
+    Only the beginning of the file is read. ValueError if there is none."""
+    for text, whole in _prefixes(files, path):
+        if array:
+            body = text.lstrip(" \t\r\n")
+            if body and body[0] != "[":
+                try:
+                    json.loads(body) if whole else None
+                except ValueError:
+                    raise ValueError(f"{PARSE}: not JSON") from None
+                raise ValueError(f"{SHAPE if body[0] in '{"-0123456789tfn' else PARSE}: the root must be an array of objects with one at least")
+            try:
+                found, _ = json.JSONDecoder().raw_decode(body[1:].lstrip(" \t\r\n"))
+            except ValueError:
+                if whole:
+                    empty = body[1:].lstrip(" \t\r\n")[:1] == "]"
+                    raise ValueError(f"{SHAPE}: the array is empty" if empty else f"{PARSE}: not JSON") from None
+                continue
+            if not isinstance(found, dict):
+                raise ValueError(f"{SHAPE}: the root must be an array of objects with one at least")
+            return sorted(found)
+        lines = text.split("\n")
+        for line in lines if whole else lines[:-1]:
+            try:
+                found = json.loads(line)
+            except ValueError:
+                continue
+            if isinstance(found, dict):
+                return sorted(found)
+    raise ValueError(f"{PARSE}: no object")

@@ -10,9 +10,10 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import importable
-from .lines import with_file
+from .lines import AT, FILE_ORD, SPLIT, whole_files
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -72,21 +73,39 @@ def _read(columns: Sequence[str], sheet_name: str | None, header_row: int, data_
                 rows = sheet(part.column("content")[i].as_py(), sheet_name)
                 place = {n: k for k, n in enumerate(header(rows, header_row))}
                 found = [r for n, r in sorted(rows.items()) if n >= data_row and r]
-                cols = [part.column(c).take(pa.array([i] * len(found), pa.int64())) for c in ("__file", "__file_ord")]
+                cols = [part.column(FILE_ORD).take(pa.array([i] * len(found), pa.int64()))]
                 cols += [pa.array([r.get(place.get(c, -1)) or None for r in found], pa.string()) for c in columns]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(range(len(found)), pa.int64())], names=names)
 
     return run
 
 
-def read_xlsx(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], sheet_name: str | None = None, header_row: int = 1, data_row: int = 2) -> DataFrame:
-    """Raw columns and places. A file that can't be read ends the run."""
+def read_xlsx(spark: SparkSession, files: Sequence[tuple[int, str]], columns: Sequence[str], sheet_name: str | None = None, header_row: int = 1, data_row: int = 2) -> DataFrame:
+    """Raw columns and places. A file that can't be read ends the run; the look at its header rejects it
+    before. A workbook is parsed in one task."""
     importable(spark)
-    files = with_file(spark.read.format("binaryFile").load(list(paths)).select("content", "_metadata"), paths).select("content", "__file", "__file_ord")
-    names = ["__file", "__file_ord", *[f"raw_{c}" for c in columns], "__row_index"]
-    schema = ", ".join(["__file string, __file_ord long", *[f"`raw_{c}` string" for c in columns], "__row_index long"])
-    return files.mapInArrow(_read(columns, sheet_name, header_row, data_row, names), schema)
+    names = [FILE_ORD, *[f"raw_{c}" for c in columns], AT]
+    schema = ", ".join([f"{FILE_ORD} long", *[f"`raw_{c}` string" for c in columns], f"{AT} long"])
+    read = whole_files(spark, "binaryFile", files, "content").select("content", FILE_ORD).mapInArrow(_read(columns, sheet_name, header_row, data_row, names), schema)
+    return read.withColumn(SPLIT, F.lit(0).cast("long"))
 
 
-def columns_of(spark: SparkSession, path: str, sheet_name: str | None = None, header_row: int = 1) -> list[str]:
-    return header(sheet(spark.read.format("binaryFile").load(path).select("content").first()[0], sheet_name), header_row)
+def headers(spark: SparkSession, files: Sequence[tuple[int, str]], sheet_name: str | None = None, header_row: int = 1) -> dict[int, list[str] | ValueError]:
+    """The files' columns by position, or why they can't be read. One job: a workbook must be unpacked
+    as a whole, which no driver should do."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found, errors = [], []
+            for raw in part.column("content"):
+                try:
+                    found.append(header(sheet(raw.as_py(), sheet_name), header_row))
+                    errors.append(None)
+                except ValueError as x:
+                    found.append([])
+                    errors.append(str(x))
+            yield pa.RecordBatch.from_arrays([part.column(FILE_ORD), pa.array(found, pa.list_(pa.string())), pa.array(errors, pa.string())], names=[FILE_ORD, "names", "error"])
+
+    importable(spark)
+    rows = whole_files(spark, "binaryFile", files, "content").mapInArrow(run, f"{FILE_ORD} long, names array<string>, error string")
+    return {r[0]: ValueError(r[2]) if r[2] else r[1] for r in rows.collect()}  # a row a file

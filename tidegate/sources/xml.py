@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.selectors import xml_steps
 from ..session import importable
+from .lines import AT, FILE_ORD, SPLIT, whole_files
 
 
 def _local(tag: str) -> str:
@@ -74,10 +75,8 @@ def select_xml(df: DataFrame, column: str, row_tag: str, columns: dict[str, str]
     return narrow.mapInArrow(_select(len(keep), len(keep), row_tag, columns, names, namespace, value_tag), schema)
 
 
-def read_xml(spark: SparkSession, paths: Sequence[str], row_tag: str, columns: dict[str, str], namespace: str | None = None, value_tag: str | None = None) -> DataFrame:
-    """Raw columns, places, and __error for files that can't be read."""
-    from .lines import with_file
-
-    docs = with_file(spark.read.text(list(paths), wholetext=True).select("value", "_metadata"), paths).drop("_metadata")
-    out = select_xml(docs, "value", row_tag, {f"raw_{c}": s for c, s in columns.items()}, ["__file", "__file_ord"], namespace, value_tag)
-    return out.withColumnsRenamed({"row_index": "__row_index", "error": "__error"})
+def read_xml(spark: SparkSession, files: Sequence[tuple[int, str]], row_tag: str, columns: dict[str, str], namespace: str | None = None, value_tag: str | None = None) -> DataFrame:
+    """Raw columns, places, and __error for files that can't be read. A file is parsed in one task."""
+    docs = whole_files(spark, "text", files, "value")
+    out = select_xml(docs, "value", row_tag, {f"raw_{c}": s for c, s in columns.items()}, [FILE_ORD], namespace, value_tag)
+    return out.withColumnsRenamed({"row_index": AT, "error": "__error"}).withColumn(SPLIT, F.lit(0).cast("long"))
