@@ -13,7 +13,7 @@ from pathlib import Path, PurePosixPath
 from typing import Any
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__
@@ -265,10 +265,9 @@ class EntityRun:
                     df = df.select("*", column)
                 parts.append(p.column if p.transform == "identity" else f"{p.column}_{p.transform}")
             if self.mode == "overwrite" or out.accepted:
-                written = Observation()
-                tables.write_parquet(df.observe(written, F.count(F.lit(1)).alias("n")), path, self.mode, a.options, parts, out.accepted)
-                if written.get["n"] != out.accepted:
-                    raise RuntimeError(f"{written.get['n']} rows were written of {out.accepted} accepted ones")
+                n = tables.write_parquet(df, path, self.mode, a.options, parts, out.accepted)
+                if n != out.accepted:
+                    raise RuntimeError(f"{n} rows were written of {out.accepted} accepted ones")
             out.output = asdict(tables.size_metrics(self.spark, path, a.options.max_size_per_file)) | {"path": path}
             return
         if self.mode == "append" and not out.accepted:
@@ -478,11 +477,10 @@ def _write_errors(run: EntityRun, routed: policy.Routed, read: DataFrame, report
 
     errors = checks.format_errors(F.col(checks.ERRORS), formatter, sources or None).alias(checks.ERRORS)
     if severity != "abort" and (n := sum(r.rejected for r in reports if r.error is None)):
-        written = Observation()
         rejected = run.output(numbered(routed.rejected), [F.col(checks.ROW).alias(checks.ROW_INDEX), errors])
-        tables.write_rejected(rejected.observe(written, F.count(F.lit(1)).alias("n")), rejected_at, "overwrite" if run.mode == "overwrite" else "append")
-        if written.get["n"] != n:
-            raise RuntimeError(f"{written.get['n']} rows were written of {n} rejected ones")
+        found = tables.write_rejected(rejected, rejected_at, "overwrite" if run.mode == "overwrite" else "append")
+        if found != n:
+            raise RuntimeError(f"{found} rows were written of {n} rejected ones")
     if severity != "reject" and any(r.rules for r in reports):
         out.errors_path = f"{rejected_at.rstrip('/')}_errors"
         stems = run.spark.createDataFrame([(i, f"{i}_{PurePosixPath(r.path).stem}") for i, r in enumerate(reports) if r.rules], f"{checks.FILE_ORD} long, file string")

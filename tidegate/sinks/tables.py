@@ -10,7 +10,7 @@ from typing import Any, Protocol
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -53,24 +53,29 @@ def row_bytes(df: DataFrame) -> float:
     return max(1.0, found or 1.0)
 
 
-def write_parquet(df: DataFrame, path: str, mode: str, options=None, partition_by: Sequence[str] = (), rows: int = 0) -> None:
-    """overwrite clears the folder's own parts only: a folder with other files is refused. Files stay
-    under options.max_size_per_file (256 MiB); rows: how many there are, as far as known."""
+def write_parquet(df: DataFrame, path: str, mode: str, options=None, partition_by: Sequence[str] = (), rows: int = 0) -> int:
+    """The number of rows written. overwrite clears the folder's own parts only: a folder with other
+    files is refused. Files stay under options.max_size_per_file (256 MiB); rows: how many there are, as
+    far as known."""
     if mode == "overwrite":
         foreign = [n for n in Files(df.sparkSession).names(path) if not n.startswith(("part-", "_", ".")) and "=" not in n]
         if foreign:
             raise ValueError(f"{path} holds other files: {foreign[:3]}")
-    writer = df.write.mode(mode)
+    limit = options.max_size_per_file if options and options.max_size_per_file else LARGE_FILE
+    large = df.columns and (limit < LARGE_FILE or rows * len(df.columns) > limit // 32)  # else no file can be
+    width = row_bytes(df) if large else 0
+    written = Observation()
+    writer = df.observe(written, F.count(F.lit(1)).alias("n")).write.mode(mode)
     if options and options.compression:
         writer = writer.option("compression", "none" if options.compression == "uncompressed" else options.compression)
     if options and options.row_group_size:
         writer = writer.option("parquet.block.size", options.row_group_size)
-    limit = options.max_size_per_file if options and options.max_size_per_file else LARGE_FILE
-    if df.columns and (limit < LARGE_FILE or rows * len(df.columns) > limit // 32):  # else no file can be so large
-        writer = writer.option("maxRecordsPerFile", max(1, int(limit / row_bytes(df))))
+    if large:
+        writer = writer.option("maxRecordsPerFile", max(1, int(limit / width)))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    return written.get["n"]
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame | None:
@@ -290,10 +295,11 @@ class ConnectorTable:
         return out
 
 
-def write_rejected(df: DataFrame, path: str, mode: str) -> str:
-    """Rejected rows as CSV with a header."""
-    df.write.mode(mode).option("header", True).option("nullValue", "").option("escape", '"').csv(path)
-    return path
+def write_rejected(df: DataFrame, path: str, mode: str) -> int:
+    """Rejected rows as CSV with a header; how many they are."""
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("n")).write.mode(mode).option("header", True).option("nullValue", "").option("escape", '"').csv(path)
+    return written.get["n"]
 
 
 @dataclass
