@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def sliced(parts: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches of the same rows, uncopied: what a worker makes of a batch is held at once."""
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Texts of a batch; null reads as the empty text."""
     return [t or "" for t in column.to_pylist()]

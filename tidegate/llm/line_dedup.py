@@ -2,7 +2,7 @@
 
 1. Each document's line keys are hashed to 128 bits and pre-aggregated, per batch and then by Spark,
    to (number of documents, smallest doc_id). 2. The keys of two documents or more are dealt by hash to
-   shards; a shard becomes one row: a minimal perfect hash over its keys and, in its order, arrays of
+   shards; a shard becomes one row: a minimal perfect hash over its keys (of all 128 bits) and, in its order, arrays of
    64-bit fingerprints, document counts and owners. Keys of one document lose no line, so they are left
    out; a probe with such a key meets a foreign fingerprint. 3. Documents probe: their line hashes,
    as blobs by shard, meet the shard's one row, and what must go comes back by document.
@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Scratch, batches, mix, texts
+from .common import Scratch, batches, mix, sliced, texts
 
 #: Keys in the small array of frequent keys, at most: 24 bytes each.
 HOT = 4096
@@ -31,7 +32,7 @@ SHARD_KEYS = 1 << 18
 #: The place of a null doc_id in the order: after every other.
 NO_ID = (1 << 63) - 1
 KEYS = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("n", pa.int64()), ("owner", pa.int64()), ("last", pa.int64())])
-SHARDS = pa.schema([("shard", pa.int64()), ("levels", pa.binary()), ("sizes", pa.list_(pa.int64())), ("prints", pa.binary()), ("counts", pa.binary()), ("owners", pa.binary())])
+SHARDS = pa.schema([("shard", pa.int64()), ("seed", pa.int64()), ("levels", pa.binary()), ("sizes", pa.list_(pa.int64())), ("prints", pa.binary()), ("counts", pa.binary()), ("owners", pa.binary())])
 PROBES = pa.schema([("shard", pa.int64()), ("probes", pa.binary())])
 DROPS = pa.schema([("key_id", pa.int64()), ("h", pa.int64())])
 _SEED = 0xD6E8FEB86659FD93
@@ -53,7 +54,10 @@ class PerfectHash:
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
-        levels, sizes, rest = [], [], keys
+        """ValueError if a key comes twice: no level could tell the two apart."""
+        levels, sizes, rest = [], [], np.asarray(keys, np.uint64)
+        if np.unique(rest).size < rest.size:
+            raise ValueError("a perfect hash needs distinct keys")
         while rest.size:
             size = 2 * rest.size + 1
             at = cls._slots(rest, len(sizes), size)
@@ -77,6 +81,12 @@ class PerfectHash:
         return out
 
 
+def joint(h: np.ndarray, g: np.ndarray, seed: int) -> np.ndarray:
+    """One 64-bit key of both halves of a line's hash. Two lines may share it under one seed, not under
+    all."""
+    return mix(h.view(np.uint64) + np.uint64(_SEED * (2 * seed + 1) % 2**64)) ^ g.view(np.uint64)
+
+
 # --- keys of lines --------------------------------------------------------------------------------
 def line_key(line: str, least: int) -> bytes | None:
     """The key in UTF-8; None if it has under `least` code points."""
@@ -125,12 +135,14 @@ def _build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row(shard: int, cols: list[list[np.ndarray]]) -> pa.RecordBatch:
         h, g, n, owner = (np.concatenate(c) for c in cols)
-        hashed = PerfectHash.build(h.view(np.uint64))
-        at = hashed.index(h.view(np.uint64))
+        seed = next(s for s in count() if np.unique(joint(h, g, s)).size == h.size)  # (h, g) are distinct
+        keys = joint(h, g, seed)
+        hashed = PerfectHash.build(keys)
+        at = hashed.index(keys)
         prints, counts, owners = np.empty(h.size, np.int64), np.empty(h.size, np.uint32), np.empty(h.size, np.int64)
         prints[at], owners[at] = g, owner
         counts[at] = np.minimum(n, 2**32 - 1)
-        return batches({"shard": [shard], "levels": [np.packbits(hashed.levels).tobytes()], "sizes": [hashed.sizes], "prints": [prints.tobytes()], "counts": [counts.tobytes()], "owners": [owners.tobytes()]}, SHARDS)
+        return batches({"shard": [shard], "seed": [seed], "levels": [np.packbits(hashed.levels).tobytes()], "sizes": [hashed.sizes], "prints": [prints.tobytes()], "counts": [counts.tobytes()], "owners": [owners.tobytes()]}, SHARDS)
 
     now, held = None, [[], [], [], []]
     for part in parts:
@@ -188,18 +200,18 @@ def _probes(least: int, shards: int, hot: _Hot):
 def _answers(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by shard, each shard's arrays (a row without probes) before its probes."""
     hashed, prints, owners = PerfectHash.build(np.zeros(0, np.uint64)), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    now = None
+    now = seed = None
     for part in parts:
         ids, hs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(part.num_rows):
             shard = part.column("shard")[i].as_py()
             if not part.column("probes")[i].is_valid:
-                now, sizes = shard, part.column("sizes")[i].as_py()
+                now, seed, sizes = shard, part.column("seed")[i].as_py(), part.column("sizes")[i].as_py()
                 hashed = PerfectHash(np.unpackbits(np.frombuffer(part.column("levels")[i].as_py(), np.uint8), count=sum(sizes)).astype(bool), sizes)
                 prints, owners = (np.frombuffer(part.column(c)[i].as_py(), np.int64) for c in ("prints", "owners"))
             elif now == shard:  # else the shard is empty
                 rows = np.frombuffer(part.column("probes")[i].as_buffer(), np.int64).reshape(-1, 3)
-                at = hashed.index(rows[:, 0].view(np.uint64))
+                at = hashed.index(joint(np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 1]), seed))
                 gone = (at >= 0) & (prints[at] == rows[:, 1]) & (owners[at] != rows[:, 2])
                 ids.append(rows[gone, 2])
                 hs.append(rows[gone, 0])
@@ -210,7 +222,7 @@ def _rewrite(least: int, hot: _Hot, schema: pa.Schema, sizes: tuple[str, str] |
     """Drops what must go. The batch has the documents' columns, then the keys to drop."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in sliced(parts):
             out, total, dropped = [], [], []
             drops = part.column(part.num_columns - 1)
             nulls = part.column("text").is_null().to_pylist()
@@ -262,7 +274,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 10, counts: bool = True) ->
     shards = max(2 * parts, -(-total // SHARD_KEYS))
     cold = keys.where(F.col("n") < hot_from).select(F.expr("0L").alias("shard"), "h", "g", "n", "owner")
     cold = cold.mapInArrow(_dealt(shards), "shard long, h long, g long, n long, owner long")
-    built = cold.repartition("shard").sortWithinPartitions("shard").mapInArrow(_build, "shard long, levels binary, sizes array<long>, prints binary, counts binary, owners binary")
+    built = cold.repartition("shard").sortWithinPartitions("shard").mapInArrow(_build, "shard long, seed long, levels binary, sizes array<long>, prints binary, counts binary, owners binary")
     built = scratch.keep(built)
     scratch.drop(keys)
     probes = base.mapInArrow(_probes(least_chars, shards, hot), "shard long, probes binary")
