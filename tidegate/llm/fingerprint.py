@@ -5,9 +5,9 @@ vectors, lane by lane, modulo powers of two. So the order of paragraphs doesn't
 is inserted or deleted by adding or subtracting its vector, without the rest of the document.
 
 A vector has two blocks. `EQUAL` lanes modulo 2^64 are uniform, drawn from the paragraph's 128-bit
-hash: equal sums mean equal multisets. `ALIKE` lanes modulo 2^16 hold a signed count sketch of the
+hash: equal sums mean equal multisets. `ALIKE` lanes modulo 2^32 hold a signed count sketch of the
 paragraph's `WINDOW`-byte windows; being sums too, they estimate how much two documents share:
-1 - |a - b|^2 / (|a|^2 + |b|^2).
+1 - |a - b|^2 / (|a|^2 + |b|^2). A text of under 2^31 bytes, Spark's longest, can't make a lane wrap.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import importable
-from .common import batches, mix
+from .common import mix, sliced
 
 EQUAL, ALIKE, WINDOW = 8, 256, 16
 #: Bytes whose windows are hashed at a time.
@@ -31,11 +31,11 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited", pa.
 
 
 class Fingerprint:
-    """equal: EQUAL lanes modulo 2^64; alike: ALIKE lanes modulo 2^16."""
+    """equal: EQUAL lanes modulo 2^64; alike: ALIKE lanes modulo 2^32."""
 
     def __init__(self, equal: np.ndarray | None = None, alike: np.ndarray | None = None):
         self.equal = np.zeros(EQUAL, np.uint64) if equal is None else equal
-        self.alike = np.zeros(ALIKE, np.int16) if alike is None else alike
+        self.alike = np.zeros(ALIKE, np.int32) if alike is None else alike
 
     @classmethod
     def of(cls, text: str) -> Fingerprint:
@@ -51,7 +51,7 @@ class Fingerprint:
         return Fingerprint(self.equal - other.equal, self.alike - other.alike)
 
     def __str__(self) -> str:
-        return self.equal.astype("<u8").tobytes().hex() + self.alike.astype("<i2").tobytes().hex()
+        return self.equal.astype("<u8").tobytes().hex() + self.alike.astype("<i4").tobytes().hex()
 
     def __eq__(self, other: object) -> bool:
         return isinstance(other, Fingerprint) and str(self) == str(other)
@@ -61,7 +61,7 @@ class Fingerprint:
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
         raw = bytes.fromhex(text)
-        return cls(np.frombuffer(raw, "<u8", EQUAL).copy(), np.frombuffer(raw, "<i2", ALIKE, 8 * EQUAL).copy())
+        return cls(np.frombuffer(raw, "<u8", EQUAL).copy(), np.frombuffer(raw, "<i4", ALIKE, 8 * EQUAL).copy())
 
     def likeness(self, other: Fingerprint) -> float:
         """1 for equal fingerprints, and for those alone."""
@@ -76,12 +76,12 @@ def _counted(h: np.ndarray) -> np.ndarray:
     """The sketch of window hashes: a lane and a sign from each."""
     at = (h >> np.uint64(55)).astype(np.int64)  # 9 bits: the lane and the sign
     n = np.bincount(at, minlength=2 * ALIKE)
-    return (n[:ALIKE] - n[ALIKE:]).astype(np.int16)  # modulo 2^16
+    return (n[:ALIKE] - n[ALIKE:]).astype(np.int32)  # modulo 2^32
 
 
 def _sketch(raw: bytes) -> np.ndarray:
     """Windows that lie within one paragraph; a paragraph under WINDOW bytes is one window."""
-    out = np.zeros(ALIKE, np.int16)
+    out = np.zeros(ALIKE, np.int32)
     for at in range(0, len(raw), BLOCK):
         own = np.frombuffer(raw[at : at + BLOCK + WINDOW - 1], np.uint8)
         if own.size < WINDOW:
@@ -105,7 +105,7 @@ def edited_text(text: str, following: str) -> str:
 def _compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by bucket and in order, each bucket's follower (own false) last."""
     held: tuple | None = None
-    for part in parts:
+    for part in sliced(parts):
         rows = []
         for bucket, own, doc, text in zip(*(part.column(c).to_pylist() for c in ("bucket", "own", "doc_id", "text")), strict=True):
             text = text or ""
