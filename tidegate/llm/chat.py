@@ -1,8 +1,10 @@
 r"""Chat formatting: records of unlike layouts become canonical turns, and turns one template.
 
-A layout is known by its schema's fingerprint: the hash of its sorted nested field paths ("messages[].role").
-It selects a declarative mapping, which says where the turns are; no code is written for a layout. Records
-whose fingerprint is unknown come out as such and are not guessed at.
+A layout is known by its schema's fingerprint: the hash of its sorted nested field paths ("messages[].role"),
+of those that some layout names; other fields (ids, sources, scores) carry no turn and don't change it.
+The fingerprint selects a declarative mapping, which says where the turns are; no code is written for a
+layout. That holds for JSON records, by record, and for tables, by schema. Records whose fingerprint is
+unknown come out as such and are not guessed at.
 
 The template marks a turn as `### role: text</turn>` and a line break. Inside roles and texts a backslash
 is doubled, each # of three or more in a row gets a backslash, `</turn>` becomes `<\/turn>`; in roles
@@ -15,12 +17,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ..session import importable
 from .common import batches
@@ -33,64 +37,122 @@ _MARKED = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.
 # --- layouts --------------------------------------------------------------------------------------
 @dataclass(frozen=True)
 class Mapping:
-    """each: the path of the list of turns, with its role and text fields; or, where each is empty,
-    fixed: (field, role) pairs, in order, and empty optional fields give no turn. join: of fixed fields
-    with one role, texts that are joined by a blank line."""
+    """before: top-level (field, role) pairs whose texts, unless empty, come first. each: the path of the
+    list of turns, with its role and text fields (a text that is a list of parts is their `part` fields,
+    joined by line breaks); or, where each is empty, fixed: (field, role) pairs in order; texts of one
+    role that follow each other are joined by a blank line."""
 
     each: str = ""
     role: str = "role"
     text: str = "content"
+    part: str = "text"
+    before: tuple[tuple[str, str], ...] = ()
     fixed: tuple[tuple[str, str], ...] = ()
 
 
-def paths(value: object, at: str = "") -> set[str]:
-    """The field paths of a JSON value; a list adds []."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in paths(v, f"{at}.{k}" if at else k)} or ({at} if at else set())
-    if isinstance(value, list):
-        return {p for v in value for p in paths(v, at + "[]")} or {at + "[]"}
-    return {at}
+@dataclass(frozen=True)
+class Layout:
+    """The field paths that a record of the layout has, those it may have, and its mapping."""
+
+    paths: tuple[str, ...]
+    mapping: Mapping
+    may: tuple[str, ...] = ()
+
+    def forms(self) -> Iterator[frozenset[str]]:
+        for n in range(len(self.may) + 1):
+            for extra in combinations(self.may, n):
+                yield frozenset((*self.paths, *extra))
+
+
+def _key(name: str) -> str:
+    """A field's name in a path: marks of paths inside it are escaped, so that no name forges a path."""
+    return re.sub(r"([\\.\[\]{}])", r"\\\1", name)
+
+
+def paths(value: object) -> set[str]:
+    """The field paths of a JSON value; a list adds []. Values may be nested as deep as they like."""
+    out: set[str] = set()
+    todo = [(value, "")]
+    while todo:
+        now, at = todo.pop()
+        if isinstance(now, dict) and now:
+            todo += [(v, f"{at}.{_key(k)}" if at else _key(k)) for k, v in now.items()]
+        elif isinstance(now, list):
+            todo += [(v, at + "[]") for v in now] or [(None, at + "[]")]
+        elif at:
+            out.add(at)
+    return out
 
 
-def fingerprint(fields: set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(fields)).encode()).hexdigest()[:16]
+def schema_paths(schema: StructType) -> set[str]:
+    """The same of a table's schema; a map, whose keys aren't known, adds {}."""
+    out: set[str] = set()
+    todo: list[tuple[DataType, str]] = [(schema, "")]
+    while todo:
+        now, at = todo.pop()
+        if isinstance(now, StructType):
+            todo += [(f.dataType, f"{at}.{_key(f.name)}" if at else _key(f.name)) for f in now]
+        elif isinstance(now, ArrayType):
+            todo.append((now.elementType, at + "[]"))
+        else:
+            out.add(at + "{}" * isinstance(now, MapType))
+    return out
+
+
+def fingerprint(fields: Iterable[str]) -> str:
+    return hashlib.sha256("\n".join(sorted(fields)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 #: Other names of roles.
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
-#: Layouts: their field paths and mapping.
-LAYOUTS: list[tuple[tuple[str, ...], Mapping]] = [
-    (("messages[].role", "messages[].content"), Mapping("messages")),
-    (("conversations[].from", "conversations[].value"), Mapping("conversations", "from", "value")),
-    (("turns[].speaker", "turns[].text"), Mapping("turns", "speaker", "text")),
-    (("instruction", "output"), Mapping(fixed=(("instruction", "user"), ("output", "assistant")))),
-    (("instruction", "input", "output"), Mapping(fixed=(("instruction", "user"), ("input", "user"), ("output", "assistant")))),
-    (("prompt", "response"), Mapping(fixed=(("prompt", "user"), ("response", "assistant")))),
-    (("prompt", "completion"), Mapping(fixed=(("prompt", "user"), ("completion", "assistant")))),
-    (("system", "prompt", "response"), Mapping(fixed=(("system", "system"), ("prompt", "user"), ("response", "assistant")))),
-    (("question", "answer"), Mapping(fixed=(("question", "user"), ("answer", "assistant")))),
+_PARTS = ("messages[].content[].type", "messages[].content[].text")
+LAYOUTS: list[Layout] = [
+    Layout(("messages[].role", "messages[].content"), Mapping("messages", before=(("system", "system"),)), ("system", *_PARTS)),
+    Layout(("messages[].role", *_PARTS), Mapping("messages", before=(("system", "system"),)), ("system",)),
+    Layout(("conversations[].from", "conversations[].value"), Mapping("conversations", "from", "value", before=(("system", "system"),)), ("system",)),
+    Layout(("turns[].speaker", "turns[].text"), Mapping("turns", "speaker", "text")),
+    Layout(("instruction", "output"), Mapping(before=(("system", "system"),), fixed=(("instruction", "user"), ("input", "user"), ("output", "assistant"))), ("system", "input")),
+    Layout(("prompt", "response"), Mapping(before=(("system", "system"),), fixed=(("prompt", "user"), ("response", "assistant"))), ("system",)),
+    Layout(("prompt", "completion"), Mapping(before=(("system", "system"),), fixed=(("prompt", "user"), ("completion", "assistant"))), ("system",)),
+    Layout(("question", "answer"), Mapping(before=(("system", "system"),), fixed=(("question", "user"), ("answer", "assistant"))), ("system",)),
 ]
-MAPPINGS = {fingerprint(set(fields)): mapping for fields, mapping in LAYOUTS}
+MAPPINGS = {fingerprint(form): layout.mapping for layout in LAYOUTS for form in layout.forms()}
+#: What the layouts name; a record's other paths don't enter its fingerprint.
+KNOWN = frozenset(p for layout in LAYOUTS for p in (*layout.paths, *layout.may))
 #: Layouts of tables with a row a turn: their columns, as (conversation, turn, role, text).
-TABLES = {fingerprint(set(fields)): fields for fields in (("conv_id", "turn", "role", "text"), ("conversation_id", "position", "speaker", "content"))}
+TABLE_LAYOUTS = (("conv_id", "turn", "role", "text"), ("conversation_id", "position", "speaker", "content"))
+TABLES = {fingerprint(fields): fields for fields in TABLE_LAYOUTS}
+KNOWN_COLUMNS = frozenset(c for fields in TABLE_LAYOUTS for c in fields)
+
+
+def _word(value: object) -> str:
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
 def turns_of(record: object) -> tuple[str, list[tuple[str, str]] | None]:
     """The fingerprint of a JSON record and its (role, text) turns; None if no mapping has it."""
-    mark = fingerprint(paths(record))
+    mark = fingerprint(paths(record) & KNOWN)
     mapping = MAPPINGS.get(mark)
     if mapping is None or not isinstance(record, dict):
         return mark, None
-    word = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    out = [(role, text) for name, role in mapping.before if (text := _word(record.get(name)))]
     if mapping.each:
-        found = [(word(t.get(mapping.role)), word(t.get(mapping.text))) for t in record[mapping.each]]
-        return mark, [(ALIASES.get(role.lower(), role), text) for role, text in found]
-    out: list[tuple[str, str]] = []
+        turns = record.get(mapping.each)
+        if not isinstance(turns, list) or not all(isinstance(t, dict) for t in turns):
+            return mark, None
+        for t in turns:
+            text = t.get(mapping.text)
+            if isinstance(text, list) and all(isinstance(x, dict) for x in text):
+                text = "\n".join(_word(x[mapping.part]) for x in text if mapping.part in x)
+            role = _word(t.get(mapping.role))
+            out.append((ALIASES.get(role.lower(), role), _word(text)))
+        return mark, out
+    first = len(out)
     for name, role in mapping.fixed:
-        text = word(record.get(name))
-        if out and out[-1][0] == role:
+        text = _word(record.get(name))
+        if len(out) > first and out[-1][0] == role:
             out[-1] = role, "\n\n".join(x for x in (out[-1][1], text) if x)
-        elif text or role != "system":
+        else:
             out.append((role, text))
     return mark, out
 
@@ -101,7 +163,7 @@ def _records(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             try:
                 mark, found = turns_of(json.loads(raw or "null"))
-            except ValueError:
+            except (ValueError, RecursionError):  # malformed, or nested deeper than the parser goes
                 mark, found = "not json", None
             rows += [(conv, i, role, text, mark) for i, (role, text) in enumerate(found)] if found else [(conv, None, None, None, mark)]
         cols = list(zip(*rows, strict=True)) or [[] for _ in _TURNS]
@@ -117,14 +179,19 @@ def turns_from_records(records: DataFrame) -> DataFrame:
 
 
 def turns_from_table(table: DataFrame) -> DataFrame:
-    """A table with a row a turn -> conv_id, turn, role, text. The columns' fingerprint says which is
-    which; extra columns are left out of it."""
-    names = set(table.columns)
-    fields = next((f for f in TABLES.values() if set(f) <= names), None)
-    if fields is None or fingerprint(set(fields)) not in TABLES:
-        raise ValueError(f"no layout for columns {sorted(names)}")
-    conv, turn, role, text = fields
-    return table.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
+    """A table -> conv_id, turn, role, text. The fingerprint of its schema's nested paths selects the
+    mapping: of a row a turn, or of a row a conversation in one of the records' layouts, with conv_id.
+    Columns that no layout names don't matter, whatever they are called. ValueError if none has it."""
+    found = schema_paths(table.schema)
+    fields = TABLES.get(fingerprint(found & KNOWN_COLUMNS))
+    if fields is not None:
+        conv, turn, role, text = fields
+        return table.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
+    if "conv_id" in found and fingerprint(found & KNOWN) in MAPPINGS:
+        tops = [f"`{c}`" for c in table.columns if any(p == _key(c) or p.startswith((_key(c) + ".", _key(c) + "[")) for p in found & KNOWN)]
+        record = F.to_json(F.struct(*tops), {"ignoreNullFields": "false"})
+        return turns_from_records(table.select("conv_id", record.alias("record"))).drop("fingerprint")
+    raise ValueError(f"no layout for columns {sorted(table.columns)}")
 
 
 # --- the template ---------------------------------------------------------------------------------
