@@ -10,6 +10,7 @@ joins ids to pieces: the vocabulary's table of pieces is of fixed size and is at
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ from .common import batches, texts
 from .words import byte_letters, spaced_words
 
 BLOCK = 16_000_000
+#: Bytes of text whose blocks meet their words' ids in one task, on average.
+TASK = 64_000_000
 WORDS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("words", pa.binary())])
 MEET = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("blob", pa.binary())])
 OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
@@ -223,15 +226,18 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     A null text reads as the empty text, with no ids. Rows that repeat, or share a doc_id, or have
     none, are encoded each for itself. An empty table gives no rows. Other columns aren't read. docs
     must come in the same partitions when read again, as a scan does; anything else raises an error
-    that says so. A shard's table of distinct words is in memory: spark.sql.shuffle.partitions sets
-    their number.
+    that says so. A shard's table of distinct words is in memory. The shards grow as the root of the
+    counted characters, so that neither a shard's words nor the rows of all blocks' words by shard (some
+    1000 characters each) grow out of proportion; what the blocks' tasks read is bounded by `TASK`.
     """
     spark = importable(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # a vocabulary: its size is fixed
-    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards, tasks = max(2 * parts, math.isqrt(chars // BLOCK)), max(parts, -(-chars // TASK))
     words = docs.mapInArrow(_words(shards), "block long, shard int, words binary")
-    answers = words.repartition("shard").sortWithinPartitions("shard").mapInArrow(_encoded(spec), "block long, shard int, blob binary")
-    meet = answers.union(docs.mapInArrow(_kept, "block long, shard int, blob binary")).repartition("block").sortWithinPartitions("block", "shard")
+    answers = words.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_encoded(spec), "block long, shard int, blob binary")
+    meet = answers.union(docs.mapInArrow(_kept, "block long, shard int, blob binary")).repartition(tasks, "block").sortWithinPartitions("block", "shard")
     return meet.mapInArrow(_joined(spec, shards), "doc_id long, ids binary, decoded string")
