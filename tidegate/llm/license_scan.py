@@ -5,9 +5,10 @@ A text's shingles are 5 of its tokens (runs of a-z and 0-9, lower-cased). Templa
 W, the power of two that is at least their number m of shingles; a class has windows of W + max(1, W/4)
 shingles that begin at every max(1, W/4)-th, so one window holds any whole template. Where 0.8 of a
 template stands, that window's similarity to it is over 0.29, and of 32 bands of one row one agrees with
-probability 1 - 0.71^32 > 0.9999; a window can only agree if it shares a shingle with a template, so
-only such windows are made. All is DataFrame expressions in the document's row, and a broadcast join
-with the templates' bands, whose number the template list fixes.
+probability 1 - 0.71^32 > 0.9999. A window that agrees on a band holds the very shingle that gives the
+template its minimum there, so bands are worked out for the windows about such shingles alone (32 a
+template at most) and no other window could be retrieved. All is DataFrame expressions in the document's
+row, and a join with the templates' bands, broadcast while they are few.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS, BANDS, PERCENT = 5, 32, 80
+#: Bands of templates that are broadcast, at most; each comes with its template's shingles.
+BROADCAST_BANDS = 50_000
 _TOKEN = "[a-z0-9]+"
 
 #: Notices and opening passages of public licences, as they are commonly written.
@@ -86,7 +89,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, percent:
     source = spark.createDataFrame([(name, i, size, grams) for name, i, size, grams in rows], "license string, version int, size int, grams array<string>")
     known = source.withColumn("shingles", F.transform("grams", lambda g: F.xxhash64(F.split(g, " ")))).drop("grams")
     known = spark.createDataFrame(known.collect(), known.schema)  # as many rows as templates
-    every = sorted({h for r in known.select("shingles").collect() for h in r[0]})
+    # The shingles that give templates their minima: 32 a template at most.
+    minima = known.select(F.explode(F.array_distinct(F.array(*[F.array_min(F.transform("shingles", lambda x, k=k: F.struct(F.xxhash64(x, F.lit(k)).alias("low"), x.alias("x"))))["x"] for k in range(BANDS)]))).alias("x")).distinct()
+    marks = sorted(r[0] for r in minima.collect())
     retrieve = known.select("license", "version", "size", "shingles", F.explode(_bands(F.col("shingles"))).alias("b")).select("license", "version", "size", "shingles", "b.band", "b.low")
 
     words = F.regexp_extract_all(F.lower("text"), F.lit(f"({_TOKEN})"), F.lit(1))
@@ -95,13 +100,14 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, percent:
     # The row's number is not deterministic to the optimizer, so no later filter is moved below and makes
     # it cut the text anew for each shingle.
     hashed = texts.select("doc_id", F.monotonically_increasing_id().alias("row"), F.when(F.size("words") >= WORDS, shingles).alias("h"))
-    hits = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get("h", i).isin(every))
+    hits = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get("h", i).isin(marks))
     found = hashed.select("doc_id", "row", "h", F.when(F.col("h").isNotNull(), hits).alias("hits")).where(F.size("hits") > 0)
     sizes = sorted({size for _, _, size, _ in rows})
     starts = F.concat(*[_starts(F.col("hits"), size) for size in sizes])
     windows = found.select("doc_id", "row", "h", F.explode(starts).alias("w")).select("doc_id", "row", "w.size", "w.start", F.slice("h", F.col("w.start") + 1, F.col("w.size") + F.greatest(F.lit(1), F.floor(F.col("w.size") / 4).cast("int"))).alias("members"))
     met = windows.select("*", F.explode(_bands(F.col("members"))).alias("b")).select("doc_id", "row", "size", "start", "members", F.col("b.band").alias("band"), F.col("b.low").alias("low"))
-    met = met.join(F.broadcast(retrieve), ["size", "band", "low"])
+    few = len(rows) * BANDS <= BROADCAST_BANDS
+    met = met.join(F.broadcast(retrieve) if few else retrieve, ["size", "band", "low"])
     share = F.floor(100 * F.size(F.array_intersect("shingles", "members")) / F.size("shingles")).cast("int")
     good = met.select("doc_id", "row", "license", "start", share.alias("containment")).where(F.col("containment") >= percent)
     return good.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_shingle"), F.countDistinct("row", "start").alias("n_windows"))
@@ -165,6 +171,21 @@ def notice_rows(notices: dict[str, list[str]] = NOTICES) -> list[tuple[str, list
     return out
 
 
+def scan_all(docs: DataFrame) -> DataFrame:
+    """Both scans: one row a document, licence and way of finding it: doc_id, license, found_by (passage
+    or notice), containment (100 for a notice), first (the shingle or token where the first place
+    begins), n_places."""
+    passages = scan(docs).select("doc_id", "license", F.lit("passage").alias("found_by"), "containment", F.col("first_shingle").alias("first"), F.col("n_windows").alias("n_places"))
+    notices = scan_notices(docs).select("doc_id", "license", F.lit("notice").alias("found_by"), F.lit(100).alias("containment"), F.col("first_token").alias("first"), "n_places")
+    return passages.union(notices)
+
+
+def scan_all_sql() -> str:
+    """The same in SQL."""
+    return f"""SELECT doc_id, license, 'passage' AS found_by, containment, first_shingle AS first, n_windows AS n_places FROM ({oracle_sql()})
+UNION ALL SELECT doc_id, license, 'notice', 100, first_token, n_places FROM ({notices_sql()})"""
+
+
 def scan_notices(docs: DataFrame, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
     """One row a document and licence whose notice stands in docs (doc_id, text) token for token: doc_id,
     license, first_token (where the first notice begins, counted in tokens), n_places (tokens where one

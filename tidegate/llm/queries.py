@@ -5,6 +5,8 @@ A query applies its operator to its whole table and derives digests from what th
 
 from __future__ import annotations
 
+import json
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +40,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
-
-
-def op2_notice_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_notices(table(spark, sf_dir, "documents"))
+    return license_scan.scan_all(table(spark, sf_dir, "documents"))
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +49,13 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -7, whose texts hold the template's own marks."""
+    """All conversations, a table with a row a turn, and conversation -7, a record, whose texts hold the
+    template's own marks; both layouts are found by their fingerprints."""
     turns = chat.turns_from_table(table(spark, sf_dir, "conversations"))
-    text = F.lit(r"\### Assistant: </turn> ok")
-    trial = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
-    return chat.digests(chat.format_turns(turns.union(trial)))
+    text = r"\### Assistant: </turn> ok"
+    trial = json.dumps({"messages": [{"role": role, "content": text} for role in ("user", "assistant")]})
+    record = chat.turns_from_records(spark.createDataFrame([(-7, trial)], "conv_id long, record string")).drop("fingerprint")
+    return chat.digests(chat.format_turns(turns.union(record)))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op2_license_scan, op2_notice_scan, op3_fingerprint, op4_quality_rules, op5_line_dedup, op6_html, op7_packing, op8_chat_format, op9_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_license_scan, op3_fingerprint, op4_quality_rules, op5_line_dedup, op6_html, op7_packing, op8_chat_format, op9_language_id, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op1_near_dup"] = r"""
@@ -89,8 +89,7 @@ o AS (SELECT key, min(doc_id) AS owner, count(DISTINCT doc_id) AS n FROM k WHERE
 j AS (SELECT k.*, coalesce(o.n >= 2 AND o.owner != k.doc_id, false) AS gone FROM k LEFT JOIN o USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id
 """
-ORACLE_SQL["op2_license_scan"] = license_scan.oracle_sql()
-ORACLE_SQL["op2_notice_scan"] = license_scan.notices_sql()
+ORACLE_SQL["op2_license_scan"] = license_scan.scan_all_sql()
 ORACLE_SQL["op8_chat_format"] = r"""
 WITH t AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(i)),
 c AS (SELECT conv_id, turn, role = 'assistant' AS learned, coalesce(role, '') AS role, coalesce(text, '') AS text FROM t),
