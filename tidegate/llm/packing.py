@@ -1,11 +1,13 @@
 """Packing documents into token sequences: cutting stock by column generation.
 
 1. Documents are tokenized; those of a sequence's length or more are cut into full sequences and a
-remainder. 2. The remainders' lengths, in units of `GRID` tokens rounded up, give a histogram of at
-most capacity / GRID classes; that is all the driver sees. 3. A linear program over patterns (how many
-pieces of each class share a sequence) is solved by a revised simplex whose columns come from an
-unbounded knapsack by dynamic programming over the dual prices. Patterns are used their rounded-down
-number of times; the few pieces left are packed best-fit. 4. A piece's rank in its class (its Spark
+remainder. 2. The remainders' lengths, rounded up by one part in `FINE` at most, give a histogram of a
+few hundred classes; that is all the driver sees. Lengths up to 2 * FINE tokens are exact. 3. A linear
+program over patterns (how many pieces of each class share a sequence) is solved by a revised simplex. It
+starts from a basis of greedy patterns; its columns come from an unbounded knapsack by dynamic programming
+over the dual prices, several from each run, and it ends when its dual bound proves that no program is
+better by a sequence, or by one in a thousand. Patterns are used their rounded-down number of times; the
+few pieces left are packed largest first. 4. A piece's rank in its class (its Spark
 partition's offset, plus its place there) says which slot of which sequence it fills: no shuffle by
 class, so a length that a third of all documents have is no hot key. Offsets are running sums within a
 sequence.
@@ -25,12 +27,19 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, texts
+from .common import Scratch, batch_rows, batches, texts
 from .words import bare_words, byte_letters
 
-GRID = 8
+#: Classes of lengths are as wide as the largest power of two up to length / FINE.
+FINE = 128
+#: The share of sequences by which a plan may exceed the linear program's dual bound.
+GAP = 1e-3
+#: Columns that one run of the knapsack gives, at most; pivots after which the basis is inverted anew.
+COLUMNS, ANEW = 24, 500
+#: Rows of an Arrow batch: their texts are held as words.
+BATCH_ROWS = 2000
 #: Distinct words whose ids a Python worker remembers; it starts anew beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: The letters and numbers up to U+024F, and the pattern that cuts words made of these code points.
 _LETTER, _NUMBER = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
@@ -115,8 +124,14 @@ class WordIds:
 _WORKER: dict[int, WordIds] = {}
 
 
+def rounded(length: np.ndarray, capacity: int) -> np.ndarray:
+    """Lengths rounded up to their classes."""
+    width = 1 << np.maximum(0, np.frexp(length // FINE)[1] - 1)
+    return np.minimum(-(-length // width) * width, capacity)
+
+
 def _cut(spec: Broadcast, capacity: int, end_id: int, keep_ids: bool):
-    full = capacity // GRID
+    classes = rounded(np.arange(capacity + 1), capacity).tolist()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -126,7 +141,7 @@ def _cut(spec: Broadcast, capacity: int, end_id: int, keep_ids: bool):
         if key not in _WORKER:
             _WORKER[key] = WordIds(spec.value)
         coder = _WORKER[key]
-        ranks = np.zeros(full + 1, np.int64)
+        ranks = [0] * (capacity + 1)
         for part in parts:
             rows: list[tuple] = []
             for doc, ids in zip(part.column("doc_id").to_pylist(), coder.encode(texts(part.column("text"))), strict=True):
@@ -134,7 +149,7 @@ def _cut(spec: Broadcast, capacity: int, end_id: int, keep_ids: bool):
                 for start in range(0, ids.size, capacity):
                     own = ids[start : start + capacity].tobytes()
                     length = len(own) // 4
-                    kind = full if length == capacity else -(-length // GRID) - 1
+                    kind = classes[length]
                     rows.append((doc, start, length, zlib.crc32(own), ids.size, kind, part_id, ranks[kind], own if keep_ids else None))
                     ranks[kind] += 1
             cols = list(zip(*rows, strict=True)) or [[] for _ in PIECES]
@@ -144,51 +159,130 @@ def _cut(spec: Broadcast, capacity: int, end_id: int, keep_ids: bool):
 
 
 # --- the plan -------------------------------------------------------------------------------------
-def best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The unbounded knapsack: the worth and the counts of the best filling."""
+def best_patterns(prices: np.ndarray, sizes: np.ndarray, capacity: int, most: int = 1) -> tuple[float, list[np.ndarray]]:
+    """The unbounded knapsack by dynamic programming: the worth of the best filling, and the counts of it
+    and of the next best with another piece first. sizes ascend."""
     worth, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), "right").tolist()
     for c in range(1, capacity + 1):
-        fits = np.searchsorted(sizes, c, "right")
-        worth[c], choice[c] = worth[c - 1], -2
-        if fits:
-            own = worth[c - sizes[:fits]] + prices[:fits]
+        best, pick = worth[c - 1], -1
+        if fits[c]:
+            own = worth[c - sizes[: fits[c]]] + prices[: fits[c]]
             k = int(own.argmax())
-            if own[k] > worth[c] + 1e-12:
-                worth[c], choice[c] = own[k], k
-    counts, c = np.zeros(sizes.size, np.int64), capacity
-    while c > 0:
-        if choice[c] >= 0:
-            counts[choice[c]] += 1
-            c -= sizes[choice[c]]
-        else:
-            c -= 1
-    return float(worth[capacity]), counts
-
-
-def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (a row each) and how often the linear program uses them: least sum, each size's demand
-    met exactly. sizes ascend. Column generation ends when no pattern is worth more than a sequence, or
-    after 40 columns a size: what it has is then feasible and only less tight."""
+            if own[k] > best + 1e-12:
+                best, pick = own[k], k
+        worth[c], choice[c] = best, pick
+    first = worth[capacity - sizes] + prices
+    found = []
+    for k in np.argsort(-first, kind="stable")[:most]:
+        counts, c = np.zeros(sizes.size, np.int64), capacity - int(sizes[k])
+        counts[k] = 1
+        while c > 0:
+            if choice[c] >= 0:
+                counts[choice[c]] += 1
+                c -= int(sizes[choice[c]])
+            else:
+                c -= 1
+        if not any((counts == x).all() for x in found):
+            found.append(counts)
+    return float(worth[capacity]), found
+
+
+def greedy_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
+    """As many independent patterns (columns) as sizes, by which the demand can be met: the largest pieces
+    that are left fill a sequence first, until one size is used up. Each pattern has no size that an
+    earlier one used up, so they are triangular."""
+    rest, left, columns = demand.astype(float).copy(), list(range(sizes.size)), []
+    while left:
+        counts, room, first = np.zeros(sizes.size, np.int64), capacity, None
+        for k in reversed(left):
+            if room < sizes[left[0]]:
+                break
+            n = room // int(sizes[k])
+            if n and rest[k] > 0:
+                n = min(n, max(1, int(rest[k])))
+                counts[k] = n
+                room -= n * int(sizes[k])
+        used = np.flatnonzero(counts)
+        if not used.size:  # only sizes that were used up together with others
+            first = left[0]
+            counts[first] = capacity // int(sizes[first])
+            columns.append(counts)
+            left.remove(first)
+            continue
+        times = rest[used] / counts[used]
+        first = int(used[times.argmin()])
+        rest[used] = np.maximum(rest[used] - times.min() * counts[used], 0)
+        rest[first] = 0
+        columns.append(counts)
+        left.remove(first)
+    return np.array(columns, float).reshape(len(columns), sizes.size).T
+
+
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse, by Gauss and Jordan with row pivots. Plain array arithmetic: a linear algebra library
+    brings threads of its own, which don't get on with a process that forks and runs a JVM."""
+    m = len(matrix)
+    left, out = matrix.astype(float).copy(), np.eye(m)
+    for k in range(m):
+        p = k + int(np.abs(left[k:, k]).argmax())
+        for x in (left, out):
+            x[[k, p]] = x[[p, k]]
+            x[k] /= left[k, k] if x is out else 1
+        left[k] /= left[k, k]
+        factor = left[:, k].copy()
+        factor[k] = 0
+        rows = np.flatnonzero(factor)
+        left[rows] -= factor[rows, None] * left[k]
+        out[rows] -= factor[rows, None] * out[k]
+    return out
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(1)
+
+
+def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray, float]:
+    """Patterns (a row each), how often the linear program uses them, each size's demand met exactly, and
+    a lower bound of any program's sum. Column generation ends when the sum is within a sequence, or the
+    share gap, of that bound: of the dual bound, the demand's price over the worth of the best pattern, and
+    of the volume. It also ends where rounding errors keep the sum from falling."""
     m = sizes.size
-    patterns = np.diag(capacity // sizes).astype(float)
-    inverse = np.diag(1 / np.diag(patterns)) if m else np.zeros((0, 0))
-    used = inverse @ demand
-    for _ in range(40 * m):
-        worth, counts = best_pattern(inverse.sum(0), sizes, capacity)
+    if not m:
+        return np.zeros((0, 0), np.int64), np.zeros(0), 0.0
+    rng = np.random.default_rng(0)
+    target = demand * (1 + 1e-6 * rng.random(m)) + 1e-3 * rng.random(m)  # no ties, so no cycles
+    patterns = greedy_basis(sizes, target, capacity)
+    inverse, pivots = inverted(patterns), 0
+    used, bound = np.maximum(_times(inverse, target), 0), float((sizes * demand).sum()) / capacity
+    least, stalled = np.inf, 0
+    while used.sum() - bound > max(1.0, gap * bound) and stalled < 20:
+        stalled = 0 if used.sum() < least * (1 - 1e-9) else stalled + 1
+        least = min(least, used.sum())
+        prices = inverse.sum(0)
+        worth, found = best_patterns(prices, sizes, capacity, COLUMNS)
+        bound = max(bound, float((prices * demand).sum()) / worth)
         if worth <= 1 + 1e-9:
             break
-        enters = inverse @ counts
-        rise = np.full(m, np.inf)
-        rise[enters > 1e-9] = used[enters > 1e-9] / enters[enters > 1e-9]
-        out = int(rise.argmin())
-        step = rise[out]
-        used = np.maximum(used - step * enters, 0)
-        used[out] = step
-        row = inverse[out] / enters[out]
-        inverse = inverse - np.outer(enters, row)
-        inverse[out] = row
-        patterns[:, out] = counts
-    return patterns.T.astype(np.int64), used
+        for counts in found:
+            enters = _times(inverse, counts)
+            if enters.sum() <= 1 + 1e-9:
+                continue
+            rise = np.full(m, np.inf)
+            up = enters > 1e-9
+            rise[up] = used[up] / enters[up]
+            out = int(rise.argmin())
+            used = np.maximum(used - rise[out] * enters, 0)
+            used[out] = rise[out]
+            row = inverse[out] / enters[out]
+            inverse -= enters[:, None] * row
+            inverse[out] = row
+            patterns[:, out] = counts
+            pivots += 1
+            if pivots % ANEW == 0:
+                inverse = inverted(patterns)
+                used = np.maximum(_times(inverse, target), 0)
+    return patterns.T.astype(np.int64), np.maximum(_times(inverted(patterns), demand), 0), bound
 
 
 @dataclass
@@ -202,29 +296,30 @@ class Plan:
     sequences: int
 
     def place(self, kind: np.ndarray, rank: np.ndarray, full: int) -> tuple[np.ndarray, np.ndarray]:
+        """full: the class of pieces that fill a sequence by themselves."""
         sequence, slot = self.sequences + rank, np.zeros(rank.size, np.int64)
         for k in np.unique(kind[kind != full]):
             own = np.flatnonzero(kind == k)
             at = np.searchsorted(self.starts[k], rank[own], "right") - 1
             past, each = rank[own] - self.starts[k][at], self.each[k][at]
             sequence[own] = self.base[self.pattern[k][at]] + past // each
-            slot[own] = k * 4096 + past % each
+            slot[own] = (k << 32) + past % each
         return sequence, slot
 
 
-def plan(histogram: dict[int, int], units: int) -> Plan:
-    """histogram: pieces of each class k, which take k + 1 units. The driver's work and memory depend on
-    the number of units alone."""
-    kinds = np.array(sorted(k for k, n in histogram.items() if n), np.int64)
-    sizes, demand = kinds + 1, np.array([histogram[k] for k in kinds], np.int64)
-    patterns, used = cutting_stock(sizes, demand.astype(float), units)
+def plan(histogram: dict[int, int], capacity: int) -> Plan:
+    """histogram: pieces by class, which is the length they are taken for. The driver's work and memory
+    depend on the number of classes alone."""
+    sizes = np.array(sorted(k for k, n in histogram.items() if n), np.int64)
+    demand = np.array([histogram[k] for k in sizes.tolist()], np.int64)
+    patterns, used, _ = cutting_stock(sizes, demand, capacity)
     times = np.floor(used + 1e-6).astype(np.int64)
     while (over := patterns.T @ times - demand).max(initial=0) > 0:  # rounding errors of the program
         times[np.flatnonzero(patterns[:, int(over.argmax())] * times)[0]] -= 1
     rest = demand - patterns.T @ times
     extra: list[np.ndarray] = []
     while rest.sum():  # a few pieces a class: largest first, then whatever fills best
-        row, room = np.zeros(kinds.size, np.int64), units
+        row, room = np.zeros(sizes.size, np.int64), capacity
         while (fit := np.flatnonzero((rest > 0) & (sizes <= room))).size:
             k = fit[-1]
             n = min(rest[k], room // sizes[k])
@@ -232,10 +327,10 @@ def plan(histogram: dict[int, int], units: int) -> Plan:
             rest[k] -= n
             room -= n * sizes[k]
         extra.append(row)
-    patterns, times = np.concatenate([patterns[times > 0], np.array(extra, np.int64).reshape(len(extra), kinds.size)]), np.concatenate([times[times > 0], np.ones(len(extra), np.int64)])
+    patterns, times = np.concatenate([patterns[times > 0], np.array(extra, np.int64).reshape(len(extra), sizes.size)]), np.concatenate([times[times > 0], np.ones(len(extra), np.int64)])
     base = np.concatenate(([0], np.cumsum(times)))
     out = Plan({}, {}, {}, base, int(base[-1]))
-    for i, k in enumerate(kinds):
+    for i, k in enumerate(sizes):
         has = np.flatnonzero(patterns[:, i])
         taken = patterns[has, i] * times[has]
         out.starts[int(k)], out.pattern[int(k)], out.each[int(k)] = np.cumsum(taken) - taken, has, patterns[has, i]
@@ -263,16 +358,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    full = capacity // GRID
     with open(tokenizer, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # a vocabulary: its size is fixed
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(spec, capacity, end_id, keep_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, part int, rank long, ids binary")
-    pieces = scratch.keep(pieces)
+    with batch_rows(spark, BATCH_ROWS):
+        pieces = scratch.keep(pieces)
     counts = pieces.groupBy("class", "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("class").orderBy("part")) - F.col("n")).drop("n")
     histogram = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}
-    histogram.pop(full, None)
-    placed = pieces.join(before, ["class", "part"]).mapInArrow(_place(plan(histogram, full), full), PLACED)
+    histogram.pop(capacity, None)
+    placed = pieces.join(before, ["class", "part"]).mapInArrow(_place(plan(histogram, capacity), capacity), PLACED)
     own = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     out = placed.withColumn("offset", F.coalesce(F.sum("length").over(own), F.lit(0).cast("long")))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids)
