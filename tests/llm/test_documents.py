@@ -1,9 +1,12 @@
 """Operators on documents against brute force, on small tables with awkward rows."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -126,6 +129,11 @@ def test_line_dedup(docs, empty, spark):
 
 
 def test_perfect_hash():
+    with pytest.raises(ValueError, match="distinct"):
+        line_dedup.PerfectHash.build(np.array([5, 5], np.uint64))
+    h, g = np.array([7, 7, 9], np.int64), np.array([1, 2, 1], np.int64)  # two lines with one half in common
+    assert np.unique(line_dedup.joint(h, g, 0)).size == 3
+    assert (line_dedup.joint(h, g, 0) != line_dedup.joint(h, g, 1)).all()
     keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 20_000, dtype=np.uint64))
     made = line_dedup.PerfectHash.build(keys)
     assert sorted(made.index(keys).tolist()) == list(range(keys.size))
@@ -160,30 +168,58 @@ def test_packing(docs, empty):
 
 def test_cutting_stock_is_near_its_bound():
     rng = random.Random(2)
-    histogram = {k: rng.randint(0, 300) for k in range(0, 100, 3)}
-    made = packing.plan(histogram, 256)
-    need = sum((k + 1) * n for k, n in histogram.items())
-    assert need / 256 <= made.sequences <= need / 256 * 1.01 + 3
-    room = np.zeros(made.sequences, int)
+    histogram = {k: rng.randint(0, 300) for k in range(1, 800, 23)}
+    made = packing.plan(histogram, 2048)
+    need = sum(k * n for k, n in histogram.items())
+    assert need / 2048 <= made.sequences <= need / 2048 * 1.01 + 3
+    room, slots = np.zeros(made.sequences, int), []
     for k, n in histogram.items():
         if n:
-            at, _ = made.place(np.full(n, k), np.arange(n), 256)
-            np.add.at(room, at, k + 1)
-    assert room.max() <= 256
+            at, slot = made.place(np.full(n, k), np.arange(n), 2048)
+            np.add.at(room, at, k)
+            slots += zip(at.tolist(), slot.tolist(), strict=True)
+    assert room.max() <= 2048 and len(set(slots)) == len(slots)
 
 
 def test_cutting_stock_is_optimal():
-    """Large pieces, where volume is no bound: the program's dual is feasible for every pattern, so no
-    packing uses fewer sequences than its value; the plan uses hardly more."""
+    """Large pieces, where volume is no bound: without a gap, the program's dual is feasible for every
+    pattern, so no packing uses fewer sequences than its value; the plan uses hardly more."""
     rng = random.Random(3)
-    sizes = np.array(sorted(rng.sample(range(1, 65), 12)))
-    demand = np.array([rng.randint(1, 500) for _ in sizes])
-    patterns, used = packing.cutting_stock(sizes, demand.astype(float), 64)
-    assert np.allclose(patterns.T @ used, demand) and (patterns @ sizes <= 64).all()
+    sizes = np.array(sorted(rng.sample(range(200, 1000), 60)))
+    demand = np.array([rng.randint(10_000, 500_000) for _ in sizes])
+    patterns, used, bound = packing.cutting_stock(sizes, demand, 2048, 0.0)
+    assert np.allclose(patterns.T @ used, demand) and (patterns @ sizes <= 2048).all() and used.sum() - bound <= 1
     prices = np.linalg.solve(patterns.astype(float), np.ones(sizes.size))
-    assert packing.best_pattern(prices, sizes, 64)[0] <= 1 + 1e-6 and abs(prices @ demand - used.sum()) < 1e-6
-    made = packing.plan({int(k) - 1: int(n) for k, n in zip(sizes, demand, strict=True)}, 64)
-    assert used.sum() - 1e-6 <= made.sequences <= used.sum() + sizes.size
+    assert used.sum() / packing.best_patterns(prices, sizes, 2048)[0] >= used.sum() - 1.01
+    made = packing.plan(dict(zip(sizes.tolist(), demand.tolist(), strict=True)), 2048)
+    assert used.sum() - 1 <= made.sequences <= used.sum() * (1 + packing.GAP) + sizes.size
+
+
+def test_knapsack_is_best():
+    """Against every filling of a small capacity."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        sizes = np.sort(rng.choice(np.arange(1, 15), 4, replace=False))
+        prices = rng.random(4)
+        fillings = [c for c in np.ndindex(*(30 // sizes + 1)) if c @ sizes <= 30]
+        worth, found = packing.best_patterns(prices, sizes, 30, 3)
+        assert abs(worth - max(c @ prices for c in map(np.array, fillings))) < 1e-9
+        assert abs(found[0] @ prices - worth) < 1e-9 and all(f @ sizes <= 30 for f in found)
+
+
+@pytest.mark.parametrize("spread", ["one token", "short", "long only", "all"])
+def test_plans_are_quick_and_waste_little(spread):
+    """Whatever the lengths: a few seconds of the driver, and hardly more sequences than the bound."""
+    rng = np.random.default_rng(5)
+    lengths = {"one token": np.ones(10**6, int), "short": rng.integers(1, 30, 10**6), "long only": rng.integers(500, 2000, 10**6), "all": rng.integers(1, 2048, 10**6)}[spread]
+    classes, counts = np.unique(packing.rounded(lengths, 2048), return_counts=True)
+    assert (packing.rounded(lengths, 2048) >= lengths).all() and (packing.rounded(lengths, 2048) <= lengths * (1 + 1 / packing.FINE)).all()
+    own = classes < 2048
+    began = time.process_time()
+    made = packing.plan(dict(zip(classes[own].tolist(), counts[own].tolist(), strict=True)), 2048)
+    assert time.process_time() - began < 5
+    _, used, bound = packing.cutting_stock(classes[own], counts[own], 2048)
+    assert made.sequences <= max(bound + 2, bound * 1.002) + own.sum() / 10, (made.sequences, bound)
 
 
 def test_bpe(docs, empty):
@@ -228,10 +264,26 @@ def test_fingerprint_is_homomorphic():
     assert of("\n".join(lines[:-1])) + of(lines[-1]) == whole and whole - of(lines[0]) == of("\n".join(lines[1:]))
     assert of("a\na\nb") != of("a\nb\nb") and whole.likeness(whole) == 1.0
     assert 0.5 < whole.likeness(whole - of(lines[3])) < 1
+    for a, b in ((32_772, 32_780), (65_541, 70_000), (100_000, 50_000)):
+        n, m = fingerprint.Fingerprint.of("ab " * a), fingerprint.Fingerprint.of("ab " * b)
+        assert abs(n.likeness(m) - (1 - (a - b) ** 2 / (a * a + b * b))) < 1e-3
     long = "\n".join("x" * k for k in range(1, 2000))  # over several blocks
     assert of(long + "\n" + long[::-1]) == of(long[::-1] + "\n" + long)
 
 
+def test_likeness_follows_shared_windows():
+    """Against exact counts of windows: 1 - |a - b|^2 / (|a|^2 + |b|^2) of the texts' windows themselves."""
+    rng = random.Random(9)
+    line = lambda: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(12))
+    windows = lambda t: Counter(p[k : k + 16] for p in t.split("\n") for k in range(max(1, len(p) - 15)))
+    for shared in (0, 10, 20, 30, 40):
+        common = [line() for _ in range(shared)]
+        x, y = "\n".join(common + [line() for _ in range(40 - shared)]), "\n".join([line() for _ in range(40 - shared)] + common)
+        a, b = windows(x), windows(y)
+        want = 1 - sum((a[w] - b[w]) ** 2 for w in a.keys() | b.keys()) / sum(n * n for c in (a, b) for n in c.values())
+        assert abs(fingerprint.Fingerprint.of(x).likeness(fingerprint.Fingerprint.of(y)) - want) < 0.15
+
+
 def test_quality(docs, empty, spark):
     out = quality.quality_rules(docs).collect()
     want = []
@@ -248,6 +300,49 @@ def test_quality(docs, empty, spark):
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_quality_verdicts_are_those_of_numpy(spark):
+    """The estimate by numpy, step by step from the definition: quantiles are exact there and nearly so in
+    Spark, so distances agree closely and verdicts but for the few next to the cutoff."""
+    rng, q = random.Random(12), quality.Quality()
+    word = lambda: "".join(rng.choices("etaoinshr", k=rng.randint(2, 9)))
+    mark = lambda: rng.choice(["", "", "", "#", "%"])
+    rows = []
+    for i in range(500):
+        text = " ".join(word() + (mark() if i % 5 else "##") for _ in range(rng.randint(25, 250)))
+        rows.append((i, text if i % 7 else text + "\n" + text.split(" ")[0] + "\n" + text.split(" ")[0], "en" if i % 2 else "de", "s"))
+    out = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+
+    def features(text):
+        words, lines = re.findall(SPACE, text), [x for x in text.split("\n") if re.search(SPACE, x)]
+        n, c, symbols, twice = len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines))
+        seen = Counter(tuple(words[k : k + 8]) for k in range(n - 7))
+        covered = {k + j for k in range(n - 7) if seen[tuple(words[k : k + 8])] > 1 for j in range(8)}
+        return [np.log((c + 250) / (n + 50)), np.log1p(100 * symbols / (c + 300)), np.sqrt(twice / (len(lines) + 10)), np.sqrt(len(covered) / (n + 100))]
+
+    cutoff, inner, ridge = quality.chi2_quantile(q.tail, 4), quality.chi2_quantile(0.5, 4), np.square(q.spread)
+    scale = 0.5 / quality.chi2_cdf(inner, 6)
+    for lang in ("en", "de"):
+        ids = [i for i, _, x, _ in rows if x == lang]
+        x = np.array([features(rows[i][1]) for i in ids])
+        middle = np.median(x, 0)
+        inverse = np.diag(1 / (np.square(1.4826 * np.median(np.abs(x - middle), 0)) + ridge))
+        before = np.inf
+        for _ in range(q.steps):
+            d = np.einsum("ij,jk,ik->i", x - middle, inverse, x - middle)
+            half = x[d <= np.quantile(d, 0.5, method="inverted_cdf")]
+            cov = np.cov(half.T, bias=True) * scale + np.diag(ridge)
+            middle, inverse, now = half.mean(0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+            if abs(before - now) < 1e-3:
+                break
+            before = now
+        d = np.einsum("ij,jk,ik->i", x - middle, inverse, x - middle)
+        got = np.array([out[i].distance for i in ids])
+        assert np.allclose(got, d, rtol=0.02, atol=0.02)
+        sure = np.abs(d / cutoff - 1) > 0.03
+        assert [out[i].kept for i, s in zip(ids, sure, strict=True) if s] == [bool(v) for v in (d <= cutoff)[sure]]
+    assert 0 < sum(not r.kept for r in out.values()) < 250
+
+
 def test_quality_rejects_outliers_alone(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("etaoinshr", k=rng.randint(2, 9)))
@@ -274,6 +369,53 @@ def test_chi_squared():
     assert abs(quality.chi2_quantile(0.05, 4) - 9.4877) < 1e-3 and abs(quality.chi2_cdf(5.3481, 6) - 0.5) < 1e-3
 
 
+def naive_bayes(learned, many, grams):
+    """By the definition, in plain Python: counts of hashed n-grams, smoothed log-probabilities, sums."""
+
+    def buckets(text):
+        points = list(map(ord, text.lower()))
+        for n in grams.sizes:
+            for at in range(len(points) - n + 1):
+                h = n * 0x27D4EB2F % 2**32
+                for i in range(n):
+                    h = (h ^ points[at + i]) * (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)[i % 3] % 2**32
+                    h ^= h >> 15
+                yield h % grams.buckets
+
+    counts, docs_of = {}, Counter(lang for _, lang in learned)
+    for text, lang in learned:
+        counts.setdefault(lang, Counter()).update(buckets(text))
+    total = {x: sum(c.values()) + grams.smoothing * grams.buckets for x, c in counts.items()}
+    for text in many:
+        own = list(buckets(text))
+        sums = {x: sum(math.log((counts[x][b] + grams.smoothing) / total[x]) for b in own) for x in counts}
+        best = max(sorted(counts), key=lambda x: sums[x] + math.log(docs_of[x] / len(learned)))
+        top = max(sums.values()) / len(own) ** 0.5
+        shares = {x: math.exp(s / len(own) ** 0.5 - top) for x, s in sums.items()}
+        yield best, shares[best] / sum(shares.values())
+
+
+@pytest.mark.parametrize(("languages", "chars"), [(64, 1 << 19), (2, 50)])
+def test_language_is_naive_bayes(spark, languages, chars):
+    """Also with the matrix in blocks and texts in parts."""
+    rng, grams = random.Random(16), langid.Grams(buckets=512, languages=languages, chars=chars)
+    letters = {"en": "etaoinshrdlu", "de": "enisratüößäh", "fi": "aitneslokuä", "xx": "qwxzkjvbp", "yy": "etaoqwxz"}
+    text = lambda x: " ".join("".join(rng.choices(letters[x], k=5)) for _ in range(rng.randint(1, 30)))
+    rows = [(i, text(lang), lang) for i in range(150) for lang in [rng.choice(list(letters))]]
+    out = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), grams).collect()}
+    learned = [(t, x) for i, t, x in rows if not out[i].held_out]
+    for (i, _, _), (best, score) in zip(rows, naive_bayes(learned, [t for _, t, _ in rows], grams), strict=True):
+        assert out[i].lang_pred == best and abs(out[i].score - score) < 1e-6
+
+
+def test_every_language_is_learned(spark):
+    """One row each of many more languages than a block holds."""
+    rows = [(i, chr(0x4E00 + 3 * i) * 30, f"l{i:04}") for i in range(700)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.doc_id: r.lang_pred for r in out} == {i: x for i, _, x in rows}
+
+
 def test_language(docs, empty, spark):
     rng = random.Random(6)
     letters = {"en": "etaoinshrdlu", "de": "enisrateüößäh", "und2": "qwxzkjvbp"}

@@ -2,6 +2,9 @@
 
 import hashlib
 import json
+import random
+import re
+import time
 
 import duckdb
 import pytest
@@ -41,6 +44,13 @@ def test_short_notices(spark):
 @pytest.mark.parametrize(
     ("page", "text"),
     [
+        ("<ul><li><p>a<p>b<li>c</ul>", "- a\n\n  b\n- c"),
+        ("<table><tr><td colspan=2>wide cell<td>z<tr><td>a<td>bb<td>c</table>", "wide cell  z\na      bb  c"),
+        ("<table><tr><td rowspan=2>r<td>1<tr><td>2<tr><td colspan=99999>x</table>", "r  1\n   2\nx"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>", "yes"),
+        ("<p style='visibility:visible;display:none'>no<b style='display:block'>no</b></p>yes", "yes"),
+        ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+        ("<p>a<button>b<div>c</div></button>d</p>e", "abcde".replace("c", "\nc\n").replace("e", "\n\ne")),
         ("<html><head><title> A  b </title><style>x</style></head><body><p>One<p>two <b>bold</b>&amp;<br>next", "One\n\ntwo bold&\nnext"),
         ("<ul><li>a<li>b<ol start=3><li>c<li>d</ol><li>e</ul>", "- a\n- b\n  3. c\n  4. d\n- e"),
         ("<table><tr><th>Name<th>N<tr><td>Ada<td>1<tr><td>Bo<td>22</table>after", "Name  N\nAda   1\nBo    22\n\nafter"),
@@ -57,6 +67,48 @@ def test_html(page, text):
     assert html.extract(page)[1] == text
 
 
+@pytest.mark.parametrize("page", ["<div>" * 20_000, "<p><button>" + "<div>" * 20_000, "<p>" * 20_000, "<table><tr><td>" * 3000, "<ul><li>" * 3000, "<b><p>" * 10_000, "<table>" + "<tr><td colspan=1000 rowspan=65534>" * 200])
+def test_html_of_any_depth_is_quick(page):
+    began = time.time()
+    html.extract(page + "x")
+    assert time.time() - began < 1
+
+
+def plainly(tree) -> str:
+    """A second renderer, of paragraphs, divisions, line breaks and inline tags alone: marks for breaks are
+    put between the words, and each run of marks is the break that the largest of them asks for."""
+    if isinstance(tree, str):
+        return tree
+    tag, children = tree
+    inner = "".join(map(plainly, children))
+    return {"p": f"\x02{inner}\x02", "div": f"\x01{inner}\x01"}.get(tag, inner)
+
+
+def test_html_equals_a_plain_renderer():
+    rng = random.Random(10)
+
+    def grow(depth: int, inside_p: bool = False):
+        out = []
+        for _ in range(rng.randint(0, 3)):
+            tag = rng.choice(["b", "i", "text", "text", *([] if inside_p else ["p", "div", "div"])])
+            if tag == "text" or not depth:
+                out.append(rng.choice(["one", " two ", "a  b", " ", "&", "<", "é\n x"]))
+            else:
+                out.append((tag, grow(depth - 1, inside_p or tag in {"p", "b", "i"})))
+        return out
+
+    def source(tree) -> str:
+        if isinstance(tree, str):
+            return tree.replace("&", "&amp;").replace("<", "&lt;")
+        return f"<{tree[0]}>{''.join(map(source, tree[1]))}</{tree[0]}>"
+
+    for _ in range(300):
+        tree = ("div", grow(4))
+        marked = re.sub(r"[ \n]*([\x01\x02][\x01\x02 \n]*)", lambda m: "\x02" if "\x02" in m[1] else "\x01", re.sub(r"[ \n]+", " ", plainly(tree)))
+        want = marked.strip("\x01\x02 ").replace("\x02", "\n\n").replace("\x01", "\n")
+        assert html.extract(source(tree))[1] == want, source(tree)
+
+
 def test_html_pages(spark):
     deep = "<div>" * 20_000 + "x"
     rows = [(1, "u", "<title>T</title><p>a"), (2, None, None), (None, "u", ""), (4, "u", deep), (4, "u", deep)]
@@ -73,6 +125,15 @@ def test_html_pages(spark):
         ({"instruction": "i", "input": "", "output": "o"}, [("user", "i"), ("assistant", "o")]),
         ({"output": None, "instruction": "i"}, [("user", "i"), ("assistant", "")]),
         ({"prompt": "p", "response": "r", "system": ""}, [("user", "p"), ("assistant", "r")]),
+        ({"id": 7, "source": {"a": 1}, "conversations": [{"from": "gpt", "value": "a", "weight": 1}]}, [("assistant", "a")]),
+        ({"system": "s", "messages": [{"role": "user", "content": "u", "name": "kees"}]}, [("system", "s"), ("user", "u")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "u"}, {"type": "text", "text": "v"}]}, {"role": "bot", "content": "a"}]}, [("user", "u\nv"), ("assistant", "a")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "u"}]}]}, [("user", "u")]),
+        ({"messages[]": {"role": "a", "content": "b"}}, None),
+        ({"messages[].role": "a", "messages[].content": "b"}, None),
+        ({"messages": {"role": "a", "content": "b"}}, None),
+        ({"messages": [{"role": "a", "content": "b"}, "c"]}, None),
+        ({"prompt": "p", "messages": [{"role": "a", "content": "b"}]}, None),
     ],
 )
 def test_layouts(record, turns):
@@ -80,10 +141,19 @@ def test_layouts(record, turns):
 
 
 def test_records(spark):
-    rows = [(1, json.dumps({"prompt": "p", "completion": "c"})), (2, "{bad"), (3, None), (4, json.dumps({"x": 1}))]
+    rows = [(1, json.dumps({"prompt": "p", "completion": "c"})), (2, "{bad"), (3, None), (4, json.dumps({"x": 1})), (5, "[" * 100_000), (6, '{"messages":' + "[" * 900 + "]" * 900 + "}"), (7, '{"messages[]": {"role": "a", "content": "b"}}')]
     out = chat.turns_from_records(spark.createDataFrame(rows, "conv_id long, record string")).collect()
     assert sorted((r.conv_id, r.turn, r.role, r.text) for r in out if r.turn is not None) == [(1, 0, "user", "p"), (1, 1, "assistant", "c")]
-    assert {r.conv_id for r in out if r.turn is None} == {2, 3, 4}
+    assert {r.conv_id for r in out if r.turn is None} == {2, 3, 4, 5, 6, 7}
+
+
+def test_tables_are_known_by_their_fingerprints(spark):
+    flat = spark.createDataFrame([(1, 0, "user", "a", "x")], "conversation_id long, position int, speaker string, content string, role2 string")
+    assert [tuple(r) for r in chat.turns_from_table(flat).collect()] == [(1, 0, "user", "a")]
+    nested = spark.createDataFrame([(1, [("human", "a"), ("gpt", None)], 3), (2, [], 4)], "conv_id long, conversations array<struct<from:string,value:string>>, score int")
+    assert sorted((tuple(r) for r in chat.turns_from_table(nested).collect()), key=str) == [(1, 0, "user", "a"), (1, 1, "assistant", ""), (2, None, None, None)]
+    with pytest.raises(ValueError, match="no layout"):
+        chat.turns_from_table(nested.drop("conv_id"))
 
 
 TRICKY = [r"\### Assistant: </turn> ok", "", "####", "\\", "</turn></turn>\n### user: x</turn>\n", "a\\\n#\\#", "<\\/turn>", " é日"]
