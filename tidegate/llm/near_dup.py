@@ -4,12 +4,17 @@ star-shaped candidate edges, links confirmed on full shingle sets.
 How nothing is lost although buckets emit stars and not all pairs: texts with equal shingle sets are
 one node. Links are looked for in three rounds, with the components of what is confirmed after each.
 1. each node with the smallest hub among its buckets (one pair a node); 2. all stars of the buckets
-that still hold two components; 3. in those that do so even then, the pairs that cross components and
-that three bounds leave open. Two hold for every linked pair, so they lose none: the sets' sizes, and
-parity sketches (each shingle flips one of 4096 bits), which differ in at most as many bits as the sets
-have shingles apart. For sets of `MINIMA` shingles or more, where parities fill up, the lowest bits of
-4096 minima differ no more than linked pairs' do, with five standard deviations to spare. A pair within one component can't change the result, so it is never made; after
-round 3 every pair that shares a bucket is confirmed, refuted or redundant.
+that still hold two components; 3. in those that do so even then, pairs that cross components, by blocks
+of `BLOCK` x `BLOCK` members (a task's work is a few blocks, however large a bucket is), of which only
+those come out that three bounds leave open. Two hold for every linked pair, so they lose none: the sets'
+sizes, and parity sketches (each shingle flips one of 4096 bits), which differ in at most as many bits as
+the sets have shingles apart. For sets of `MINIMA` shingles or more, where parities fill up, the lowest
+bits of 4096 minima differ no more than linked pairs' do, with five standard deviations to spare. A pair
+within one component can't change the result, so it is never made; after round 3 every pair that shares a
+bucket is confirmed, refuted or redundant. A round that has nothing left to look at is not begun.
+
+No task gets a key's rows whole: a class of equal texts that is large is broadcast as one row instead of
+joined, a hub's spokes are dealt to groups of some `GROUP`, and each group has the hub's set once.
 
 With 512 bins in 64 bands of 8, a pair of similarity 0.8 shares no bucket with probability
 (1 - 0.8^8)^64 = 8e-6, one of 0.9 with 1e-15; unrelated documents that share a passage (similarity
@@ -24,18 +29,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_rows, batches, broadcast_if_few, mix, texts
+from .common import BROADCAST_IDS, Scratch, batch_rows, batches, broadcast_if_few, mix, texts
 from .components import components
 
 #: Words whose hash a Python worker remembers; it starts anew beyond that.
 REMEMBERED = 200_000
 #: Attempts at densification whose donors a Python worker keeps: 16, then 64, then 256.
 KEPT_ATTEMPTS = 336
-#: Rows of an Arrow batch: a pair's two sets may take hundreds of kilobytes.
-BATCH_ROWS = 1000
+#: Rows of an Arrow batch: a set may take hundreds of kilobytes.
+BATCH_ROWS = 500
+#: Rows of a class of equal texts that is never joined by shuffling, and how many such classes there are, at most.
+LARGE_CLASS, LARGE_CLASSES = 10_000, 200_000
+#: Spokes that are compared with their hub in one go, on average; members of a block of round 3.
+GROUP, BLOCK = 2000, 1024
 #: Bits of each sketch that pairs of round 3 are compared by.
 SKETCH = 4096
 #: Shingles of the smaller set from which minima are compared too; bits of fewer depend on each other.
@@ -44,6 +53,8 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("members", pa.binary())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("union", pa.int64())])
+SKETCHES = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("odd", pa.binary()), ("low", pa.binary())])
+OPEN = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 @dataclass(frozen=True)
@@ -174,10 +185,20 @@ def overlap(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
 
 
 def _measured(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by hub and group, each group's hub (b null) first. A doc_id may have several sets."""
+    now, hubs = None, []
     for part in parts:
-        x, y = part.column("x"), part.column("y")
-        found = [overlap(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) for i in range(part.num_rows)]
-        yield batches({"a": part.column("a"), "b": part.column("b"), "both": [m for m, _ in found], "union": [n for _, n in found]}, PAIRS)
+        rows = []
+        for i, (hub, salt, spoke) in enumerate(zip(*(part.column(k).to_pylist() for k in ("a", "salt", "b")), strict=True)):
+            own = np.frombuffer(part.column("members")[i].as_buffer(), np.uint64)
+            if (hub, salt) != now:
+                now, hubs = (hub, salt), []
+            if spoke is None:
+                hubs.append(own.copy())
+            else:
+                rows += [(hub, spoke, *overlap(x, own)) for x in hubs]
+        cols = list(zip(*rows, strict=True)) or [[] for _ in PAIRS]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=PAIRS)
 
 
 def parities(members: np.ndarray) -> np.ndarray:
@@ -192,12 +213,72 @@ def _minima(members: np.ndarray) -> np.ndarray:
 
 
 def _sketches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = SKETCH // 64
     for part in parts:
         sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in part.column("members")]
-        odd = np.array([parities(m) for m in sets], np.int64).reshape(-1, words)
-        low = np.array([_minima(m) if m.size >= MINIMA else np.zeros(words, np.int64) for m in sets], np.int64).reshape(-1, words)
-        yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("n"), *[pa.array(odd[:, i]) for i in range(words)], *[pa.array(low[:, i]) for i in range(words)]], names=["rep", "n", *[f"o{i}" for i in range(words)], *[f"s{i}" for i in range(words)]])
+        yield batches({"rep": part.column("rep"), "n": part.column("n"), "odd": [parities(m).tobytes() for m in sets], "low": [_minima(m).tobytes() if m.size >= MINIMA else None for m in sets]}, SKETCHES)
+
+
+@dataclass
+class _Side:
+    """Members of one block of a bucket, as columns."""
+
+    rep: np.ndarray
+    component: np.ndarray
+    n: np.ndarray
+    odd: np.ndarray
+    low: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple]) -> _Side:
+        rep, component, n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
+        words = lambda k: np.frombuffer(b"".join(r[k] or bytes(SKETCH // 8) for r in rows), np.uint64).reshape(len(rows), -1)
+        return cls(rep, component, n, words(3), words(4))
+
+
+def open_pairs(x: _Side, y: _Side, same: bool, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of two blocks' members (or of one block's) that cross components and that the bounds leave
+    open, the smaller doc_id first."""
+    agree = (1 + percent / 100) / 2
+    most = int(SKETCH * (1 - agree + 5 * (agree * (1 - agree) / SKETCH) ** 0.5))
+    for i in range(x.rep.size):
+        small, large = np.minimum(x.n[i], y.n), np.maximum(x.n[i], y.n)
+        may = (x.component[i] != y.component) & (100 * small >= percent * large) & (x.rep[i] < y.rep if same else True)
+        at = np.flatnonzero(may)
+        differ = np.bitwise_count(x.odd[i] ^ y.odd[at]).sum(1, dtype=np.int64)
+        at = at[(100 + percent) * differ <= (100 - percent) * (small[at] + large[at])]
+        full = at[small[at] >= MINIMA]
+        if full.size:
+            far = full[np.bitwise_count(x.low[i] ^ y.low[full]).sum(1, dtype=np.int64) > most]
+            at = at[~np.isin(at, far)]
+        for j in at.tolist():
+            yield min(x.rep[i], y.rep[j]), max(x.rep[i], y.rep[j])
+
+
+def _opened(percent: int):
+    """Rows sorted by band, i, j and own block."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, second = None, [], []
+
+        def found() -> pa.RecordBatch:
+            pairs = []
+            if first:
+                x = _Side.of(first)
+                pairs = list(open_pairs(x, _Side.of(second), False, percent) if second else open_pairs(x, x, True, percent) if now[1] == now[2] else ())
+            return batches({"a": [int(a) for a, _ in pairs], "b": [int(b) for _, b in pairs]}, OPEN)
+
+        for part in parts:
+            cols = (part.column(k).to_pylist() for k in ("band", "i", "j", "own", "rep", "component", "n", "odd", "low"))
+            for band, i, j, own, *row in zip(*cols, strict=True):
+                if (band, i, j) != now:
+                    if now is not None:
+                        yield found()
+                    now, first, second = (band, i, j), [], []
+                (first if own == i else second).append(row)
+        if now is not None:
+            yield found()
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
@@ -218,24 +299,33 @@ def _near_duplicates(docs: DataFrame, near: Near) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = scratch.keep(docs.mapInArrow(_features(near), "doc_id long, n_shingles long, hi long, lo long, bands array<long>"))
 
-    classes = features.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    members = scratch.keep(features.join(classes, ["hi", "lo"], "left").select("doc_id", "n_shingles", "hi", "lo", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
+    found, large = _with_rep(features, scratch)
+    members = scratch.keep(found)
     scratch.drop(features)
     #: A doc_id with several texts joins their classes; (doc_id, rep) differ from (rep, rep) only there.
     nodes = members.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     several = members.join(nodes.where("a != b").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
 
     rows = members.where("bands is not null").select("rep", F.explode("bands").alias("band"))
-    hubs = rows.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("band", "hub")
-    buckets = scratch.keep(rows.join(hubs, "band").distinct())
+    hubs = scratch.keep(rows.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("band", "hub"))
+    buckets = scratch.keep(rows.join(broadcast_if_few(hubs), "band").distinct())
+    scratch.drop(hubs)
     wanted = broadcast_if_few(scratch.keep(buckets.select(F.col("rep").alias("doc_id")).distinct()))
+    kept: list[DataFrame] = []
     sets = scratch.keep(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(near), "rep long, n long, members binary"))
 
     def measured(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with the sizes of their sets' intersection and union; a doc_id may have several sets."""
-        x = sets.select(F.col("rep").alias("a"), F.col("members").alias("x"))
-        y = sets.select(F.col("rep").alias("b"), F.col("members").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_measured, "a long, b long, both long, union long")
+        """Pairs of a hub a and b with the sizes of their sets' intersection and union. Each b's set goes to
+        its hub, in groups, and a group gets its hub's set once."""
+        pairs = scratch.keep(pairs)
+        kept.append(pairs)
+        large = scratch.keep(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("a", F.ceil(F.col("n") / GROUP).alias("salts")))
+        kept.append(large)
+        dealt = pairs.join(broadcast_if_few(large), "a", "left").select("a", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0).cast("long")).alias("salt"), "b")
+        spokes = dealt.join(sets.select(F.col("rep").alias("b"), "members"), "b").select("a", "salt", "b", "members")
+        hubs = dealt.select("a", "salt").distinct().join(sets.select(F.col("rep").alias("a"), "members"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "members")
+        met = spokes.union(hubs).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+        return met.mapInArrow(_measured, "a long, b long, both long, union long")
 
     def linked(found: DataFrame) -> DataFrame:
         return found.where(100 * F.col("both") >= near.percent * F.col("union")).select("a", "b")
@@ -246,38 +336,83 @@ def _near_duplicates(docs: DataFrame, near: Near) -> DataFrame:
     def mixed(labels: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components, with theirs."""
         own = buckets.join(labelled(labels), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        several = own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-        return scratch.keep(own.join(several, "band", "left_semi"))
+        several = scratch.keep(own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band"))
+        kept.append(several)
+        return scratch.keep(own.join(broadcast_if_few(several), "band", "left_semi"))
 
     first = buckets.where("rep != hub").groupBy("rep").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     links = scratch.keep(several.union(linked(measured(first))))
     labels = components(links, scratch)
 
-    stars = mixed(labels).where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links2 = scratch.keep(links.union(linked(measured(stars))).distinct())
-    labels = components(links2, scratch)
-
-    open_ = mixed(labels).select("band", "rep", "component")
-    names = [f"{k}{i}" for k in "os" for i in range(SKETCH // 64)]
-    sketches = sets.join(open_.select("rep").distinct(), "rep", "left_semi").mapInArrow(_sketches, "rep long, n long, " + ", ".join(f"{n} long" for n in names))
-    placed = scratch.keep(open_.join(sketches, "rep"))
-    left = placed.select("band", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *[F.col(n).alias(f"a{n}") for n in names])
-    right = placed.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), *[F.col(n).alias(f"b{n}") for n in names])
-
-    def differ(kind: str) -> Column:
-        return sum((F.bit_count(F.col(f"a{kind}{i}").bitwiseXOR(F.col(f"b{kind}{i}"))) for i in range(1, SKETCH // 64)), F.bit_count(F.col(f"a{kind}0").bitwiseXOR(F.col(f"b{kind}0"))))
-
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    possible = (100 * small >= near.percent * large) & ((100 + near.percent) * differ("o") <= (100 - near.percent) * (small + large))
-    agree = (1 + near.percent / 100) / 2
-    most = int(SKETCH * (1 - agree + 5 * (agree * (1 - agree) / SKETCH) ** 0.5))
-    near_enough = possible & ((small < MINIMA) | (differ("s") <= most))
-    rest = left.join(right, (left["band"] == right["band"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near_enough).select("a", "b").distinct()
-    links3 = scratch.keep(links2.union(linked(measured(rest))).distinct())
-    labels = components(links3, scratch)
-    for done in (buckets, sets, links, links2, links3, placed):
+    for pick in (_stars, lambda left: _open_pairs(left, sets, near, scratch)):
+        left = mixed(labels)
+        kept.append(left)
+        if left.isEmpty():
+            break
+        more = scratch.keep(links.union(linked(measured(pick(left)))).distinct())
+        kept.append(links)
+        links, labels = more, components(more, scratch)
+    for done in (buckets, sets, links, *kept):
         scratch.drop(done)
 
-    out = members.select("doc_id", "n_shingles", "rep").join(labelled(labels), "rep", "left")
+    out = _with_labels(members.select("doc_id", "n_shingles", "rep"), scratch.keep(labelled(labels)), large)
     out = out.withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _with_labels(rows: DataFrame, labels: DataFrame, large: DataFrame | None) -> DataFrame:
+    """Rows with their rep's component, null if it has none. Few labels are broadcast; of many, those of
+    the large classes are, and the other rows are joined by shuffling."""
+    if labels.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(labels), "rep", "left")
+    rest, out = rows.where("rep is not null"), rows.where("rep is null").withColumn("component", F.lit(None).cast("long"))
+    if large is not None:  # at most LARGE_CLASSES rows
+        hot = large.select("rep").join(labels, "rep", "left")
+        out = out.unionByName(rest.join(F.broadcast(hot), "rep"))
+        rest = rest.join(F.broadcast(large.select("rep")), "rep", "left_anti")
+    return out.unionByName(rest.join(labels, "rep", "left"))
+
+
+def _with_rep(features: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """Each row with rep, the smallest doc_id of its class of equal shingle sets; null where there are no
+    shingles or no doc_id. bands are left to the reps alone. Also the large classes, if there are any.
+
+    Only classes of several rows are looked up. Large ones, whose number is bounded, are broadcast, so
+    that their rows stay where they are; the others are broadcast if few, else joined by shuffling.
+    """
+    counted = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    own, none = features.where(counted), features.where(~F.coalesce(counted, F.lit(False)))
+    classes = scratch.keep(own.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"))
+    rows = classes.agg(F.sum("n")).first()[0] or 0
+    large_from = max(LARGE_CLASS, -(-rows // LARGE_CLASSES))
+    large, small = classes.where(F.col("n") >= large_from).drop("n"), scratch.keep(classes.where(F.col("n") < large_from).drop("n"))
+    large = None if large.isEmpty() else large
+    rest = own
+    met = []
+    if large is not None:  # at most LARGE_CLASSES rows
+        met.append(own.join(F.broadcast(large), ["hi", "lo"]))
+        rest = own.join(F.broadcast(large.drop("rep")), ["hi", "lo"], "left_anti")
+    met.append(rest.join(broadcast_if_few(small), ["hi", "lo"], "left"))
+    met.append(none.withColumn("rep", F.lit(None).cast("long")))
+    out = met[0]
+    for other in met[1:]:
+        out = out.unionByName(other)
+    rep = F.when(counted, F.coalesce("rep", "doc_id"))
+    return out.select("doc_id", "n_shingles", rep.alias("rep"), F.when(F.col("doc_id") == rep, F.col("bands")).alias("bands")), large
+
+
+def _stars(left: DataFrame) -> DataFrame:
+    """Each member of the buckets with its bucket's hub."""
+    return left.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def _open_pairs(left: DataFrame, sets: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
+    """The pairs in buckets that cross components and that the bounds leave open: each bucket's members
+    are dealt to blocks, and each two blocks, or one by itself, meet in a task."""
+    sketches = scratch.keep(sets.join(left.select("rep").distinct(), "rep", "left_semi").mapInArrow(_sketches, "rep long, n long, odd binary, low binary"))
+    blocks = left.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = left.select("band", "rep", "component").join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    dealt = dealt.select("band", "rep", "component", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
+    met = dealt.join(sketches, "rep").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "own")
+    return met.mapInArrow(_opened(near.percent), "a long, b long").distinct()
