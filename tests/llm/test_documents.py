@@ -63,8 +63,12 @@ def shingle_set(text, k):
     return frozenset([tuple(w)] if 0 < len(w) < k else [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if w else [])
 
 
-@pytest.mark.parametrize("k", [4, 5])
-def test_near_duplicates(docs, empty, k):
+@pytest.mark.parametrize(("k", "small"), [(4, False), (5, True)])
+def test_near_duplicates(docs, empty, k, small, monkeypatch):
+    """small: with every way for many rows: large classes, groups of spokes, blocks, labels by shuffling."""
+    if small:
+        for name, value in (("LARGE_CLASS", 4), ("GROUP", 3), ("BLOCK", 4), ("BROADCAST_IDS", 0)):
+            monkeypatch.setattr(near_dup, name, value)
     got = sorted((tuple(r) for r in near_dup.near_duplicates(docs, near_dup.Near(words=k)).collect()), key=str)
     rows = [(r[0], shingle_set(r[1], k)) for r in corpus()]
     parent = {i: i for i, _ in rows if i is not None}
@@ -107,6 +111,34 @@ def test_sketch_of_round_3_loses_no_link():
             assert 180 * differ <= 20 * (x.size + y.size)
 
 
+def family(rng, size: int, shared: int, own: int) -> list[np.ndarray]:
+    """Sets that share a part and differ in the rest: none is linked to another where own is large."""
+    base = rng.integers(0, 2**64, shared, dtype=np.uint64)
+    return [np.unique(np.concatenate((base, rng.integers(0, 2**64, own, dtype=np.uint64)))) for _ in range(size)]
+
+
+def side(sets: list[np.ndarray], reps: range) -> near_dup._Side:
+    return near_dup._Side.of([(r, r, s.size, near_dup.parities(s).tobytes(), None) for r, s in zip(reps, sets, strict=True)])
+
+
+@pytest.mark.parametrize("alike", [0.62, 0.7, 0.75, 0.79])
+def test_round_3_looks_at_few_pairs_of_a_family_that_is_not_linked(alike):
+    """A boilerplate family under the threshold: all its n^2 / 2 pairs share buckets, few are left open;
+    the pairs that are linked all are."""
+    rng, n = np.random.default_rng(11), 300
+    own = round(400 * (1 - alike) / (1 + alike) / (1 - (1 - alike) / (1 + alike)))
+    sets = family(rng, n, 400, own)
+    sets += [np.unique(np.concatenate((s[: -max(1, s.size // 12)], rng.integers(0, 2**64, 2, dtype=np.uint64)))) for s in sets[:20]]
+    x = side(sets, range(len(sets)))
+    found = set(near_dup.open_pairs(x, x, True, 80))
+    y, z = side(sets[:100], range(100)), side(sets[100:], range(100, len(sets)))
+    split = set(near_dup.open_pairs(y, z, False, 80)) | set(near_dup.open_pairs(y, y, True, 80)) | set(near_dup.open_pairs(z, z, True, 80))
+    assert split == found
+    linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if (o := near_dup.overlap(sets[i], sets[j]))[0] * 100 >= 80 * o[1]}
+    assert linked <= found and len(linked) >= 20
+    assert len(found) - len(linked) <= (0.6 if alike > 0.77 else 0.01) * n * n / 2
+
+
 def test_line_dedup(docs, empty, spark):
     rows = corpus()
     owner, many = {}, set()
