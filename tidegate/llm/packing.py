@@ -4,9 +4,9 @@
 remainder. 2. The remainders' lengths, rounded up by one part in `FINE` at most, give a histogram of a
 few hundred classes; that is all the driver sees. Lengths up to 2 * FINE tokens are exact. 3. A linear
 program over patterns (how many pieces of each class share a sequence) is solved by a revised simplex. It
-starts from a basis of greedy patterns; its columns come from an unbounded knapsack by dynamic programming
-over the dual prices, several from each run, and it ends when its dual bound proves that no program is
-better by a sequence, or by one in a thousand. Patterns are used their rounded-down number of times; the
+starts from patterns that the knapsack gives for prices near the sizes; its columns come from an unbounded
+knapsack by dynamic programming over the dual prices, several from each run, and it ends when its dual
+bound proves that no program is better by a sequence, or by one in a thousand. Patterns are used their rounded-down number of times; the
 few pieces left are packed largest first. 4. A piece's rank in its class (its Spark
 partition's offset, plus its place there) says which slot of which sequence it fills: no shuffle by
 class, so a length that a third of all documents have is no hot key. Offsets are running sums within a
@@ -36,6 +36,8 @@ FINE = 128
 GAP = 1e-3
 #: Columns that one run of the knapsack gives, at most; pivots after which the basis is inverted anew.
 COLUMNS, ANEW = 24, 500
+#: Runs of the knapsack in which the program must gain something.
+PATIENCE = 50
 #: Rows of an Arrow batch: their texts are held as words.
 BATCH_ROWS = 2000
 #: Distinct words whose ids a Python worker remembers; it starts anew beyond that.
@@ -188,35 +190,26 @@ def best_patterns(prices: np.ndarray, sizes: np.ndarray, capacity: int, most: in
     return float(worth[capacity]), found
 
 
-def greedy_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
-    """As many independent patterns (columns) as sizes, by which the demand can be met: the largest pieces
-    that are left fill a sequence first, until one size is used up. Each pattern has no size that an
-    earlier one used up, so they are triangular."""
-    rest, left, columns = demand.astype(float).copy(), list(range(sizes.size)), []
-    while left:
-        counts, room, first = np.zeros(sizes.size, np.int64), capacity, None
-        for k in reversed(left):
-            if room < sizes[left[0]]:
-                break
-            n = room // int(sizes[k])
-            if n and rest[k] > 0:
-                n = min(n, max(1, int(rest[k])))
-                counts[k] = n
-                room -= n * int(sizes[k])
+def first_columns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A first solution: patterns, a row each, the number of times each is used (of parts of a sequence,
+    too), and the size that each uses up. The knapsack prices sizes a little more than in proportion, so
+    the large ones come first and the small ones fill; a pattern is used until one of its sizes is used
+    up, so there are no more patterns than sizes. Where pieces fit together at all, their sum is that of
+    the volume but for some parts in ten thousand."""
+    rest, prices = demand.astype(float).copy(), sizes**1.02
+    patterns, times, ends = [], [], []
+    while (left := np.flatnonzero(rest > 0)).size:
+        counts = np.zeros(sizes.size, np.int64)
+        counts[left] = best_patterns(prices[left], sizes[left], capacity)[1][0]
         used = np.flatnonzero(counts)
-        if not used.size:  # only sizes that were used up together with others
-            first = left[0]
-            counts[first] = capacity // int(sizes[first])
-            columns.append(counts)
-            left.remove(first)
-            continue
-        times = rest[used] / counts[used]
-        first = int(used[times.argmin()])
-        rest[used] = np.maximum(rest[used] - times.min() * counts[used], 0)
-        rest[first] = 0
-        columns.append(counts)
-        left.remove(first)
-    return np.array(columns, float).reshape(len(columns), sizes.size).T
+        each = rest[used] / counts[used]
+        first = int(used[each.argmin()])
+        rest[used] -= each.min() * counts[used]
+        rest[(rest < 1e-9 * demand) | (np.arange(sizes.size) == first)] = 0
+        patterns.append(counts)
+        times.append(each.min())
+        ends.append(first)
+    return np.array(patterns), np.array(times), np.array(ends)
 
 
 def inverted(matrix: np.ndarray) -> np.ndarray:
@@ -243,22 +236,32 @@ def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
 
 
 def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray, float]:
-    """Patterns (a row each), how often the linear program uses them, each size's demand met exactly, and
-    a lower bound of any program's sum. Column generation ends when the sum is within a sequence, or the
-    share gap, of that bound: of the dual bound, the demand's price over the worth of the best pattern, and
-    of the volume. It also ends where rounding errors keep the sum from falling."""
-    m = sizes.size
+    """Patterns (a row each), how often the linear program uses them, each size's demand met, and a lower
+    bound of any program's sum. Column generation ends when the sum is within a sequence, or the share
+    gap, of that bound: of the dual bound, the demand's price over the worth of the best pattern, and of
+    the volume. It also ends when `PATIENCE` runs of the knapsack gain under a part in ten thousand: by
+    then the program is as good as rounding errors let it be."""
+    m, volume = sizes.size, float((sizes * demand).sum()) / capacity
     if not m:
         return np.zeros((0, 0), np.int64), np.zeros(0), 0.0
     rng = np.random.default_rng(0)
     target = demand * (1 + 1e-6 * rng.random(m)) + 1e-3 * rng.random(m)  # no ties, so no cycles
-    patterns = greedy_basis(sizes, target, capacity)
-    inverse, pivots = inverted(patterns), 0
-    used, bound = np.maximum(_times(inverse, target), 0), float((sizes * demand).sum()) / capacity
-    least, stalled = np.inf, 0
-    while used.sum() - bound > max(1.0, gap * bound) and stalled < 20:
-        stalled = 0 if used.sum() < least * (1 - 1e-9) else stalled + 1
-        least = min(least, used.sum())
+    start, times, ends = first_columns(sizes, target, capacity)
+    bound, enough = volume, lambda x: x - bound <= max(1.0, gap * bound)
+    if enough(times.sum()):
+        return start, times, bound
+    # The basis: a first pattern for the size that it uses up, else as many pieces of one size as fit.
+    patterns = np.diag((capacity // sizes).astype(float))
+    patterns[:, ends] = start.T
+    used = np.zeros(m)
+    used[ends] = times
+    inverse, pivots, runs, before = inverted(patterns), 0, 0, np.inf
+    while not enough(used.sum()):
+        if runs % PATIENCE == 0:
+            if used.sum() > before * (1 - 1e-4):
+                break
+            before = used.sum()
+        runs += 1
         prices = inverse.sum(0)
         worth, found = best_patterns(prices, sizes, capacity, COLUMNS)
         bound = max(bound, float((prices * demand).sum()) / worth)
@@ -282,7 +285,10 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
             if pivots % ANEW == 0:
                 inverse = inverted(patterns)
                 used = np.maximum(_times(inverse, target), 0)
-    return patterns.T.astype(np.int64), np.maximum(_times(inverted(patterns), demand), 0), bound
+    met = _times(patterns, used)
+    if used.sum() >= times.sum() or (np.abs(met - target) > 1e-3 * target + 1).any():
+        return start, times, bound
+    return patterns.T.astype(np.int64), used, bound
 
 
 @dataclass
