@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,28 +128,30 @@ def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[s
             at = end
 
 
-def _distinct(many: list[str], shards: int) -> tuple[dict[str, int], list[list[str]]]:
-    """The words' positions and, by shard, the words; positions go by shard, then first use."""
-    seen: dict[str, int] = {}
-    for t in many:
-        seen.update(dict.fromkeys(spaced_words(t), 0))
-    dealt: list[list[str]] = [[] for _ in range(shards)]
-    for w in seen:
-        dealt[xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % shards].append(w)
-    at = 0
-    for own in dealt:
-        for w in own:
-            seen[w] = at
-            at += 1
-    return seen, dealt
+class _Numbers(dict):
+    """Words numbered as they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _shards(words: Iterable[str], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words' numbers by shard, then first use; and how many of them each shard has."""
+    own = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % shards for w in words), np.int64)
+    return np.argsort(own, kind="stable"), np.bincount(own, minlength=shards)
 
 
 def _words(shards: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, many in _blocks(parts):
-            dealt = _distinct(many, shards)[1]
-            has = [k for k in range(shards) if dealt[k]]
-            yield batches({"block": [block] * len(has), "shard": has, "words": [pack_words(dealt[k]) for k in has]}, WORDS)
+            seen: dict[str, None] = {}
+            for t in many:
+                seen.update(dict.fromkeys(spaced_words(t)))
+            words = list(seen)
+            order, counts = _shards(words, shards)
+            ends, has = np.cumsum(counts), np.flatnonzero(counts).tolist()
+            yield batches({"block": [block] * len(has), "shard": has, "words": [pack_words([words[i] for i in order[ends[k] - counts[k] : ends[k]]]) for k in has]}, WORDS)
 
     return run
 
@@ -199,16 +201,19 @@ def _joined(spec: Broadcast, shards: int):
                     continue
                 rows = pa.ipc.open_stream(blob).read_next_batch()
                 many = rows.column("text").to_pylist()
-                seen, dealt = _distinct(many, shards)
-                if [(k, len(own)) for k, own in enumerate(dealt) if own] != [(k, s.size) for k, (s, _) in answers.items()]:
+                numbers = _Numbers()
+                split = [np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)) for words in map(spaced_words, many)]
+                order, counts = _shards(numbers, shards)
+                place = np.empty(order.size, np.int64)
+                place[order] = np.arange(order.size)
+                if [(k, n) for k, n in enumerate(counts.tolist()) if n] != [(k, s.size) for k, (s, _) in answers.items()]:
                     raise RuntimeError("documents came in other blocks when read again: write them to a table first")
                 sizes = np.concatenate([np.zeros(0, np.int64), *[s for s, _ in answers.values()]])
                 flat = np.concatenate([np.zeros(0, np.uint32), *[_numbers(f, 0, int(s.sum()))[0].astype(np.uint32) for s, f in answers.values()]])
                 starts = np.cumsum(sizes) - sizes
                 ids, decoded = [], []
-                for t in many:
-                    words = spaced_words(t)
-                    own = gathered(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)), starts, sizes, flat)
+                for words in split:
+                    own = gathered(place[words], starts, sizes, flat)
                     ids.append(own.astype("<u4").tobytes())
                     decoded.append(b"".join(map(pieces.__getitem__, own.tolist())).decode("utf-8", "replace"))
                     if len(ids) == 1000:
