@@ -388,14 +388,6 @@ def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.rule_summary(checked_events(spark, sf_dir)).withColumnRenamed(checks.FILE_ORD, "file_ord")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 100 NOT IN (SELECT l_orderkey % 50 FROM lineitem WHERE l_orderkey % 2 = 0)")
-def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files are orders by o_orderkey % 100; the ledger's are those of some lineitems."""
-    done = table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0").select((F.col("l_orderkey") % 50).alias("file")).distinct()
-    orders = table(spark, sf_dir, "orders").withColumn("file", F.col("o_orderkey") % 100)
-    return orders.join(done, "file", "left_anti").select("o_orderkey")
-
-
 @query(None)
 def xml_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that are well-formed as XML: their language and title."""
