@@ -362,6 +362,11 @@ MODES = ("overwrite", "append", "merge_scd1", "merge_scd2")
 MERGING = ("delta", "duckdb", "versioned")
 
 
+#: What a storage's definition needs, by type, and the storages that a sink can write to.
+STORAGES = {"local": (), "s3": ("bucket", "region"), "gcs": ("bucket",), "adls": ("account", "container")}
+SINK_STORAGES = {"duckdb": ("local",), "iceberg": ("local", "s3", "gcs")}
+
+
 def _one_of(value: str, allowed: tuple[str, ...], what: str) -> None:
     if value not in allowed:
         raise ConfigError(f"{what}={value} is unsupported (allowed: {', '.join(allowed)})")
@@ -371,8 +376,23 @@ def validate(config: Config) -> None:
     """Raises ConfigError for the first rule that the contract breaks."""
     if not config.entities:
         raise ConfigError("entities list is empty")
+    if not re.fullmatch(r"\d+\.\d+", config.version):
+        raise ConfigError(f"version={config.version} is unsupported (expected: major.minor)")
+    named: set[str] = set()
+    for s in config.storages.definitions:
+        if s.name in named:
+            raise ConfigError(f"storages.definitions name={s.name} is duplicated")
+        named.add(s.name)
+        _one_of(s.type, tuple(STORAGES), f"storages.definitions name={s.name} type")
+        for need in STORAGES[s.type]:
+            if not getattr(s, need):
+                raise ConfigError(f"storages.definitions name={s.name} requires {need} for type {s.type}")
+    if config.storages.default and config.storages.default not in named:
+        raise ConfigError(f"storages.default={config.storages.default} is not defined")
     seen: set[str] = set()
     for e in config.entities:
+        if not e.name.strip():
+            raise ConfigError("entity.name must not be empty")
         if e.name in seen:
             raise ConfigError(f"entity.name={e.name} is duplicated")
         seen.add(e.name)
@@ -400,6 +420,17 @@ def _entity(config: Config, e: Entity) -> None:
         raise ConfigError("source.options.separator must be a single byte")
     if src.format == "xml" and not src.options.row_tag:
         raise ConfigError("source.options.row_tag is required for xml")
+    if src.format == "xlsx":
+        o = src.options
+        if o.sheet is not None and not o.sheet.strip():
+            raise ConfigError("source.options.sheet must not be empty")
+        if o.header_row < 1:
+            raise ConfigError("source.options.header_row must be greater than 0")
+        if o.data_row is not None and o.data_row <= o.header_row:
+            raise ConfigError("source.options.data_row must be greater than source.options.header_row")
+    for what, path in (("source.path", src.path), ("sink.accepted.path", sink.accepted.path), ("sink.rejected.path", sink.rejected and sink.rejected.path)):
+        if path is not None and not path.strip():
+            raise ConfigError(f"{what} must not be empty")
     if not sch.columns:
         raise ConfigError("schema.columns is empty")
     declared = [c.name for c in sch.columns]
@@ -428,13 +459,24 @@ def _entity(config: Config, e: Entity) -> None:
         raise ConfigError(f"sink.write_mode={sink.write_mode} requires schema.primary_key")
     if sch.schema_evolution.mode == "add_columns" and sink.accepted.format not in ("delta", "versioned"):
         raise ConfigError("schema.schema_evolution.mode=add_columns is not supported for this sink")
+    if sch.schema_evolution.mode == "add_columns" and tuple(map(int, config.version.split("."))) < (0, 2):
+        raise ConfigError('schema.schema_evolution requires version >= "0.2"')
+    for key in [sch.primary_key, *sch.unique_keys]:
+        if len(set(key)) < len(key):
+            raise ConfigError(f"key {key} has a duplicate column")
+    if any(not key for key in sch.unique_keys):
+        raise ConfigError("schema.unique_keys has an empty key")
     m = sink.accepted.merge
+    if m.scd2 != HistoryOptions() and sink.write_mode != "merge_scd2":
+        raise ConfigError("merge.scd2 is only supported with sink.write_mode=merge_scd2")
     for what, listed in (("ignore_columns", m.ignore_columns), ("compare_columns", m.compare_columns)):
         for c in listed:
             if c not in declared:
                 raise ConfigError(f"merge.{what} column {c} is not declared")
             if c in sch.primary_key:
                 raise ConfigError(f"merge.{what} column {c} is part of the primary key")
+        if len(set(listed)) < len(listed):
+            raise ConfigError(f"merge.{what} has a duplicate column")
     if (m.ignore_columns or m.compare_columns) and not merging:
         raise ConfigError("merge options need a merge write mode")
     own = [m.scd2.current_flag_column, m.scd2.valid_from_column, m.scd2.valid_to_column]
@@ -457,7 +499,10 @@ def _entity(config: Config, e: Entity) -> None:
         raise ConfigError("sink.archive is required when incremental_mode=archive")
     if sink.archive and (sink.archive.storage or config.storages.default) != (src.storage or config.storages.default):
         raise ConfigError("sink.archive.storage must match source.storage")
-    known = {s.name for s in config.storages.definitions}
+    known = {s.name: s.type for s in config.storages.definitions}
+    kind_of = known.get(sink.accepted.storage or config.storages.default or "", "local")
+    if kind_of not in SINK_STORAGES.get(sink.accepted.format, tuple(STORAGES)):
+        raise ConfigError(f"sink.accepted.format={sink.accepted.format} is not supported on {kind_of} storage")
     for s in filter(None, (src.storage, sink.accepted.storage, sink.rejected and sink.rejected.storage)):
         if s not in known:
             raise ConfigError(f"storage {s} is not defined")
