@@ -5,9 +5,12 @@ from pathlib import Path
 
 import pytest
 import yaml
+from pyspark.sql import functions as F
 from test_run import contract
 
 from tidegate import api, cli
+from tidegate.operators import merge
+from tidegate.plans import catalogs
 from tidegate.plans.config import ConfigError
 
 XLSX = {"format": "xlsx", "path": "in"}
@@ -42,6 +45,86 @@ def test_rules(tmp_path, root, entity, message):
         api.validate(str(c))
 
 
+S3 = {"storages": {"definitions": [{"name": "lake", "type": "s3", "bucket": "b", "region": "eu-west-1", "prefix": "top"}, {"name": "local"}]}}
+
+
+def bound(tmp_path, catalog, accepted, name="things"):
+    c = Path(contract(tmp_path))
+    raw = yaml.safe_load(c.read_text())
+    raw.update(S3 | {"catalogs": {"default": "main", "definitions": [{"name": "main", **catalog}]}})
+    raw["entities"][0]["name"] = name
+    raw["entities"][0]["sink"]["accepted"] = accepted
+    c.write_text(yaml.safe_dump(raw))
+    config = api.validate(str(c))
+    return catalogs.binding(config, config.entities[0])
+
+
+def test_catalogs(tmp_path):
+    iceberg = {"format": "iceberg", "path": "t", "storage": "lake", "iceberg": {"namespace": "n.m"}}
+    b = bound(tmp_path, {"type": "rest", "uri": "http://x", "credential": "client_credentials:id:secret", "warehouse": "w", "scope": "s"}, iceberg)
+    assert b.table == "`main`.`n`.`m`.`things`" and b.namespace == "`main`.`n`.`m`"
+    assert b.settings == {"spark.sql.catalog.main": catalogs.ICEBERG, "spark.sql.catalog.main.type": "rest", "spark.sql.catalog.main.uri": "http://x", "spark.sql.catalog.main.warehouse": "w", "spark.sql.catalog.main.credential": "id:secret", "spark.sql.catalog.main.scope": "s"}
+    b = bound(tmp_path, {"type": "glue", "region": "eu-west-1", "database": "d", "warehouse_storage": "lake", "warehouse_prefix": "wh"}, iceberg | {"iceberg": {"table": "t"}})
+    assert b.table == "`main`.`d`.`t`" and b.settings["spark.sql.catalog.main.warehouse"] == "s3a://b/top/wh" and b.settings["spark.sql.catalog.main.client.region"] == "eu-west-1"
+    unity = {"type": "unity", "host": "http://u", "catalog": "c", "schema": "s", "token": "t"}
+    b = bound(tmp_path, unity, {"format": "delta", "path": "t", "storage": "lake", "delta": {}})
+    assert b.table == "`main`.`s`.`things`" and b.namespace is None and b.settings["spark.sql.catalog.main.token"] == "t"
+    assert bound(tmp_path, unity, {"format": "delta", "path": "t"}) is None
+    for catalog, accepted, message in (
+        (unity, iceberg, "does not hold iceberg"),
+        ({"type": "rest"}, iceberg, "requires uri"),
+        ({"type": "rest", "uri": "x"}, iceberg | {"iceberg": {"catalog": "other"}}, "unknown catalog other"),
+        ({"type": "rest", "uri": "x"}, iceberg | {"storage": "local"}, "requires sink.accepted storage"),
+        (unity, {"format": "parquet", "path": "t", "delta": {}}, "only supported for"),
+        ({"type": "hive"}, iceberg, "type=hive"),
+    ):
+        with pytest.raises(ConfigError, match=message):
+            bound(tmp_path, catalog, accepted)
+
+
+def test_tables_are_registered_once(spark, tmp_path):
+    """By Spark's own catalog."""
+    at = f"file:{tmp_path}/t"
+    spark.range(3).write.parquet(at)
+    for _ in range(2):
+        catalogs.register(spark, "`default`.`tidegate_registered`", "parquet", at)
+    assert spark.table("default.tidegate_registered").count() == 3
+    spark.sql("DROP TABLE default.tidegate_registered")
+
+
+def test_merge_statements():
+    sql = merge.scd1_statement("t", "s", ["id", "a", "b"], ["id"], ["b"])
+    assert sql == "MERGE INTO t t USING s s ON t.`id` = s.`id` WHEN MATCHED THEN UPDATE SET t.`a` = s.`a` WHEN NOT MATCHED THEN INSERT (`id`, `a`, `b`) VALUES (s.`id`, s.`a`, s.`b`)"
+    assert "AND t.`__dq_is_current` AND s.__close WHEN MATCHED THEN UPDATE" in merge.scd2_statement("t", "s", ["id", "a"], ["id"])
+
+
+def test_staged_history_is_the_merge(spark):
+    """What the MERGE would do with the staged rows, done by hand, is what scd2 gives."""
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    old = merge.history(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, v string"), F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"))
+    new = spark.createDataFrame([(1, "a"), (2, "x"), (4, "d")], "id long, v string")
+    staged = [(r["id"], r["v"], r["__close"]) for r in merge.scd2_staged(old, new, ["id"], ["v"], now).collect()]
+    assert sorted(staged) == [(2, "x", False), (2, "x", True), (4, "d", False)]
+    want = sorted((r["id"], r["v"], r["__dq_is_current"]) for r in merge.scd2(old, new, ["id"], ["v"], now).collect())
+    closed = {i for i, _, c in staged if c}
+    assert want == sorted([(r["id"], r["v"], r["id"] not in closed) for r in old.collect()] + [(i, v, True) for i, v, c in staged if not c])
+
+
+def test_profiles(tmp_path):
+    c = Path(contract(tmp_path))
+    raw = yaml.safe_load(c.read_text())
+    raw["entities"][0]["sink"]["accepted"] |= {"storage": "lake", "path": "${WHERE}"}
+    c.write_text(yaml.safe_dump(raw))
+    p = tmp_path / "p.yml"
+    p.write_text(yaml.safe_dump({"metadata": {"name": "x"}, "variables": {"WHERE": "a/b"}, "execution": {"runner": {"type": "local"}}, **S3}))
+    config = api.validate(str(c), str(p))
+    assert config.entities[0].sink.accepted.path == "a/b" and config.storages.definitions[0].bucket == "b"
+    for change, message in (({"metadata": {"name": " "}}, "name must not be empty"), ({"execution": {"runner": {"type": "cron"}}}, "runner.type=cron"), ({"variables": {"A": "${b c}"}}, "malformed"), ({"storages": {"default": "x"}}, "definitions must not be empty")):
+        p.write_text(yaml.safe_dump({"variables": {"WHERE": "a"}, **S3} | change))
+        with pytest.raises(ConfigError, match=message):
+            api.validate(str(c), str(p))
+
+
 def test_inference(spark, tmp_path):
     (tmp_path / "a b.csv").write_text("id,Price,when,ok,name\n1,2.5,2024-01-31,true,x\n2,,2024-02-01,false,\n")
     got = api.infer_contract(spark, str(tmp_path / "a b.csv"), "csv")

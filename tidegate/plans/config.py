@@ -79,6 +79,21 @@ class DuckDb:
     schema: str | None = None
 
 
+@dataclass
+class IcebergTable:
+    catalog: str | None = None
+    namespace: str | None = None
+    table: str | None = None
+    location: str | None = None
+
+
+@dataclass
+class DeltaTable:
+    catalog: str | None = None
+    schema: str | None = None
+    table: str | None = None
+
+
 @dataclass
 class PartitionField:
     column: str
@@ -93,6 +108,8 @@ class Target:
     options: SinkOptions = field(default_factory=SinkOptions)
     merge: MergeOptions = field(default_factory=MergeOptions)
     duckdb: DuckDb = field(default_factory=DuckDb)
+    iceberg: IcebergTable | None = None
+    delta: DeltaTable | None = None
     partition_by: list[str] = field(default_factory=list)
     partition_spec: list[PartitionField] = field(default_factory=list)
 
@@ -215,6 +232,34 @@ class Storages:
     definitions: list[Storage] = field(default_factory=list)
 
 
+@dataclass
+class Catalog:
+    name: str
+    type: str
+    region: str | None = None
+    database: str | None = None
+    create_database_if_missing: bool = True
+    allow_takeover: bool = False
+    uri: str | None = None
+    credential: str | None = None
+    warehouse: str | None = None
+    oauth2_server_uri: str | None = None
+    scope: str | None = None
+    host: str | None = None
+    catalog: str | None = None
+    schema: str | None = None
+    token: str | None = None
+    create_schema_if_missing: bool = False
+    warehouse_storage: str | None = None
+    warehouse_prefix: str | None = None
+
+
+@dataclass
+class Catalogs:
+    default: str | None = None
+    definitions: list[Catalog] = field(default_factory=list)
+
+
 @dataclass
 class Env:
     file: str | None = None
@@ -251,6 +296,7 @@ class Config:
     entities: list[Entity]
     metadata: Metadata | None = None
     storages: Storages = field(default_factory=Storages)
+    catalogs: Catalogs = field(default_factory=Catalogs)
     env: Env = field(default_factory=Env)
     domains: list[Domain] = field(default_factory=list)
     report: Report | None = None
@@ -315,8 +361,10 @@ def _walk(value: Any, f) -> Any:
     return f(value) if isinstance(value, str) else value
 
 
-def load(path: str | os.PathLike, profile: dict[str, str] | None = None, overrides: dict[str, str] | None = None) -> Config:
-    """The contract at path, checked. Variables: the profile's, then the caller's, then the file's own."""
+def load(path: str | os.PathLike, profile: Profile | dict[str, str] | None = None, overrides: dict[str, str] | None = None) -> Config:
+    """The contract at path, checked. Variables: the profile's, then the caller's, then the file's own.
+    Storages, catalogs and lineage are the profile's where the contract has none."""
+    profile = profile if isinstance(profile, Profile) else Profile(profile or {})
     base = Path(path).resolve().parent
     try:
         raw = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
@@ -324,12 +372,13 @@ def load(path: str | os.PathLike, profile: dict[str, str] | None = None, overrid
         raise ConfigError(f"invalid YAML: {e}") from None
     if not isinstance(raw, dict):
         raise ConfigError("config: a mapping is expected")
+    raw = {**profile.sections, **raw}
     env = raw.get("env") or {}
     own = {str(k): str(v) for k, v in (env.get("vars") or {}).items()}
     if env.get("file"):
         listed = yaml.safe_load((base / env["file"]).read_text(encoding="utf-8")) or {}
         own = {str(k): str(v) for k, v in listed.items()} | own
-    variables = {**(profile or {}), **(overrides or {}), **own}
+    variables = {**profile.variables, **(overrides or {}), **own}
     domains = {d.get("name"): d.get("incoming_dir") for d in raw.get("domains") or [] if isinstance(d, dict)}
     wanted = raw.pop("env", None)
 
@@ -364,6 +413,7 @@ MERGING = ("delta", "duckdb", "versioned")
 
 #: What a storage's definition needs, by type, and the storages that a sink can write to.
 STORAGES = {"local": (), "s3": ("bucket", "region"), "gcs": ("bucket",), "adls": ("account", "container")}
+CATALOGS = {"glue": ("region", "database"), "rest": ("uri",), "unity": ("host", "catalog", "schema", "token")}
 SINK_STORAGES = {"duckdb": ("local",), "iceberg": ("local", "s3", "gcs")}
 
 
@@ -389,6 +439,18 @@ def validate(config: Config) -> None:
                 raise ConfigError(f"storages.definitions name={s.name} requires {need} for type {s.type}")
     if config.storages.default and config.storages.default not in named:
         raise ConfigError(f"storages.default={config.storages.default} is not defined")
+    listed = [c.name for c in config.catalogs.definitions]
+    for c in config.catalogs.definitions:
+        _one_of(c.type, tuple(CATALOGS), f"catalogs.definitions name={c.name} type")
+        for need in CATALOGS[c.type]:
+            if not getattr(c, need):
+                raise ConfigError(f"catalogs.definitions name={c.name} requires {need} for type {c.type}")
+        if c.warehouse_storage and c.warehouse_storage not in named:
+            raise ConfigError(f"catalogs.definitions name={c.name} warehouse_storage references unknown storage {c.warehouse_storage}")
+    if len(set(listed)) < len(listed):
+        raise ConfigError("catalogs.definitions has a duplicate name")
+    if config.catalogs.default and config.catalogs.default not in listed:
+        raise ConfigError(f"catalogs.default={config.catalogs.default} is not defined")
     seen: set[str] = set()
     for e in config.entities:
         if not e.name.strip():
@@ -508,6 +570,9 @@ def _entity(config: Config, e: Entity) -> None:
             raise ConfigError(f"storage {s} is not defined")
     if e.domain and e.domain not in {d.name for d in config.domains}:
         raise ConfigError(f"domain {e.domain} is not defined")
+    from .catalogs import chosen  # which needs these shapes
+
+    chosen(config, e)
     strategy = sch.normalize_columns.strategy if sch.normalize_columns.enabled else None
     names.NameMap.of([(c.name, c.source) for c in sch.columns], strategy)
     _pii(e, declared, kind)
@@ -546,13 +611,39 @@ def _pii(e: Entity, declared: list[str], kind: dict[str, str]) -> None:
             raise ConfigError(f"pii.mask_pattern of {p.name} needs {{firstN}} or {{lastN}}")
 
 
-def load_profile(path: str | os.PathLike) -> dict[str, str]:
-    """A profile's variables: {name, variables: {...}}."""
+@dataclass
+class Profile:
+    """What a profile brings: variables, and sections for contracts that lack them."""
+
+    variables: dict[str, str] = field(default_factory=dict)
+    sections: dict[str, Any] = field(default_factory=dict)
+
+
+RUNNERS = ("local", "kubernetes_job", "databricks_job")
+
+
+def load_profile(path: str | os.PathLike) -> Profile:
+    """A profile: metadata, variables, execution, and storages, catalogs and lineage that a contract may
+    do without. Variables may also stand under spec. ConfigError for what is not valid."""
     raw = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    if not isinstance(raw, dict):
+        raise ConfigError("profile: a mapping is expected")
     found = raw.get("variables", (raw.get("spec") or {}).get("variables", {}))
     if not isinstance(found, dict):
         raise ConfigError("profile variables: a mapping is expected")
-    return {str(k): str(v) for k, v in found.items()}
+    if "metadata" in raw and not str((raw["metadata"] or {}).get("name", "")).strip():
+        raise ConfigError("profile.metadata.name must not be empty")
+    runner = ((raw.get("execution") or {}).get("runner") or {}).get("type")
+    if runner is not None:
+        _one_of(runner, RUNNERS, "profile.execution.runner.type")
+    for name, value in found.items():
+        if re.search(r"\$\{(?![A-Za-z_][A-Za-z0-9_]*\})", str(value)):
+            raise ConfigError(f"profile.variables.{name} has a malformed placeholder")
+    sections = {k: raw[k] for k in ("storages", "catalogs", "lineage") if raw.get(k)}
+    for k in ("storages", "catalogs"):
+        if k in sections and not sections[k].get("definitions"):
+            raise ConfigError(f"profile.{k}.definitions must not be empty")
+    return Profile({str(k): str(v) for k, v in found.items()}, sections)
 
 
 def config_variables(path: str | os.PathLike) -> list[str]:

@@ -24,6 +24,7 @@ from ..sinks import partitions, tables
 from ..sources import avro, columnar, fixed, json as json_source, text, xlsx, xml
 from ..sources.lines import AT, SPLIT, with_row_index
 from ..storage import STATE_FOLDER, Files, InputFile, joined
+from . import catalogs
 from .config import Config, Entity, load, load_profile
 from .inputs import archive_name, located, resolve
 from .lineage import Emitter
@@ -251,7 +252,11 @@ class EntityRun:
             case "duckdb":
                 return tables.DuckDbTable(self.spark, path, a.duckdb.table, a.duckdb.schema)
             case "delta" | "iceberg":
-                return tables.ConnectorTable(self.spark, path, a.format)
+                bound = catalogs.binding(self.config, self.e)
+                table = tables.ConnectorTable(self.spark, path, a.format, bound.table if bound and a.format == "iceberg" else None)
+                if bound:
+                    catalogs.attach(self.spark, bound)
+                return table
         return None
 
     def write(self, df: DataFrame, out: EntityReport) -> None:
@@ -301,6 +306,8 @@ class EntityRun:
                 out.merge = {"inserted": out.accepted, "updated": 0, "rows_before": 0, "rows_after": out.accepted}
             case _:
                 table.overwrite(df)
+        if a.format == "delta" and (bound := catalogs.binding(self.config, self.e)):
+            catalogs.register(self.spark, bound.table, a.format, path)
         if out.merge is not None:
             out.merge["elapsed_ms"] = round((time.time() - started) * 1000)
         out.output = {"path": path, "format": a.format}

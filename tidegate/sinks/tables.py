@@ -251,10 +251,11 @@ class DuckDbTable:
 
 # --- connectors -----------------------------------------------------------------------------------
 class ConnectorTable:
-    """A Delta or Iceberg table by its connector: appends append, merges are MERGE statements."""
+    """A Delta or Iceberg table by its connector: appends append, merges are MERGE statements. It lies at
+    path or, with a name, in a catalog."""
 
-    def __init__(self, spark: SparkSession, path: str, kind: str):
-        self.spark, self.path, self.kind = spark, path, kind
+    def __init__(self, spark: SparkSession, path: str, kind: str, name: str | None = None):
+        self.spark, self.path, self.kind, self.name = spark, path, kind, name
         try:
             spark._jvm.org.apache.spark.sql.execution.datasources.DataSource.lookupDataSource(kind, spark._jsparkSession.sessionState().conf())
         except Py4JJavaError:
@@ -262,19 +263,33 @@ class ConnectorTable:
 
     def read(self) -> DataFrame | None:
         try:
-            return self.spark.read.format(self.kind).load(self.path)
-        except PySparkException:
-            return None
+            return self.spark.table(self.name) if self.name else self.spark.read.format(self.kind).load(self.path)
+        except PySparkException as x:
+            if any(s in str(x) for s in ("TABLE_OR_VIEW_NOT_FOUND", "PATH_NOT_FOUND", "DELTA_TABLE_NOT_FOUND", "is not a Delta table", "DELTA_MISSING", "Cannot find table")):
+                return None
+            raise
 
     def keys(self, columns: Sequence[str]) -> DataFrame | None:
         old = self.read()
         return None if old is None else old.select(*[f"`{c}`" for c in columns])
 
     def overwrite(self, df: DataFrame) -> None:
-        df.write.format(self.kind).mode("overwrite").save(self.path)
+        if self.name:
+            df.writeTo(self.name).using(self.kind).createOrReplace()
+        else:
+            df.write.format(self.kind).mode("overwrite").save(self.path)
 
     def append(self, df: DataFrame) -> None:
-        df.write.format(self.kind).mode("append").save(self.path)
+        if self.name and self.read() is None:
+            df.writeTo(self.name).using(self.kind).create()
+        elif self.name:
+            df.writeTo(self.name).append()
+        else:
+            df.write.format(self.kind).mode("append").save(self.path)
+
+    @property
+    def _target(self) -> str:
+        return self.name or f"{self.kind}.`{self.path}`"
 
     def _merge(self, source: DataFrame, statement: str) -> None:
         source.createOrReplaceTempView("__tidegate_source")
@@ -285,13 +300,13 @@ class ConnectorTable:
 
     def upsert(self, old: DataFrame, df: DataFrame, m: Merge) -> dict[str, Any]:
         out = merge.scd1_metrics(old, df, m.key).first().asDict()
-        self._merge(df, merge.scd1_statement(f"{self.kind}.`{self.path}`", "__tidegate_source", df.columns, m.key, m.ignore))
+        self._merge(df, merge.scd1_statement(self._target, "__tidegate_source", df.columns, m.key, m.ignore))
         return out
 
     def record(self, old: DataFrame, df: DataFrame, m: Merge) -> dict[str, Any]:
         out = merge.scd2_metrics(old, df, m.key, m.compare, m.names).first().asDict()
         staged = merge.scd2_staged(old, df, m.key, m.compare, m.now, m.names)
-        self._merge(staged, merge.scd2_statement(f"{self.kind}.`{self.path}`", "__tidegate_source", df.columns, m.key, m.names))
+        self._merge(staged, merge.scd2_statement(self._target, "__tidegate_source", df.columns, m.key, m.names))
         return out
 
 
