@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: five stages, each calling one operator of tidegate.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of docs.
+again as the next stage's docs. All but the last return the columns of docs, of any names and types, and
+an empty table gives no rows at any stage.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ LEAST_SURE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows that share doc_id and text stand or fall together."""
+    """Documents that the quality rules keep. Rows that share doc_id and text stand or fall together. A null
+    or empty text has no words, so it goes; null languages and sources are groups like others."""
     scratch = Scratch(spark)
     rules = quality.Quality()
     verdicts = quality.judged(scratch.keep(quality.base_statistics(docs, rules)), rules, scratch)
@@ -31,7 +33,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that the model is sure of."""
+    """Documents with a language that the model is sure of. Null, empty and letterless texts go; a null
+    lang or doc_id only means that nothing is learned from the row. Of languages that are equally likely
+    the first by name counts. Repeated rows are predicted alike. Where nothing could be learned, all texts
+    with a letter stay."""
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
     found = langid.predict(docs, model, "__tidegate_lang", "__tidegate_sure")
     if not model.languages:  # nothing was learned, so nothing is rejected for its language
@@ -40,12 +45,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that a document of smaller id also holds; n_chars follows."""
+    """All documents, without the lines that a document of smaller id also holds; n_chars follows. A null
+    text stays null, an empty one empty. Rows that share a doc_id are one document, so they keep what they
+    share; a null doc_id comes after all others."""
     return line_dedup.dedup_lines(docs, counts=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of smallest id; one row of each id."""
+    """One document of each group of near duplicates: the one of smallest id; one row of each id. Texts
+    without words are linked with nothing, rows without a doc_id all stay."""
     found = near_dup.near_duplicates(docs, near_dup.Near(words=5))
     gone = Scratch(spark).keep(found.where("not kept").select(F.col("doc_id").alias("__tidegate_id")).distinct())
     left = docs.join(broadcast_if_few(gone), docs["doc_id"].cast("long") == gone["__tidegate_id"], "left_anti")
@@ -57,7 +65,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces."""
+    """The packed pieces. A null or empty text is its end mark alone; repeated rows, and rows without a
+    doc_id, are packed each for itself."""
     return packing.pack(docs, WORD_BPE)
 
 
