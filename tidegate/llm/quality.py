@@ -138,8 +138,9 @@ def _inverse(table: DataFrame, d: int) -> DataFrame:
     return table.withColumn("logdet", logdet)
 
 
-def _grouped(rows: DataFrame, quality: Quality, scratch: Scratch) -> DataFrame:
-    """Rows with g, the group that their estimate comes from; null where even all rows are too few."""
+def _grouped(rows: DataFrame, quality: Quality, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows with g, the group that their estimate comes from; null where even all rows are too few. Also
+    the stored tables that they are read with."""
     good = rows.where("not base_failed").select("lang", "source", "text_hash").distinct()
     sizes = scratch.keep(good.groupBy("lang", "source").agg(F.count("*").alias("n")))
     pooled = F.sum(F.when(F.col("n") < quality.least_group, F.col("n"))).over(Window.partitionBy("lang"))
@@ -150,19 +151,23 @@ def _grouped(rows: DataFrame, quality: Quality, scratch: Scratch) -> DataFrame:
     names = named.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *([F.col("g")] if rest >= quality.least_group else [F.when(F.col("g") != "*", F.col("g")).alias("g")]))
     few = names.count() <= BROADCAST_GROUPS
     met = rows.join(F.broadcast(names) if few else names, rows["lang"].eqNullSafe(names["__lang"]) & rows["source"].eqNullSafe(names["__source"]), "left")
-    return met.drop("__lang", "__source")
+    return met.drop("__lang", "__source"), [sizes, named]
 
 
 def judged(stats: DataFrame, quality: Quality, scratch: Scratch) -> DataFrame:
     """The statistics with kept and distance (Mahalanobis, squared; null where there is no estimate)."""
     d = len(quality.spread)
-    rows = scratch.keep(_grouped(stats.select("*", *[f.alias(f"f{i}") for i, f in enumerate(features())]), quality, scratch))
+    grouped, used = _grouped(stats.select("*", *[f.alias(f"f{i}") for i, f in enumerate(features())]), quality, scratch)
+    rows = scratch.keep(grouped)
+    for done in used:
+        scratch.drop(done)
     texts = rows.where("not base_failed and g is not null").groupBy("g", "text_hash").agg(*[F.min(f"f{i}").alias(f"f{i}") for i in range(d)])
     inside = scratch.keep(texts.drop("text_hash"))
     middle = scratch.keep(inside.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(f"f{i}", 0.5, 1000).alias(f"m{i}") for i in range(d)]).where(F.col("n") >= quality.least_group).drop("n"))
     groups = middle.count()
     away = _with(inside, middle, groups).groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(d)], *[F.percentile_approx(F.abs(F.col(f"f{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"q{i}") for i in range(d)]).where("m0 is not null")
     now = scratch.keep(away.select("g", *[f"m{i}" for i in range(d)], *[(1 / (F.pow(1.4826 * F.col(f"q{i}"), 2) + s * s) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, s in enumerate(quality.spread) for j in range(i, d)], F.lit(float("inf")).alias("logdet")))
+    last = now  # the stored table of the last step
     inner = chi2_quantile(1 - quality.central, d)
     scale = quality.central / chi2_cdf(inner, d + 2)  # makes the central rows' covariance that of all
     for _ in range(quality.steps if groups else 0):
@@ -174,11 +179,15 @@ def judged(stats: DataFrame, quality: Quality, scratch: Scratch) -> DataFrame:
         sums += [F.covar_pop(f"f{i}", f"f{j}").alias(f"c{i}{j}") for i in range(d) for j in range(i, d)]
         spread = [(F.col(f"c{i}{j}") * scale + (quality.spread[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i in range(d) for j in range(i, d)]
         after = _inverse(chosen.groupBy("g").agg(*sums).select("g", "before", *[f"m{i}" for i in range(d)], *spread), d)
-        after = scratch.keep(after.select("g", "before", "logdet", *[f"m{i}" for i in range(d)], *[f"v{i}{j}" for i in range(d) for j in range(i, d)]))
-        moved = after.agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
-        now = after.drop("before")
+        kept = scratch.keep(after.select("g", "before", "logdet", *[f"m{i}" for i in range(d)], *[f"v{i}{j}" for i in range(d) for j in range(i, d)]))
+        for done in (bound, last):
+            scratch.drop(done)
+        moved = kept.agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        last, now = kept, kept.drop("before")
         if moved is not None and abs(moved) < 1e-3:
             break
+    for done in (inside, middle):
+        scratch.drop(done)
     cutoff = chi2_quantile(quality.tail, d)
     out = _with(rows, now, groups).withColumn("distance", _distance(d))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
