@@ -5,6 +5,7 @@ import json
 import random
 import re
 import time
+import zlib
 
 import duckdb
 import pytest
@@ -181,17 +182,79 @@ def test_digests(spark):
         chat.turns_from_table(df.drop("role"))
 
 
+def brute_lines(rows):
+    """Third stage: (doc_id, text) rows without the lines that a smaller doc_id holds too."""
+    place = lambda i: float("inf") if i is None else i
+    key = lambda x: k.lower() if len(k := x.strip(" \t\n\x0b\x0c\r")) >= 10 else None
+    low = lambda k: re.sub("[A-Z]", lambda m: m[0].lower(), k)
+    owners = {}
+    for i, text in rows:
+        for x in (text or "").split("\n"):
+            if key(x) is not None:
+                owners.setdefault(low(x.strip(" \t\n\x0b\x0c\r")), set()).add(place(i))
+    gone = lambda i, x: key(x) is not None and place(i) != min(owners[low(x.strip(" \t\n\x0b\x0c\r"))])
+    return [(i, None if t is None else "\n".join(x for x in t.split("\n") if not gone(i, x))) for i, t in rows]
+
+
+def brute_near(rows, k=5):
+    """Fourth stage: the rows that stay, by all pairs."""
+    from test_documents import shingle_set
+
+    sets = [(i, shingle_set(t, k)) for i, t in rows]
+    parent = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in sets:
+        for j, b in sets:
+            if None not in (i, j) and i < j and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    kept, seen = [], set()
+    for i, t in rows:
+        if i is None or find(i) == i and i not in seen:
+            kept.append((i, t))
+            seen.add(i)
+    return kept
+
+
 def test_pipeline(spark, tmp_path):
+    """Each stage, on all that the one before it kept, against brute force (for the first: the operator,
+    whose verdicts are held against numpy elsewhere)."""
     import corpus_pipeline
-    from test_documents import COLUMNS, corpus
+    from test_documents import COLUMNS, corpus, naive_bayes
+    from tokenizers import Tokenizer
+
+    from tidegate.llm import langid, quality
+    from tidegate.llm.queries import WORD_BPE
 
     docs = spark.createDataFrame(corpus(), COLUMNS)
+    steps = [docs]
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
         assert i == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns
         out.write.parquet(str(tmp_path / str(i)))
         docs = spark.read.parquet(str(tmp_path / str(i)))
-    assert docs.count() > 0
+        steps.append(docs)
+    pairs = [sorted(((r.doc_id, r.text) for r in s.collect()), key=str) for s in steps[:-1]]
+    good = {(r.doc_id, r.n_words) for r in quality.quality_rules(steps[0]).collect() if r.kept}
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert pairs[1] == [(i, t) for i, t in pairs[0] if (i, words(t)) in good] and 50 < len(pairs[1]) < len(pairs[0])
+    rows = steps[1].collect()
+    learned = [(r.text, r.lang) for r in rows if r.text is not None and r.lang is not None and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    letters = [r for r in rows if r.text and re.search(r"[^\W\d_]", r.text) and len(r.text) < 5000]
+    sure = {(r.doc_id, r.text) for r, (_, score) in zip(letters, naive_bayes(learned, [r.text for r in letters], langid.Grams()), strict=True) if score >= corpus_pipeline.LEAST_SURE}
+    assert [p for p in pairs[2] if len(p[1]) < 5000] == [p for p in pairs[1] if p in sure]
+    assert pairs[3] == sorted(brute_lines(pairs[2]), key=str) and pairs[3] != pairs[2]
+    ids = [i for i, _ in pairs[4]]
+    assert sorted(map(str, ids)) == sorted(str(i) for i, _ in brute_near(pairs[3])) and len(ids) < len(pairs[3])
+    tokenizer, pieces = Tokenizer.from_file(WORD_BPE), steps[5].collect()
+    want = sorted((str(i), len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in pairs[4])
+    assert sorted((str(p.doc_id), p.doc_tokens) for p in pieces if p.start == 0) == want
+    assert sum(p.length for p in pieces) == sum(n for _, n in want)
     none = spark.createDataFrame([], COLUMNS)
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         assert stage(spark, none, str(tmp_path)).count() == 0, i
