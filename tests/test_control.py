@@ -10,7 +10,7 @@ from test_run import contract
 
 from tidegate import api, cli
 from tidegate.operators import merge
-from tidegate.plans import catalogs
+from tidegate.plans import catalogs, inputs
 from tidegate.plans.config import ConfigError
 
 XLSX = {"format": "xlsx", "path": "in"}
@@ -110,6 +110,21 @@ def test_staged_history_is_the_merge(spark):
     assert want == sorted([(r["id"], r["v"], r["id"] not in closed) for r in old.collect()] + [(i, v, True) for i, v, c in staged if not c])
 
 
+def test_storages(spark, tmp_path):
+    """Where paths lie, and what Hadoop is told of buckets; listing them goes through the code that file:
+    URIs go through."""
+    c = Path(contract(tmp_path))
+    raw = yaml.safe_load(c.read_text())
+    raw["storages"] = {"default": "a", "definitions": [{"name": "a", "type": "s3", "bucket": "b", "region": "eu-west-1", "prefix": "/top/", "endpoint": "http://x", "path_style_access": True}, {"name": "g", "type": "gcs", "bucket": "h"}, {"name": "z", "type": "adls", "account": "acc", "container": "con", "prefix": "p"}, {"name": "l"}]}
+    c.write_text(yaml.safe_dump(raw))
+    config = api.validate(str(c))
+    assert [inputs.located(config, "/in/x", s) for s in (None, "g", "z")] == ["s3a://b/top/in/x", "gs://h/in/x", "abfss://con@acc.dfs.core.windows.net/p/in/x"]
+    assert inputs.located(config, "in", "l") == str(tmp_path / "in") and inputs.located(config, "gs://k/in", None) == "gs://k/in"
+    inputs.configure(spark, config)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert [conf.get(f"fs.s3a.bucket.b.{k}") for k in ("endpoint", "endpoint.region", "path.style.access")] == ["http://x", "eu-west-1", "true"]
+
+
 def test_profiles(tmp_path):
     c = Path(contract(tmp_path))
     raw = yaml.safe_load(c.read_text())

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 from ..storage import Files, InputFile
 from .config import Config, ConfigError, Entity, Storage
 
@@ -31,6 +33,17 @@ def located(config: Config, path: str, storage: str | None) -> str:
     raise ConfigError(f"unsupported storage type: {found.type}")
 
 
+def configure(spark: SparkSession, config: Config) -> None:
+    """Tells Hadoop what the storages' definitions say about their buckets."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for s in config.storages.definitions:
+        if s.type == "s3":
+            own = {"endpoint.region": s.region, "endpoint": s.endpoint, "path.style.access": None if s.path_style_access is None else str(s.path_style_access).lower()}
+            for key, value in own.items():
+                if value is not None:
+                    conf.set(f"fs.s3a.bucket.{s.bucket}.{key}", value)
+
+
 def resolve(files: Files, config: Config, e: Entity) -> list[InputFile]:
     """Sorted and each once. A file, a folder (with its glob, or the format's endings), or a glob, on any
     storage; no match is an error."""

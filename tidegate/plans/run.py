@@ -26,7 +26,7 @@ from ..sources.lines import AT, SPLIT, with_row_index
 from ..storage import STATE_FOLDER, Files, InputFile, joined
 from . import catalogs
 from .config import Config, Entity, load, load_profile
-from .inputs import archive_name, located, resolve
+from .inputs import archive_name, configure, located, resolve
 from .lineage import Emitter
 from .state import Heartbeat, Ledger
 
@@ -548,6 +548,7 @@ def run(spark: SparkSession, path: str, entities: list[str] | None = None, profi
     """All entities of the contract at path, in order, or those named."""
     importable(spark)
     config = config or load(path, load_profile(profile) if profile else None, variables)
+    configure(spark, config)
     run_id = run_id or datetime.datetime.now(datetime.UTC).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
     lineage = Emitter(config.lineage, run_id) if config.lineage else None
 
