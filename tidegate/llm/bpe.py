@@ -22,8 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import importable
-from .common import batches, texts
+from .common import batches, importable, texts
 from .words import byte_letters, spaced_words
 
 BLOCK = 16_000_000
@@ -113,19 +112,25 @@ def gathered(idx: np.ndarray, starts: np.ndarray, sizes: np.ndarray, flat: np.nd
 def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
     """(block, doc_ids, texts) of a task's rows. A block's number is a hash of what it holds, so it is
     the same whenever and wherever the block is read; blocks that are equal share their answers."""
+
+    def numbered(ids: list, many: list[str]) -> tuple[int, list, list[str]]:
+        h = xxhash.xxh3_64()
+        for doc, text in zip(ids, many, strict=True):
+            h.update(f"{doc} {len(text)} ")
+            h.update(text.encode("utf-8", "surrogatepass"))
+        return h.intdigest() - 2**63, ids, many
+
+    ids, many, size = [], [], 0
     for part in parts:
-        ids, all_texts, at = part.column("doc_id").to_pylist(), texts(part.column("text")), 0
-        while at < len(ids):
-            end, size = at, 0
-            while end < len(ids) and (size < BLOCK or end == at):
-                size += len(all_texts[end])
-                end += 1
-            h = xxhash.xxh3_64()
-            for doc, text in zip(ids[at:end], all_texts[at:end], strict=True):
-                h.update(f"{doc} {len(text)} ")
-                h.update(text.encode("utf-8", "surrogatepass"))
-            yield h.intdigest() - 2**63, ids[at:end], all_texts[at:end]
-            at = end
+        for doc, text in zip(part.column("doc_id").to_pylist(), texts(part.column("text")), strict=True):
+            ids.append(doc)
+            many.append(text)
+            size += len(text)
+            if size >= BLOCK:
+                yield numbered(ids, many)
+                ids, many, size = [], [], 0
+    if ids:
+        yield numbered(ids, many)
 
 
 class _Numbers(dict):

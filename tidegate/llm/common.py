@@ -13,13 +13,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import importable
+from .. import session
 
+#: Rows of the Arrow batches that go between the JVM and Python, unless the session sets its own number.
+#: Spark's default is for narrow rows; ten thousand texts take tens of megabytes at both ends of each task.
+BATCH, DEFAULT_BATCH = "1000", "10000"
 #: The class `[\x20\x09-\x0D]` of the contracts; bytes.split() and bytes.strip() use just these.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """A session whose workers can import this package and get texts in small batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == DEFAULT_BATCH:
+        spark.conf.set(name, BATCH)
+    return session.importable(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

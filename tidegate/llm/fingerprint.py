@@ -20,8 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import importable
-from .common import mix, sliced
+from .common import importable, mix, sliced
 
 EQUAL, ALIKE, WINDOW = 8, 256, 16
 #: Bytes whose windows are hashed at a time.

@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import importable
-from .common import batches, sliced
+from .common import batches, importable, sliced
 
 #: Fixed values of HTML: elements without content, those that are never shown, blocks with a blank line
 #: around them, other blocks.

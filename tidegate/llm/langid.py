@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ..session import importable
-from .common import Scratch, batches, sliced, texts
+from .common import Scratch, batches, importable, sliced, texts
 
 _LETTER = regex.compile(r"\p{L}")
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
