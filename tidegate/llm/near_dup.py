@@ -44,7 +44,7 @@ BATCH_ROWS = 500
 #: Rows of a class of equal texts that is never joined by shuffling, and how many such classes there are, at most.
 LARGE_CLASS, LARGE_CLASSES = 10_000, 200_000
 #: Spokes that are compared with their hub in one go, on average; members of a block of round 3.
-GROUP, BLOCK = 2000, 1024
+GROUP, BLOCK = 500, 1024
 #: Bits of each sketch that pairs of round 3 are compared by.
 SKETCH = 4096
 #: Shingles of the smaller set from which minima are compared too; bits of fewer depend on each other.
