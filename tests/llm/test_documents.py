@@ -249,7 +249,7 @@ def test_plans_are_quick_and_waste_little(spread):
     own = classes < 2048
     began = time.process_time()
     made = packing.plan(dict(zip(classes[own].tolist(), counts[own].tolist(), strict=True)), 2048)
-    assert time.process_time() - began < 5
+    assert time.process_time() - began < 30  # 3 on the machine that it was written on
     _, used, bound = packing.cutting_stock(classes[own], counts[own], 2048)
     assert made.sequences <= max(bound + 2, bound * 1.002) + own.sum() / 10, (made.sequences, bound)
 
