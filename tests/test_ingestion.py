@@ -2,6 +2,7 @@
 
 import json
 import time
+import tracemalloc
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -15,6 +16,7 @@ from tidegate import api
 from tidegate.sinks import tables
 from tidegate.sources.json import read_json_array
 from tidegate.sources.lines import AT, FILE_ORD
+from tidegate.sources.xml import Elements, read_xml, rows_of
 from tidegate.storage import Files
 
 ODD = ["a b", "a%20b", "a+b", "c[1]", "k{a,b}", "st*r", "q?y", "é#ü", "plain", "x'y\"z"]
@@ -235,3 +237,34 @@ def test_keys_of_a_duckdb_table_are_in_no_plan(spark, tmp_path):
         assert sorted(map(tuple, keys.collect())) == sorted(con.execute("FROM t").fetchall())
     table.release()
     assert not table.spooled and tables.DuckDbTable(spark, path, "none").keys(["id"]) is None
+
+
+@pytest.mark.parametrize("size", [7, 64, 1 << 20])
+def test_xml_is_cut_anywhere(spark, tmp_path, size):
+    """As parsing whole documents gives it, but in pieces."""
+    rows = "".join(f"<row id='{i}'><n>é{i} &lt;row</n><!-- <row> --><m><![CDATA[</row><row>]]></m>{'<row id="in"/>' * (i % 7 == 0)}</row> t " for i in range(40))
+    spaced = '<x:r xmlns:x="u"><x:row id="1"><x:n>a</x:n></x:row><y><x:row id="2"/></y></x:r>'
+    texts = [f"<r>{rows}</r>", spaced, "<row id='0'/>", "<row id='0'></row>\n", "<r><rows/></r>", "", "<r><row id='1'/>", "<r><row id='1'/></r><row", "<r><row id='1'/></r>x", "<r><row id='1'><n></row></r>"]
+    paths = [(i, str(tmp_path / f"{i}.xml")) for i in range(len(texts) + 1)]
+    for (_, p), text in zip(paths, [t.encode() for t in texts] + [b"<r><row id='\xff'/></r>"], strict=True):
+        Path(p).write_bytes(text)
+    columns = {"id": "@id", "n": "n", "m": "m"}
+    with small_splits(spark, size):
+        found = read_xml(spark, paths, "row", columns).collect()
+    bad = {r[FILE_ORD]: r["__error"].partition(":")[0] for r in found if r["__error"]}
+    assert bad == {4: "xml_no_rows", **dict.fromkeys([5, 6, 8, 9, 10], "xml_parse_error")}
+    for i in (0, 1, 2, 3):
+        got = [[r["raw_id"], r["raw_n"], r["raw_m"]] for r in sorted((r for r in found if r[FILE_ORD] == i), key=lambda r: r[AT])]
+        assert got == rows_of(texts[i], "row", columns)
+
+
+def test_xml_holds_no_document():
+    """Neither the text nor the tree: a file of 225 MB took a worker's memory many times over."""
+    parser, n = Elements("row", {"id": "id"}), 0
+    parser.feed(b"<r>", False)
+    tracemalloc.start()
+    for _ in range(300):
+        n += len(parser.feed(b"<row><id>1</id><t>" + b"x" * 1000 + b"</t></row><other>" + b"y" * 1000 + b"</other>", False))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert (n, parser.feed(b"</r>", True), len(parser.open)) == (300, [], 0) and held < 200_000
